@@ -68,9 +68,9 @@ rooted AS (SELECT node_id, node_id AS root_id, 0 AS depth, CAST(node_id AS VARCH
            SELECT l.child, r.root_id, r.depth + 1, r.path || '/' || CAST(l.child AS VARCHAR)
            FROM rooted r JOIN links l ON l.parent = r.node_id),
 stuck AS (SELECT child, parent FROM links WHERE child NOT IN (SELECT node_id FROM rooted)),
-walk AS (SELECT child AS node_id, parent AS at FROM stuck
-         UNION SELECT w.node_id, s.parent FROM walk w JOIN stuck s ON s.child = w.at),
-cyc AS (SELECT node_id FROM walk WHERE node_id = at)
+walk AS (SELECT child AS node_id, parent AS anc FROM stuck
+         UNION SELECT w.node_id, s.parent FROM walk w JOIN stuck s ON s.child = w.anc),
+cyc AS (SELECT node_id FROM walk WHERE node_id = anc)
 """
 
 ORACLE = {
@@ -78,9 +78,9 @@ ORACLE = {
 WITH RECURSIVE {_LINKS}
 SELECT node_id, root_id, depth, 'rooted' AS state FROM rooted
 UNION ALL
-SELECT w.node_id, min(w.at) AS root_id, -1 AS depth,
+SELECT w.node_id, min(w.anc) AS root_id, -1 AS depth,
        CASE WHEN w.node_id IN (SELECT node_id FROM cyc) THEN 'on_cycle' ELSE 'below_cycle' END AS state
-FROM walk w WHERE w.at IN (SELECT node_id FROM cyc) GROUP BY w.node_id
+FROM walk w WHERE w.anc IN (SELECT node_id FROM cyc) GROUP BY w.node_id
 """,
     "p1_descendants": f"""
 WITH RECURSIVE {_LINKS},
@@ -91,7 +91,7 @@ SELECT node_id, descendant_id, distance FROM down
 """,
     "p1_paths": f"""
 WITH RECURSIVE {_LINKS},
-top AS (SELECT w.node_id, min(w.at) AS root_id FROM walk w WHERE w.at IN (SELECT node_id FROM cyc) GROUP BY w.node_id),
+top AS (SELECT w.node_id, min(w.anc) AS root_id FROM walk w WHERE w.anc IN (SELECT node_id FROM cyc) GROUP BY w.node_id),
 shut AS (SELECT s.parent AS node_id FROM stuck s JOIN top t ON t.node_id = s.child
          WHERE s.child = t.root_id AND s.child IN (SELECT node_id FROM cyc)),
 size AS (SELECT a.node_id, count(*) - 1 AS n FROM rooted a JOIN rooted b
