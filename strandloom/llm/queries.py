@@ -92,7 +92,7 @@ QUERIES = {
 
 _SETS = r"""
 sets AS (SELECT no, kind, list_sort(list_distinct(list_filter(list_transform(gene_ids,
-           x -> regexp_replace(upper(trim(x, E' \t\n\r')), '\.[0-9]+$', '')), x -> x IS NOT NULL AND x <> ''))) AS items
+           lambda x: regexp_replace(upper(trim(x, E' \t\n\r')), '\.[0-9]+$', '')), lambda x: x IS NOT NULL AND x <> ''))) AS items
          FROM (SELECT DISTINCT ON (no) * FROM ({rows}) ORDER BY no, upd DESC)),
 item AS (SELECT no, kind, len(items) AS n, unnest(items) AS g FROM sets),
 shared AS (SELECT a.no AS x, b.no AS y, a.kind AS kx, b.kind AS ky, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o
