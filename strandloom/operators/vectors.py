@@ -6,9 +6,13 @@ as all zeros, so its correlation with anything is 0.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.runtime import materialize
+
 GUARD = 1e-8
 
 
@@ -24,38 +28,37 @@ def array_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
-def array_standard(a: Column) -> Column:
-    """The array with mean 0 and sample deviation 1 (all zeros if the deviation is tiny)."""
-    n = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    centred = F.transform(a, lambda x: x.cast("double") - mean)
-    sd = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x) / (n - 1))
-    return F.transform(centred, lambda x: x / F.when(sd < GUARD, F.lit(1.0)).otherwise(sd))
+PREPARED = "v array<double>, z array<double>, r array<double>, norm double"
 
 
-def array_ranks(a: Column) -> Column:
-    """Average ranks of an array's values, from 1 for the smallest."""
-    return F.transform(
-        a, lambda x: F.size(F.filter(a, lambda y: y < x)) + (F.size(F.filter(a, lambda y: y == x)) + 1) / 2.0
-    )
+def prepared(vectors: pd.Series) -> pd.DataFrame:
+    """Of each vector: itself with nulls as 0, standardised (mean 0, sample deviation 1; all
+    zeros if the deviation is tiny), its average ranks standardised, and its length."""
+    out = []
+    for given in vectors:
+        v = np.nan_to_num(np.array([0.0 if x is None else x for x in given], float))
+        values, at, count = np.unique(v, return_inverse=True, return_counts=True)
+        ranks = (np.cumsum(count) - (count - 1) / 2)[at]
+        row = [v]
+        for x in (v, ranks):
+            sd = x.std(ddof=1) if len(x) > 1 else 0.0
+            row.append((x - x.mean()) / (1.0 if sd < GUARD else sd) if len(x) else x)
+        out.append((*row, float(np.sqrt(v @ v))))
+    return pd.DataFrame(out, columns=["v", "z", "r", "norm"])
 
 
 def pairwise(df: DataFrame, key: str, vector: str, queries: Column) -> DataFrame:
     """(a, b, dot, pearson, spearman, cosine) of every query row against all others.
 
-    ``queries`` says which rows ask. The asking side is broadcast only while Spark's size
-    limit allows; each row is prepared once, before the rows meet.
+    ``queries`` says which rows ask. Each row is prepared once, in Arrow batches, before the
+    rows meet; null keys and null vectors are left out.
     """
-    prepared = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(
-        F.col(key).alias("id"),
-        F.col(vector).alias("v"),
-        array_standard(F.col(vector)).alias("z"),
-        array_standard(array_ranks(F.col(vector))).alias("r"),
-        F.sqrt(array_dot(F.col(vector), F.col(vector))).alias("norm"),
-        queries.alias("asks"),
-    )
-    a = prepared.where("asks").select(*[F.col(c).alias(f"{c}_a") for c in ("id", "v", "z", "r", "norm")])
-    b = prepared.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "v", "z", "r", "norm")])
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(
+        F.col(key).alias("id"), queries.alias("asks"), F.pandas_udf(prepared, PREPARED)(F.col(vector)).alias("p")
+    ).select("id", "asks", "p.*")
+    rows = materialize(rows, "vectors")
+    a = rows.where("asks").select(*[F.col(c).alias(f"{c}_a") for c in ("id", "v", "z", "r", "norm")])
+    b = rows.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "v", "z", "r", "norm")])
     n = F.size("z_a") - 1
     dot = array_dot(F.col("v_a"), F.col("v_b"))
     return a.join(b, F.col("id_a") != F.col("id_b")).select(

@@ -127,7 +127,7 @@ def reduced(scores: DataFrame, edges: DataFrame, how: str = "geometric") -> Data
         value = F.sum("score") / (n if how == "arithmetic" else 1)
     else:
         raise ValueError(f"unknown reduction: {how}")
-    return grouped.agg(F.round(value, 10).alias("score"))
+    return grouped.agg(F.round(value, 12).alias("score"))
 
 
 def ranked(scores: DataFrame, seeds: DataFrame | None = None, drop_seeds: bool = False, ties: str = "average") -> DataFrame:
