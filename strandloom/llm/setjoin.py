@@ -35,7 +35,7 @@ CODE_BITS = 64
 
 def segment_plan(n_sets: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits per segment, number of segments)."""
-    bits = min(40, max(10, math.ceil(math.log2(max(2, n_sets)))))
+    bits = min(40, max(10, round(math.log2(max(2, n_sets)))))
     hit = ((1 + threshold) / 2) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log1p(-hit))
 
@@ -145,7 +145,7 @@ def members_of(groups: DataFrame, records: DataFrame) -> DataFrame:
     return of_groups.unionByName(of_records).where(F.size("items") > 0).withColumn("cls", gs.set_class(F.col("items")))
 
 
-def similar_pairs(groups: DataFrame, records: DataFrame, threshold: float = 0.6, recall: float = 0.97) -> DataFrame:
+def similar_pairs(groups: DataFrame, records: DataFrame, threshold: float = 0.6, recall: float = 0.99) -> DataFrame:
     """(set_no_a, set_no_b, jaccard), a < b: all pairs with at least one group."""
     members = materialize(members_of(groups, records), "members")
     sets = materialize(
