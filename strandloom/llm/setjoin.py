@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import genesets as gs
-from strandloom.runtime import materialize, task_count
+from strandloom.runtime import materialize, release, task_count
 
 CODE_BITS = 64
+#: Segment rows of one pass.
+PASS_ROWS = 60_000_000
 
 
 def segment_plan(n_sets: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -49,12 +51,12 @@ def hamming_radius(threshold: float, loss: float = 1e-4) -> int:
     return r
 
 
-def _sketcher(bits: int, segments: int, seed: int):
-    """Arrow function: (id, syms) -> (id, size, code, one row per segment)."""
-    total = bits * segments + CODE_BITS
-    rng = np.random.default_rng(seed)
-    mult = rng.integers(1, 2**63, total, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 2**63, total, dtype=np.uint64)
+def _sketcher(bits: int, first: int, segments: int, seed: int):
+    """Arrow function: (id, syms) -> (id, size, code, one row for each of the segments from
+    ``first`` on). The code is the same in every pass; its minhashes serve no segment."""
+    draw = lambda key, n: np.random.default_rng([seed, *key]).integers(1, 2**63, (2, n), dtype=np.uint64)
+    rng = np.concatenate([draw((0,), CODE_BITS), *[draw((1, first + k), bits) for k in range(segments)]], axis=1)
+    mult, add = rng[0] | np.uint64(1), rng[1]
     place = (np.uint64(1) << np.arange(bits, dtype=np.uint64)).astype(np.uint64)
     code_place = np.uint64(1) << np.arange(CODE_BITS, dtype=np.uint64)
 
@@ -104,24 +106,33 @@ def similar_classes(sets: DataFrame, threshold: float, recall: float, seed: int
     n = sets.count()
     bits, segments = segment_plan(n, threshold, recall)
     radius = hamming_radius(threshold)
-    spread = task_count(spark, n * segments, 4_000_000)
+    # Passes of some segments each, so that the segment rows on disk stay bounded.
+    width = min(segments, max(8, PASS_ROWS // max(1, n)))
+    spread = task_count(spark, n * width, 4_000_000)
     # Mixed symbols: the multiply-add minhashes need well-spread input.
-    symbols = sets.select("cls_no", F.transform("items", lambda x: F.xxhash64(x)).alias("syms")).repartition(spread)
-    rows = symbols.mapInArrow(_sketcher(bits, segments, seed), "seg bigint, cls_no bigint, code bigint, n int")
-    rows = materialize(rows, "segments")
-    other = rows.select("seg", F.col("cls_no").alias("b"), F.col("code").alias("code_b"), F.col("n").alias("n_b"))
-    near = (
-        rows.withColumnRenamed("cls_no", "a")
-        .join(other, "seg")
-        .where(
-            (F.col("a") < F.col("b"))
-            & (F.col("n_b") >= threshold * F.col("n") - 1e-9)
-            & (F.col("n") >= threshold * F.col("n_b") - 1e-9)
-            & (F.bit_count(F.col("code").bitwiseXOR(F.col("code_b"))) <= radius)
+    symbols = sets.select("cls_no", F.transform("items", lambda x: F.xxhash64(x)).alias("syms"))
+    symbols = materialize(symbols, "symbols")
+    found = None
+    for first in range(0, segments, width):
+        sketch = _sketcher(bits, first, min(width, segments - first), seed)
+        rows = materialize(symbols.repartition(spread).mapInArrow(sketch, "seg bigint, cls_no bigint, code bigint, n int"), "segments")
+        other = rows.select("seg", F.col("cls_no").alias("b"), F.col("code").alias("code_b"), F.col("n").alias("n_b"))
+        part = (
+            rows.withColumnRenamed("cls_no", "a")
+            .join(other, "seg")
+            .where(
+                (F.col("a") < F.col("b"))
+                & (F.col("n_b") >= threshold * F.col("n") - 1e-9)
+                & (F.col("n") >= threshold * F.col("n_b") - 1e-9)
+                & (F.bit_count(F.col("code").bitwiseXOR(F.col("code_b"))) <= radius)
+            )
+            .select("a", "b")
+            .distinct()
         )
-        .select("a", "b")
-        .distinct()
-    )
+        part = materialize(part, "near")
+        release(rows)
+        found = part if found is None else found.unionByName(part)
+    near = found.distinct()
     left = sets.select(F.col("cls_no").alias("a"), F.col("items").alias("items_a"), F.col("wanted").alias("wanted_a"))
     right = sets.select(F.col("cls_no").alias("b"), F.col("items").alias("items_b"), F.col("wanted").alias("wanted_b"))
     return (
