@@ -246,11 +246,13 @@ def test_reply_defects(spark):
     rows += [(400, q, good[:60], '{"reasoning_text":"' + good[:60], ["actor_json_parse_error: Unterminated string"], None, 0), (401, q, "The walk from A1 ranks B2 at", None, [], None, 0)]
     rows += [(500, q, q, None, [], None, 0), (501, q, "You asked: " + q.lower(), None, [], None, 0), (502, q, f"The question was: {q} {good}", None, [], None, 0)]
     rows += [(600, q, "I'm sorry, but I cannot assist with choosing genes for this task.", None, [], None, 0), (601, q, "We decline to add A1: the score of 0.5 is below that of B2. I cannot rule out that C3 is a bystander, so one more query is needed.", None, [], None, 0)]
+    rows += [(402, q, "The previous call returned 9 genes;", None, [], None, 0), (403, q, "The score of C3 is 0.", None, [], None, 0)]
+    rows += [(203, q, "下一步调用induce_subgraph，比较QG9B和QB9A的结果。基因XA9P在pathway_links层只有9条边。", None, [], None, 0)]
     rows += [(None, q, None, None, None, None, 0), (700, None, good, None, None, None, 0), (701, None, None, None, None, None, 0), (702, q, good * 3000, None, [], None, 0), rows[0]]
     rows += [(800, q, None, None, [], t(2024, 1, 1), 0), (800, q, good, None, [], t(2024, 1, 2), 0)]
     got = {r.candidate_id: r.defect for r in replies.defects(spark.createDataFrame(rows, CANDIDATE)).collect()}
     assert got == {
-        200: "language", 201: "language", 202: "language", 300: "empty", 301: "empty", 400: "truncated", 401: "truncated",
+        200: "language", 201: "language", 202: "language", 203: "language", 402: "truncated", 403: "truncated", 300: "empty", 301: "empty", 400: "truncated", 401: "truncated",
         500: "copy", 501: "copy", 600: "refusal", 701: "empty",
     }
     assert replies.defects(spark.createDataFrame([], CANDIDATE)).collect() == []
