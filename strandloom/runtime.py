@@ -71,6 +71,13 @@ def task_count(spark: SparkSession, rows: int, rows_per_task: int = ROWS_PER_TAS
     return max(shuffle_width(spark), math.ceil(rows / rows_per_task), 1)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of too few pieces for the cores at hand, dealt out to all of them; a scan with
+    enough pieces, as any large table has, is returned as it is."""
+    cores = min(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per Spark application."""
     import os
