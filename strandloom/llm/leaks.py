@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.runtime import spread
+
 #: Characters of items in one broadcast table (its arrays take about 24 bytes each).
 MAX_ITEM_CHARS = 2_000_000
 MIN_WORDS = 15
@@ -258,7 +260,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = MIN
     longest such passage. With no edits the words are consecutive and equal."""
     spark = documents.sparkSession
     texts = documents.where(F.col("doc_id").isNotNull()).select("doc_id", plain(F.col("text")).alias("plain"))
-    texts = texts.where(F.length("plain") >= 2 * min_words - 1)
+    texts = spread(texts.where(F.length("plain") >= 2 * min_words - 1))
     held = items.where(F.col("item_id").isNotNull()).select("item_id", plain(F.col("text")).alias("plain")).where(F.col("plain") != "")
     rows = held.dropDuplicates(["item_id"]).toLocalIterator()  # the items are a fixed table
     tables, ids, words, chars = [], [], [], 0
