@@ -1,4 +1,4 @@
-"""Random walk with restart on layered networks, with a fixed number of iterations.
+"""Random walk with restart on layered networks, run until it converges.
 
 Two definitions are kept apart:
 
@@ -6,20 +6,123 @@ Two definitions are kept apart:
 * :func:`multiplex_walks`: coupled layers; a share ``delta`` of the walk changes layer,
   evenly to the other layers that hold the node.
 
-State is a long table keyed by (set_id, layer, node); all seed sets advance in one loop.
-Scores are rounded to 12 digits in each step, so that the order of sums does not show.
+A walk is iterated until no vector changes by more than its tolerance (L1; the reference's
+1e-8 and 1e-10). A step shrinks every change by 1 - restart, so the number of rounds is
+bounded beforehand, and :class:`NotConverged` is raised if that bound is passed.
+A number of ``iterations`` given by the caller is run instead, as the registered SQL does:
+its scores are rounded to 12 digits in each step, so that the order of sums does not show,
+and nodes farther from the seeds than that number have no score.
+
+State is a long table keyed by (set_id, layer, node); all seed sets advance in one loop. A
+network of up to :data:`MAX_LOCAL_MOVES` moves is co-located with batches of seed sets
+instead, and each batch is iterated in one task; the results agree within the tolerance.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.edges import symmetric
-from strandloom.runtime import materialize, release
+from strandloom.runtime import materialize, release, shuffle_width
 
 REDUCTIONS = ("arithmetic", "geometric", "sum")
 
+#: Changes (L1) at which a walk has converged.
+LAYER_TOLERANCE, MULTIPLEX_TOLERANCE = 1e-8, 1e-10
+#: Moves of a network that one task may hold (about 0.3 GB of Python memory).
+MAX_LOCAL_MOVES = 3_000_000
+
+
+class NotConverged(RuntimeError):
+    """A walk still changed by more than its tolerance after the largest number of rounds."""
+
+
+def most_rounds(restart: float, tolerance: float) -> int:
+    """Rounds after which a walk of this restart must have converged; 50 at the least."""
+    if not 0 < restart <= 1:
+        raise ValueError("a walk converges only with a restart above 0 and up to 1")
+    return max(50, 2 + math.ceil(math.log(tolerance / 2) / math.log(1 - restart))) if restart < 1 else 50
+
+
+def converged(moves: DataFrame, start: DataFrame, restart: float, tolerance: float, max_local_moves: int = MAX_LOCAL_MOVES) -> DataFrame:
+    """(set_id, layer, node, score): the fixed point of score = (1 - restart) * moved + restart * p0.
+
+    ``moves`` (layer, src, to, dst, p) has the chances of each step between slots (layer, node),
+    ``start`` (set_id, layer, node, p0) the start vectors.
+    """
+    rounds = most_rounds(restart, tolerance)
+    moves, start = materialize(moves, "moves"), materialize(start, "start")
+    if moves.count() <= max_local_moves:
+        return materialize(_converged_local(moves, start, restart, tolerance, rounds), "walk")
+    now = start.select("set_id", "layer", "node", F.col("p0").alias("score"))
+    held = None
+    for _ in range(rounds):
+        moved = now.join(moves.withColumnRenamed("src", "node"), ["layer", "node"]).select(
+            "set_id", F.col("to").alias("layer"), F.col("dst").alias("node"), (F.col("score") * F.col("p") * (1 - restart)).alias("score"), F.lit(0.0).alias("was")
+        )
+        back = start.select("set_id", "layer", "node", (F.col("p0") * restart).alias("score"), F.lit(0.0).alias("was"))
+        before = now.select("set_id", "layer", "node", F.lit(0.0).alias("score"), F.col("score").alias("was"))
+        after = materialize(
+            moved.unionByName(back).unionByName(before).groupBy("set_id", "layer", "node").agg(F.sum("score").alias("score"), F.sum("was").alias("was")), "walk"
+        )
+        release(held)
+        now = held = after
+        off = after.groupBy("set_id").agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("d")).agg(F.max("d")).first()[0]
+        if off is None or off < tolerance:
+            return after.select("set_id", "layer", "node", "score")
+    raise NotConverged(f"a walk still changed by {off:g} after {rounds} rounds")
+
+
+def _converged_local(moves: DataFrame, start: DataFrame, restart: float, tolerance: float, rounds: int) -> DataFrame:
+    """The same walks with the network brought to each batch of seed sets."""
+    spark = moves.sparkSession
+    slots = moves.select("layer", F.col("src").alias("node")).union(moves.select("to", "dst")).union(start.select("layer", "node")).distinct()
+    slots = materialize(slots.withColumn("slot", F.row_number().over(Window.orderBy("layer", "node")) - 1), "slots")
+    batches = shuffle_width(spark)
+    batch = F.pmod(F.xxhash64("set_id"), F.lit(batches)).cast("int").alias("batch")
+    at = start.join(slots, ["layer", "node"]).select("set_id", batch, "slot", "p0")
+    used = at.select(F.col("batch").alias("for")).distinct()
+    links = (
+        moves.join(slots.select("layer", F.col("node").alias("src"), F.col("slot").alias("a")), ["layer", "src"])
+        .join(slots.select(F.col("layer").alias("to"), F.col("node").alias("dst"), F.col("slot").alias("b")), ["to", "dst"])
+        .select("a", "b", "p")
+        .crossJoin(F.broadcast(used))  # the network once for each batch of sets
+    )
+    kind = start.schema["set_id"].dataType.simpleString()
+    found = at.groupBy("batch").cogroup(links.groupBy("for")).applyInPandas(_iterate(restart, tolerance, rounds), f"set_id {kind}, slot int, score double")
+    return found.join(slots, "slot").select("set_id", "layer", "node", "score")
+
+
+def _iterate(restart: float, tolerance: float, rounds: int) -> Callable:
+    def run(start: pd.DataFrame, links: pd.DataFrame):
+        size = 1 + int(max(start["slot"].max(), links["a"].max() if len(links) else -1, links["b"].max() if len(links) else -1))
+        order = np.argsort(links["b"].to_numpy(), kind="stable")
+        a, b = links["a"].to_numpy()[order], links["b"].to_numpy()[order]
+        p = links["p"].to_numpy()[order] * (1 - restart)
+        out = []
+        for name, own in start.groupby("set_id", sort=False):
+            p0 = np.bincount(own["slot"], own["p0"], size)
+            now = p0
+            for _ in range(rounds):
+                after = np.bincount(b, now[a] * p, size) + restart * p0
+                off = np.abs(after - now).sum()
+                now = after
+                if off < tolerance:
+                    break
+            else:
+                raise NotConverged(f"the walk of {name} still changed by {off:g} after {rounds} rounds")
+            held = np.flatnonzero(now)
+            out.append(pd.DataFrame({"set_id": name, "slot": held.astype(np.int32), "score": now[held]}))
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
 
 def transitions(edges: DataFrame, scale: float = 1.0) -> DataFrame:
     """(layer, src, dst, p): the chance of each step from src, times ``scale``."""
@@ -46,13 +149,23 @@ def seed_rows(edges: DataFrame, seeds: DataFrame, taus: dict[str, float] | None
     )
 
 
-def layer_walks(edges: DataFrame, seeds: DataFrame, restart: float = 0.35, iterations: int = 4) -> DataFrame:
+def layer_walks(
+    edges: DataFrame,
+    seeds: DataFrame,
+    restart: float = 0.35,
+    iterations: int | None = None,
+    tolerance: float = LAYER_TOLERANCE,
+    max_local_moves: int = MAX_LOCAL_MOVES,
+) -> DataFrame:
     """(set_id, layer, node, score): a walk in each layer that has an active seed."""
     step = materialize(transitions(edges), "steps")
     at = symmetric(edges).select("layer", F.col("src").alias("node")).distinct()
     active = seeds.select("set_id", "node").distinct().join(at, "node")
     many = active.groupBy("set_id", "layer").agg(F.count("*").alias("n"))
     start = materialize(active.join(many, ["set_id", "layer"]).select("set_id", "layer", "node", (1 / F.col("n")).alias("score")), "walk")
+    if iterations is None:
+        moves = step.select("layer", "src", F.col("layer").alias("to"), "dst", "p")
+        return converged(moves, start.withColumnRenamed("score", "p0"), restart, tolerance, max_local_moves)
     now = start
     for _ in range(iterations):
         moved = now.join(step.withColumnRenamed("src", "node"), ["layer", "node"]).select(
@@ -80,10 +193,12 @@ def multiplex_walks(
     seeds: DataFrame,
     restart: float = 0.7,
     delta: float = 0.5,
-    iterations: int = 4,
+    iterations: int | None = None,
     taus: dict[str, float] | None = None,
     inter: DataFrame | None = None,
     scale: float | None = None,
+    tolerance: float = MULTIPLEX_TOLERANCE,
+    max_local_moves: int = MAX_LOCAL_MOVES,
 ) -> DataFrame:
     """(set_id, layer, node, score) of coupled walks.
 
@@ -100,6 +215,11 @@ def multiplex_walks(
         inter = at.join(held, "node").select("layer", "node", F.when(F.col("n") > 1, delta / (F.col("n") - 1)).otherwise(0.0).alias("d"))
     inter = materialize(inter, "inter")
     start = materialize(seed_rows(edges, seeds, taus), "walk")
+    if iterations is None:
+        inside = step.select("layer", "src", F.col("layer").alias("to"), "dst", "p")
+        others = inter.where("d > 0").join(at.select("node", F.col("layer").alias("to")), "node").where(F.col("layer") != F.col("to"))
+        moves = inside.unionByName(others.select("layer", F.col("node").alias("src"), "to", F.col("node").alias("dst"), F.col("d").alias("p")))
+        return converged(moves, start, restart, tolerance, max_local_moves)
     now = start.withColumnRenamed("p0", "score")
     held = None
     for _ in range(iterations):
@@ -162,7 +282,7 @@ def leave_one_out(seeds: DataFrame) -> DataFrame:
     )
 
 
-def essentiality(edges: DataFrame, seeds: DataFrame, null_sets: DataFrame, restart: float = 0.7, delta: float = 0.5, iterations: int = 3) -> DataFrame:
+def essentiality(edges: DataFrame, seeds: DataFrame, null_sets: DataFrame, restart: float = 0.7, delta: float = 0.5, iterations: int | None = None) -> DataFrame:
     """(set_id, position, left_out, rank, null_median, delta): how early each seed is found
     from the others, against the median of random sets at the same place.
 
@@ -182,7 +302,7 @@ def essentiality(edges: DataFrame, seeds: DataFrame, null_sets: DataFrame, resta
     )
 
 
-def ablation(edges: DataFrame, seeds: DataFrame, restart: float = 0.7, delta: float = 0.5, iterations: int = 3) -> DataFrame:
+def ablation(edges: DataFrame, seeds: DataFrame, restart: float = 0.7, delta: float = 0.5, iterations: int | None = None) -> DataFrame:
     """(layer, set_id, node, score, base): vectors after dropping each layer, beside the full ones."""
     full = reduced(multiplex_walks(edges, seeds, restart, delta, iterations), edges, "arithmetic").withColumnRenamed("score", "base")
     full = materialize(full, "base")
@@ -199,7 +319,7 @@ def ablation(edges: DataFrame, seeds: DataFrame, restart: float = 0.7, delta: fl
     )
 
 
-def perturbation(edges: DataFrame, seeds: DataFrame, node: str, restart: float = 0.7, delta: float = 0.5, iterations: int = 3) -> DataFrame:
+def perturbation(edges: DataFrame, seeds: DataFrame, node: str, restart: float = 0.7, delta: float = 0.5, iterations: int | None = None) -> DataFrame:
     """(set_id, node, score, base): vectors after taking a node's edges away. The weights
     between layers stay those of the full network."""
     at = symmetric(edges).select("layer", F.col("src").alias("node")).distinct()

@@ -2,6 +2,10 @@
 
 The network: one layer per return flag, an edge between a part and a supplier, its weight
 the number of line items. Seed sets: per region, the richest supplier of each nation.
+
+Queries named ``*_converged`` run their walks to the fixed point and have no SQL; the ones
+of the same name without it stop after STEPS (2 for ablation and perturbation) rounds, as
+their SQL spells out, and serve only as a check against it.
 """
 
 from __future__ import annotations
@@ -165,9 +169,9 @@ def _digits(column: str):
     return F.round(F.col(column) + 1.3e-11, 8)
 
 
-def _vectors(spark, d, how="geometric"):
+def _vectors(spark, d, how="geometric", steps=STEPS):
     net = stored_network(spark, d)
-    return walks.reduced(walks.multiplex_walks(net, seeds(spark, d), RESTART, DELTA, STEPS), net, how)
+    return walks.reduced(walks.multiplex_walks(net, seeds(spark, d), RESTART, DELTA, steps), net, how)
 
 
 def walk_reduced(how):
@@ -179,18 +183,30 @@ def walk_reduced(how):
 
 
 def walk_ranks(spark, d):
-    scores = _vectors(spark, d, "arithmetic").withColumn("score", _digits("score"))
+    return _ranks(spark, d, STEPS)
+
+
+def _ranks(spark, d, steps):
+    scores = _vectors(spark, d, "arithmetic", steps).withColumn("score", _digits("score"))
     return walks.ranked(scores, seeds(spark, d)).select("set_id", "node", "rank", "is_seed")
 
 
 def lines_of_evidence(spark, d):
-    scores = _vectors(spark, d, "arithmetic").withColumn("score", _digits("score"))
+    return _evidence(spark, d, STEPS)
+
+
+def _evidence(spark, d, steps):
+    scores = _vectors(spark, d, "arithmetic", steps).withColumn("score", _digits("score"))
     return walks.top(walks.ranked(scores, seeds(spark, d), drop_seeds=True, ties="min"), 20).select("set_id", "node", "score", "rank")
 
 
 def walk_distances(spark, d):
+    return _distances(spark, d, STEPS)
+
+
+def _distances(spark, d, steps):
     """Distances between the vectors of every two seed sets."""
-    v = materialize(_vectors(spark, d, "arithmetic").withColumn("score", _digits("score")), "vectors")
+    v = materialize(_vectors(spark, d, "arithmetic", steps).withColumn("score", _digits("score")), "vectors")
     names = v.select("set_id").distinct()
     a, b = names.toDF("a"), names.toDF("b")
     nodes = v.select("node").distinct()
@@ -203,18 +219,30 @@ def walk_distances(spark, d):
 
 
 def layer_ablation(spark, d):
-    rows = walks.ablation(stored_network(spark, d), seeds(spark, d), RESTART, DELTA, 2)
+    return _ablated_layers(spark, d, 2)
+
+
+def _ablated_layers(spark, d, steps):
+    rows = walks.ablation(stored_network(spark, d), seeds(spark, d), RESTART, DELTA, steps)
     out = vectors.column_distances(rows, ["layer", "set_id"], "score", "base")
     return out.select("layer", "set_id", F.round("pearson", 6).alias("pearson"), F.round("cosine", 6).alias("cosine"))
 
 
 def layer_ablation_summary(spark, d):
-    out = vectors.effect_summary(layer_ablation(spark, d), "layer", "pearson")
+    return _ablation_summary(layer_ablation(spark, d))
+
+
+def _ablation_summary(ablated):
+    out = vectors.effect_summary(ablated, "layer", "pearson")
     return out.select("layer", *[F.round(c, 6).alias(c) for c in ("mean", "max", "min")], "n")
 
 
 def node_perturbation(spark, d):
-    rows = walks.perturbation(stored_network(spark, d), seeds(spark, d), "S1", RESTART, DELTA, 2)
+    return _perturbed(spark, d, 2)
+
+
+def _perturbed(spark, d, steps):
+    rows = walks.perturbation(stored_network(spark, d), seeds(spark, d), "S1", RESTART, DELTA, steps)
     out = vectors.column_distances(rows, ["set_id"], "score", "base")
     return out.select("set_id", F.round("pearson", 6).alias("pearson"), F.round("cosine", 6).alias("cosine"))
 
@@ -233,6 +261,55 @@ def seed_essentiality(spark, d):
     )
 
 
+def layer_walks_converged(spark, d):
+    return walks.layer_walks(stored_network(spark, d), seeds(spark, d)).withColumn("score", F.round("score", 8))
+
+
+def walk_means_converged(spark, d):
+    net = stored_network(spark, d)
+    return walks.mean_over_layers(walks.layer_walks(net, seeds(spark, d)), net).withColumn("score", F.round("score", 8))
+
+
+def multiplex_walks_converged(spark, d):
+    return walks.multiplex_walks(stored_network(spark, d), seeds(spark, d), RESTART, DELTA).withColumn("score", F.round("score", 8))
+
+
+def walk_reduced_converged(how):
+    def query(spark, d):
+        return _vectors(spark, d, how, None).withColumn("score", F.round("score", 8))
+
+    query.__name__ = f"walk_reduced_{how}_converged"
+    return query
+
+
+def walk_ranks_converged(spark, d):
+    return _ranks(spark, d, None)
+
+
+def lines_of_evidence_converged(spark, d):
+    return _evidence(spark, d, None)
+
+
+def walk_distances_converged(spark, d):
+    return _distances(spark, d, None)
+
+
+def score_elbow_converged(spark, d):
+    return _elbow(spark, d, None)
+
+
+def layer_ablation_converged(spark, d):
+    return _ablated_layers(spark, d, None)
+
+
+def layer_ablation_summary_converged(spark, d):
+    return _ablation_summary(layer_ablation_converged(spark, d))
+
+
+def node_perturbation_converged(spark, d):
+    return _perturbed(spark, d, None)
+
+
 def vector_pairs(spark, d):
     e = table(spark, d, "embeddings")
     out = vectors.pairwise(e, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
@@ -240,7 +317,11 @@ def vector_pairs(spark, d):
 
 
 def score_elbow(spark, d):
-    scores = walks.ranked(_vectors(spark, d, "arithmetic"), ties="min")
+    return _elbow(spark, d, STEPS)
+
+
+def _elbow(spark, d, steps):
+    scores = walks.ranked(_vectors(spark, d, "arithmetic", steps), ties="min")
     place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("score"), "node"))
     return vectors.elbow(scores.withColumn("place", place).withColumn("score", F.round("score", 8)), "set_id", "place", "score")
 
@@ -252,7 +333,9 @@ QUERIES = {
         neighbour_union, induced_edges, induced_summary, node_layers, layer_matrix, present_nodes, hop_distances, weighted_distances,
         path_layer_counts, identifier_components, component_sizes, layer_walks, walk_means, multiplex_walks,
         *map(walk_reduced, walks.REDUCTIONS), walk_ranks, lines_of_evidence, walk_distances, layer_ablation, layer_ablation_summary,
-        node_perturbation, seed_essentiality, vector_pairs, score_elbow,
+        node_perturbation, seed_essentiality, vector_pairs, score_elbow, layer_walks_converged, walk_means_converged, multiplex_walks_converged,
+        *map(walk_reduced_converged, walks.REDUCTIONS), walk_ranks_converged, lines_of_evidence_converged, walk_distances_converged,
+        layer_ablation_converged, layer_ablation_summary_converged, node_perturbation_converged, score_elbow_converged,
     )
 }
 
