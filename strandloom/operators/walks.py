@@ -21,7 +21,7 @@ instead, and each batch is iterated in one task; the results agree within the to
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,51 +79,81 @@ def converged(moves: DataFrame, start: DataFrame, restart: float, tolerance: flo
     raise NotConverged(f"a walk still changed by {off:g} after {rounds} rounds")
 
 
-def _converged_local(moves: DataFrame, start: DataFrame, restart: float, tolerance: float, rounds: int) -> DataFrame:
-    """The same walks with the network brought to each batch of seed sets."""
-    spark = moves.sparkSession
+def _co_located(moves: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(slots, start rows, links): numbered slots and nodes, and the network once for each batch of sets."""
     slots = moves.select("layer", F.col("src").alias("node")).union(moves.select("to", "dst")).union(start.select("layer", "node")).distinct()
-    slots = materialize(slots.withColumn("slot", F.row_number().over(Window.orderBy("layer", "node")) - 1), "slots")
-    batches = shuffle_width(spark)
-    batch = F.pmod(F.xxhash64("set_id"), F.lit(batches)).cast("int").alias("batch")
-    at = start.join(slots, ["layer", "node"]).select("set_id", batch, "slot", "p0")
+    slots = materialize(
+        slots.withColumn("slot", F.row_number().over(Window.orderBy("node", "layer")) - 1).withColumn("who", F.dense_rank().over(Window.orderBy("node")) - 1), "slots"
+    )
+    batch = F.pmod(F.xxhash64("set_id"), F.lit(shuffle_width(moves.sparkSession))).cast("int").alias("batch")
+    at = materialize(start.join(slots, ["layer", "node"]).select("set_id", batch, "slot", "p0"), "starts")
     used = at.select(F.col("batch").alias("for")).distinct()
     links = (
         moves.join(slots.select("layer", F.col("node").alias("src"), F.col("slot").alias("a")), ["layer", "src"])
-        .join(slots.select(F.col("layer").alias("to"), F.col("node").alias("dst"), F.col("slot").alias("b")), ["to", "dst"])
-        .select("a", "b", "p")
-        .crossJoin(F.broadcast(used))  # the network once for each batch of sets
+        .join(slots.select(F.col("layer").alias("to"), F.col("node").alias("dst"), F.col("slot").alias("b"), "who"), ["to", "dst"])
+        .select("a", "b", "who", "p")
+        .crossJoin(F.broadcast(used))
     )
+    return slots, at, links
+
+
+def _converged_local(moves: DataFrame, start: DataFrame, restart: float, tolerance: float, rounds: int) -> DataFrame:
+    """The same walks with the network brought to each batch of seed sets."""
+    slots, at, links = _co_located(moves, start)
     kind = start.schema["set_id"].dataType.simpleString()
     found = at.groupBy("batch").cogroup(links.groupBy("for")).applyInPandas(_iterate(restart, tolerance, rounds), f"set_id {kind}, slot int, score double")
     return found.join(slots, "slot").select("set_id", "layer", "node", "score")
 
 
+def _vectors(start: pd.DataFrame, links: pd.DataFrame, restart: float, tolerance: float, rounds: int) -> Iterator[tuple]:
+    """(name, start rows, scores by slot) of every set of a batch."""
+    size = 1 + int(max(start["slot"].max(), *(links[c].max() if len(links) else -1 for c in ("a", "b"))))
+    a, b = links["a"].to_numpy(), links["b"].to_numpy()
+    p = links["p"].to_numpy() * (1 - restart)
+    for name, own in start.groupby("set_id", sort=False):
+        p0 = np.bincount(own["slot"], own["p0"], size)
+        now = p0
+        for _ in range(rounds):
+            after = np.bincount(b, now[a] * p, size) + restart * p0
+            off = np.abs(after - now).sum()
+            now = after
+            if off < tolerance:
+                break
+        else:
+            raise NotConverged(f"the walk of {name} still changed by {off:g} after {rounds} rounds")
+        yield name, own, now
+
+
 def _iterate(restart: float, tolerance: float, rounds: int) -> Callable:
-    def run(start: pd.DataFrame, links: pd.DataFrame):
-        size = 1 + int(max(start["slot"].max(), links["a"].max() if len(links) else -1, links["b"].max() if len(links) else -1))
-        order = np.argsort(links["b"].to_numpy(), kind="stable")
-        a, b = links["a"].to_numpy()[order], links["b"].to_numpy()[order]
-        p = links["p"].to_numpy()[order] * (1 - restart)
+    def run(start: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for name, own in start.groupby("set_id", sort=False):
-            p0 = np.bincount(own["slot"], own["p0"], size)
-            now = p0
-            for _ in range(rounds):
-                after = np.bincount(b, now[a] * p, size) + restart * p0
-                off = np.abs(after - now).sum()
-                now = after
-                if off < tolerance:
-                    break
-            else:
-                raise NotConverged(f"the walk of {name} still changed by {off:g} after {rounds} rounds")
-            held = np.flatnonzero(now)
-            out.append(pd.DataFrame({"set_id": name, "slot": held.astype(np.int32), "score": now[held]}))
+        for name, _, scores in _vectors(start, links, restart, tolerance, rounds):
+            held = np.flatnonzero(scores)
+            out.append(pd.DataFrame({"set_id": name, "slot": held.astype(np.int32), "score": scores[held]}))
         return pd.concat(out, ignore_index=True)
 
     return run
 
 
+def _rank_target(restart: float, tolerance: float, rounds: int, layers: int) -> Callable:
+    """The mean rank of each set's target node among all nodes but the set's own."""
+
+    def run(start: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        who = np.zeros(1 + int(links["b"].max()), np.int64)
+        who[links["b"].to_numpy()] = links["who"].to_numpy()
+        for name, own, scores in _vectors(start, links, restart, tolerance, rounds):
+            score = np.round(np.bincount(who, scores[: len(who)]) / layers, 12)
+            target = int(own["target"].iloc[0])
+            value = score[target] if target >= 0 else 0.0
+            score[who[own["slot"].to_numpy()]] = -1.0  # the set's own nodes have no rank
+            tied = (score == value).sum() + (target < 0)
+            out.append((name, 1 + (score > value).sum() + (tied - 1) / 2))
+        return pd.DataFrame(out, columns=["set_id", "rank"])
+
+    return run
+
+
 def transitions(edges: DataFrame, scale: float = 1.0) -> DataFrame:
     """(layer, src, dst, p): the chance of each step from src, times ``scale``."""
     both = symmetric(edges)
@@ -199,8 +229,9 @@ def multiplex_walks(
     scale: float | None = None,
     tolerance: float = MULTIPLEX_TOLERANCE,
     max_local_moves: int = MAX_LOCAL_MOVES,
+    then: Callable | None = None,
 ) -> DataFrame:
-    """(set_id, layer, node, score) of coupled walks.
+    """(set_id, layer, node, score) of coupled walks, or what ``then`` makes of their moves and starts.
 
     One step: (1 - restart) * (within layers + from the other layers) + restart * start.
     A node in L layers sends delta / (L - 1) of its score to each other one; with a single
@@ -219,7 +250,7 @@ def multiplex_walks(
         inside = step.select("layer", "src", F.col("layer").alias("to"), "dst", "p")
         others = inter.where("d > 0").join(at.select("node", F.col("layer").alias("to")), "node").where(F.col("layer") != F.col("to"))
         moves = inside.unionByName(others.select("layer", F.col("node").alias("src"), "to", F.col("node").alias("dst"), F.col("d").alias("p")))
-        return converged(moves, start, restart, tolerance, max_local_moves)
+        return (then or converged)(moves, start, restart, tolerance, max_local_moves)
     now = start.withColumnRenamed("p0", "score")
     held = None
     for _ in range(iterations):
@@ -282,7 +313,59 @@ def leave_one_out(seeds: DataFrame) -> DataFrame:
     )
 
 
-def essentiality(edges: DataFrame, seeds: DataFrame, null_sets: DataFrame, restart: float = 0.7, delta: float = 0.5, iterations: int | None = None) -> DataFrame:
+def left_out_ranks(edges: DataFrame, sets: DataFrame, restart: float, delta: float, max_local_moves: int = MAX_LOCAL_MOVES) -> DataFrame:
+    """(set_id, left_out, rank): where each left-out node stands in the converged walk from
+    the set's other nodes, among all nodes but these; tied nodes share their mean rank.
+
+    ``sets`` is the result of :func:`leave_one_out`. A node that the walk does not reach has
+    score 0 and the rank tied with all such nodes."""
+    layers = edges.select("layer").distinct().count()
+    nodes = materialize(symmetric(edges).select(F.col("src").alias("node")).distinct(), "nodes")
+    n = nodes.count()
+    targets = sets.select("set_id", "left_out").distinct()
+
+    def ranks(moves: DataFrame, start: DataFrame, restart: float, tolerance: float, most: int) -> DataFrame:
+        moves, start = materialize(moves, "moves"), materialize(start, "start")
+        if moves.count() <= most:
+            slots, at, links = _co_located(moves, start)
+            known = targets.join(slots.select(F.col("node").alias("left_out"), F.col("who").alias("target")).distinct(), "left_out", "left")
+            at = at.join(known.select("set_id", F.coalesce("target", F.lit(-1)).alias("target")), "set_id")
+            work = _rank_target(restart, tolerance, most_rounds(restart, tolerance), layers)
+            return at.groupBy("batch").cogroup(links.groupBy("for")).applyInPandas(work, "set_id string, rank double")
+        scores = reduced(converged(moves, start, restart, tolerance, most), edges, "arithmetic").where("score > 0")
+        placed = materialize(ranked(scores, sets.select("set_id", "node"), drop_seeds=True), "placed")
+        own = sets.join(nodes, "node").groupBy("set_id").agg(F.count("*").alias("own"))
+        reached = placed.groupBy("set_id").agg(F.count("*").alias("reached"))
+        absent = F.col("held").isNull().cast("int")  # a target without an edge is one more unreached node
+        last = F.coalesce("reached", F.lit(0)) + (n + absent - F.coalesce("own", F.lit(0)) - F.coalesce("reached", F.lit(0)) + 1) / 2
+        return (
+            targets.join(placed.select("set_id", F.col("node").alias("left_out"), "rank"), ["set_id", "left_out"], "left")
+            .join(own, "set_id", "left").join(reached, "set_id", "left")
+            .join(nodes.select(F.col("node").alias("left_out"), F.lit(True).alias("held")), "left_out", "left")
+            .select("set_id", F.coalesce("rank", last).alias("rank"))
+        )
+
+    found = materialize(multiplex_walks(edges, sets.select("set_id", "node"), restart, delta, max_local_moves=max_local_moves, then=ranks), "ranks")
+    # sets of which no node has an edge: all nodes tie at 0
+    return (
+        targets.join(found, "set_id", "left")
+        .join(nodes.select(F.col("node").alias("left_out"), F.lit(True).alias("held")), "left_out", "left")
+        .select("set_id", "left_out", F.coalesce("rank", (n + F.col("held").isNull().cast("int") + 1) / 2).alias("rank"))
+    )
+
+
+def random_sets(pool: DataFrame, seeds: DataFrame, samples: int = 100) -> DataFrame:
+    """(set_id, node): for every seed set ``samples`` sets ``<set>~<k>`` of its own size from
+    ``pool`` (node), drawn by hash order."""
+    size = seeds.distinct().groupBy("set_id").agg(F.count("*").alias("size"))
+    asked = size.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    named = asked.select(F.concat_ws("~", F.col("set_id").cast("string"), F.col("k").cast("string")).alias("set_id"), "size")
+    order = Window.partitionBy("set_id").orderBy(F.xxhash64("set_id", "node"), "node")
+    drawn = pool.select("node").distinct().crossJoin(F.broadcast(named)).withColumn("place", F.row_number().over(order))
+    return drawn.where(F.col("place") <= F.col("size")).select("set_id", "node")
+
+
+def essentiality(edges: DataFrame, seeds: DataFrame, null_sets: DataFrame, restart: float = 0.7, delta: float = 0.5, max_local_moves: int = MAX_LOCAL_MOVES) -> DataFrame:
     """(set_id, position, left_out, rank, null_median, delta): how early each seed is found
     from the others, against the median of random sets at the same place.
 
@@ -290,12 +373,9 @@ def essentiality(edges: DataFrame, seeds: DataFrame, null_sets: DataFrame, resta
     """
     everything = leave_one_out(seeds.unionByName(null_sets))
     everything = materialize(everything.withColumn("group", F.regexp_replace("set_id", r"-[^-]*$", "")), "loo")
-    scores = reduced(multiplex_walks(edges, everything.select("set_id", "node"), restart, delta, iterations), edges, "arithmetic")
-    found = ranked(scores, everything.select("set_id", "node"), drop_seeds=True).join(
-        everything.select("set_id", "group", F.col("left_out").alias("node")).distinct(), ["set_id", "node"]
-    )
-    place = F.row_number().over(Window.partitionBy("group").orderBy("rank", "node"))
-    placed = found.select(F.split("group", "~").getItem(0).alias("base"), "group", "node", "rank", place.alias("position"))
+    found = left_out_ranks(edges, everything, restart, delta, max_local_moves).join(everything.select("set_id", "group").distinct(), "set_id")
+    place = F.row_number().over(Window.partitionBy("group").orderBy("rank", "left_out"))
+    placed = found.select(F.split("group", "~").getItem(0).alias("base"), "group", F.col("left_out").alias("node"), "rank", place.alias("position"))
     null = placed.where(F.col("group") != F.col("base")).groupBy("base", "position").agg(F.median("rank").alias("null_median"))
     return placed.where(F.col("group") == F.col("base")).join(null, ["base", "position"], "left").select(
         F.col("base").alias("set_id"), "position", F.col("node").alias("left_out"), "rank", "null_median", (F.col("null_median") - F.col("rank")).alias("delta")

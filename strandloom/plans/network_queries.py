@@ -249,14 +249,9 @@ def _perturbed(spark, d, steps):
 
 def seed_essentiality(spark, d):
     s = seeds(spark, d)
-    order = F.row_number().over(Window.orderBy(F.sha2("node", 256)))
     pool = table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"))
-    drawn = pool.join(s.select("node"), "node", "left_anti").withColumn("k", order).where("k <= 50")
-    sets = s.select("set_id").distinct().withColumn("g", F.row_number().over(Window.orderBy("set_id")) - 1)
-    null = sets.join(drawn, F.floor((F.col("k") - 1) / 10) == F.col("g")).select(
-        F.concat("set_id", F.lit("~"), (F.floor((F.col("k") - 1) / 5)).cast("string")).alias("set_id"), "node"
-    )
-    return walks.essentiality(stored_network(spark, d), s, null, RESTART, DELTA, 2).select(
+    null = walks.random_sets(pool.join(s.select("node"), "node", "left_anti"), s)
+    return walks.essentiality(stored_network(spark, d), s, null, RESTART, DELTA).select(
         "set_id", "position", "left_out", "rank", "null_median", "delta"
     )
 

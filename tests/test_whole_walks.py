@@ -55,3 +55,16 @@ def test_rounds_are_bounded():
     assert walks.most_rounds(0.35, 1e-8) == 50 and walks.most_rounds(0.05, 1e-8) > 300
     with pytest.raises(ValueError):
         walks.most_rounds(0.0, 1e-8)
+
+
+@pytest.mark.parametrize("local", [walks.MAX_LOCAL_MOVES, 0])
+def test_unreached_seeds_keep_the_last_rank(spark, local):
+    two = [("a", "n0", "n1", 1.0), ("a", "n1", "n2", 1.0), ("a", "n2", "n3", 1.0), ("a", "n3", "n4", 1.0), ("a", "u", "v", 1.0)]
+    edges = spark.createDataFrame(two, "layer string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("s", "n0"), ("s", "n4"), ("s", "u")], "set_id string, node string")
+    null = walks.random_sets(edges.selectExpr("src as node"), seeds)
+    assert null.groupBy("set_id").count().where("count = 3").count() == 100
+    got = {r.left_out: r for r in walks.essentiality(edges, seeds, null, max_local_moves=local).collect()}
+    assert sorted(r.position for r in got.values()) == [1, 2, 3] and all(r.null_median is not None for r in got.values())
+    assert got["u"].rank == 4.5  # n1, n2, n3 come first; u and v tie at 0
+    assert got["n0"].rank == 5.0 and got["n4"].rank == 5.0  # four hops away, after n1, n2, n3 and v
