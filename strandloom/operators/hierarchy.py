@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.runtime import materialize, release, task_count
@@ -33,7 +33,7 @@ MAX_LOCAL_NODES = 500_000
 
 SCHEMA = (
     "node_id bigint, root_id bigint, depth int, state string, "
-    "path array<bigint>, n_descendants bigint, closes_cycle boolean"
+    "path array<bigint>, n_descendants bigint, closes_cycle boolean, pre bigint"
 )
 
 
@@ -184,6 +184,8 @@ def _traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     below = np.zeros(n, np.int64)
     rooted = np.zeros(n, bool)
     closes = np.zeros(n, bool)
+    pre = np.zeros(n, np.int64)
+    met: dict[int, int] = {}
     on_cycle = np.zeros(n, bool)
     at = list(first)
 
@@ -192,6 +194,7 @@ def _traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         colour[start] = grey
         depth[start] = 0
         rooted[start] = is_root
+        seen = pre[start] = met.get(comp[start], 0)
         while stack:
             v = stack[-1]
             k = at[v]
@@ -202,6 +205,8 @@ def _traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     colour[w] = grey
                     depth[w] = depth[v] + 1
                     rooted[w] = is_root
+                    seen += 1
+                    pre[w] = seen
                     stack.append(w)
                 elif colour[w] == grey:  # a back edge: all from w up the stack is a cycle
                     closes[v] = True
@@ -211,6 +216,7 @@ def _traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 stack.pop()
                 if stack:
                     below[stack[-1]] += below[v] + 1
+        met[comp[start]] = int(seen) + 1
 
     for r in np.flatnonzero(~has).tolist():
         visit(r, True)
@@ -242,6 +248,7 @@ def _traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "path": paths,
                 "n_descendants": pd.Series(below[cut], dtype="Int64").where(rooted[cut]),
                 "closes_cycle": closes[cut],
+                "pre": pre[cut],
             }
         )
 
@@ -281,6 +288,8 @@ def _traverse_large(links: DataFrame) -> DataFrame:
         F.col("seg").alias("path"),
         "n_descendants",
         F.lit(False).alias("closes_cycle"),
+        # paths in order are a pre-order: a node, then all below it
+        (F.row_number().over(Window.partitionBy("comp").orderBy("seg")) - 1).cast("bigint").alias("pre"),
     )
     stuck = links.join(roots, "comp", "left_anti")
     jump = materialize(stuck.select("node_id", "comp", "parent", F.col("parent").alias("ptr")), "large")
@@ -307,7 +316,8 @@ def _traverse_large(links: DataFrame) -> DataFrame:
         F.col("parent").alias("node_id"), F.lit(True).alias("shut")
     )
     cycles = cycles.drop("parent", "closes_cycle").join(closing, "node_id", "left").select(
-        "node_id", "root_id", "depth", "state", "path", "n_descendants", F.coalesce("shut", F.lit(False)).alias("closes_cycle")
+        "node_id", "root_id", "depth", "state", "path", "n_descendants", F.coalesce("shut", F.lit(False)).alias("closes_cycle"),
+        F.lit(None).cast("bigint").alias("pre"),
     )
     return trees.unionByName(cycles)
 
@@ -318,7 +328,8 @@ def hierarchy(links: DataFrame, max_local_nodes: int = MAX_LOCAL_NODES) -> DataF
     Columns: ``root_id`` (the topmost ancestor, or the smallest node of the cycle),
     ``depth`` (-1 off the rooted trees), ``state`` (rooted, on_cycle, below_cycle),
     ``path`` (root to node; null unless rooted), ``n_descendants`` (null unless rooted)
-    and ``closes_cycle`` (the node's child link is the back edge of its cycle).
+    ``closes_cycle`` (the node's child link is the back edge of its cycle) and ``pre`` (the
+    place in a pre-order of its tree, from 0; of use on rooted trees only).
     """
     spark = links.sparkSession
     links = materialize(links.select(F.col("node_id").cast("bigint"), F.col("parent").cast("bigint")), "tree")
@@ -340,6 +351,36 @@ def hierarchy(links: DataFrame, max_local_nodes: int = MAX_LOCAL_NODES) -> DataF
     return local.unionByName(_traverse_large(labelled.join(large, "comp", "left_semi").select("node_id", "parent", "comp")))
 
 
+def intervals(links: DataFrame, max_local_nodes: int = MAX_LOCAL_NODES) -> DataFrame:
+    """(node_id, root_id, state, pre, first, last) for every node of ``links``: the nodes
+    below it are those of the same root_id whose ``pre`` is from ``first`` to ``last``.
+
+    A cycle is opened above its smallest node, which gives a tree. A node below a cycle has
+    its own subtree; a node on a cycle has the whole component below it, itself included.
+    """
+    links = materialize(links.select(F.col("node_id").cast("bigint"), F.col("parent").cast("bigint")), "tree")
+    tree = materialize(hierarchy(links, max_local_nodes), "tree")
+    off = materialize(tree.where("state <> 'rooted'").select("node_id", "root_id", "state"), "off")
+    opened = links.join(off, "node_id").select(
+        "node_id", F.when(F.col("node_id") != F.col("root_id"), F.col("parent")).alias("parent")
+    )
+    span = ["node_id", "root_id", "state", "pre", (F.col("pre") + 1).alias("first"), (F.col("pre") + F.col("n_descendants")).alias("last")]
+    cut = hierarchy(opened, max_local_nodes).select("node_id", "pre", "n_descendants").join(off, "node_id").select(*span)
+    size = off.groupBy("root_id").agg(F.count("*").alias("n"))
+    on = F.col("state") == "on_cycle"
+    cut = cut.join(size, "root_id").select(
+        "node_id", "root_id", "state", "pre", F.when(on, F.lit(0)).otherwise(F.col("first")).cast("bigint").alias("first"),
+        F.when(on, F.col("n") - 1).otherwise(F.col("last")).alias("last"),
+    )
+    return tree.where("state = 'rooted'").select(*span).unionByName(cut)
+
+
+def below(spans: DataFrame, wanted) -> DataFrame:
+    """(node_id, descendant_id) of the nodes of :func:`intervals` for which ``wanted(node_id)`` holds."""
+    lower = spans.select("root_id", F.col("node_id").alias("descendant_id"), F.col("pre").alias("at"))
+    return spans.where(wanted(F.col("node_id"))).where("first <= last").join(lower, "root_id").where("at between first and last").select("node_id", "descendant_id")
+
+
 def descendants(tree: DataFrame, wanted) -> DataFrame:
     """(node_id, descendant_id, distance) for every ancestor for which the column
     ``wanted(node_id)`` holds: all nodes below it, found in the paths of ``tree``."""

@@ -33,6 +33,12 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hi.descendants(_tree(spark, d), lambda node: node % 100 == 0)
 
 
+def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes below every node, on and below cycles too, as intervals of a pre-order
+    (see :func:`strandloom.operators.hierarchy.intervals`)."""
+    return hi.intervals(hi.child_links(table(spark, d, "dendrogram_nodes"), table(spark, d, "parent_index")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten(table(spark, d, "branch_pools")).select(
         "pool_id", "branch_id", "entity", "parent_key", "item_key"
@@ -48,7 +54,7 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     return nested.subtype_table(nested.flatten(table(spark, d, "branch_pools")), "local_score")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p3_found, p3_variants, p3_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_intervals, p3_found, p3_variants, p3_scores)}
 
 _LINKS = """
 dn AS (SELECT DISTINCT node_id, left_id, right_id FROM (
