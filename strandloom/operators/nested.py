@@ -1,12 +1,14 @@
 """Deeply nested records to related flat tables.
 
 Method: every text is read once; a bottom-up tree automaton gives each value a state from
-its own kind and the states of its children. A state is what later routing needs to know
-of a subtree: ``null``, ``text``, ``number``, ``flag``, ``encoded:<state>`` (a text that is
-itself JSON), ``list``, ``keyed`` (an object used as a map) or ``object``. Each field of the
-record grammar names the entity its items belong to; the states met on the way decide the
-variant, the variant is routed to its typed subtype table, and all variants of an entity
-keep the common supertype keys (pool_id, branch_id, entity, parent_key, item_key).
+its own kind, its field names and the states of its children: ``null``, ``text``,
+``number``, ``flag``, ``encoded:<state>`` (a text that is itself JSON), ``list[<states>]``,
+``keyed[<states>]`` (an object used as a map) or ``object{<field>:<state>}``; a long state
+is named by its hash. Each field of the record grammar names the entity its items belong
+to; the states met on the way are the variant, the states of an object's attributes choose
+the parser that brings them to the types of the subtype table (a number in a text becomes
+a number; a text that is none stays in ``attributes`` and is null in the typed table), and
+all variants of an entity keep the common supertype keys (pool_id, branch_id, entity, parent_key, item_key).
 
 Input conventions:
 
@@ -21,8 +23,10 @@ Input conventions:
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +42,7 @@ SCHEMA = (
 SUBTYPES = {
     "branch": "decision string, claim string, status string, remaining_budget bigint, reasoning_text string",
     "tool_action": "tool_name string, arguments string",
-    "local_score": "schema_score double, complex_membership_delta double, total_score double, normalized_score double",
+    "local_score": "schema_score double, complex_membership_delta double, total_score double, normalized_score double, score_metadata string",
     "group": "rationale string",
     "group_gene": "position bigint",
     "evidence": "source_type string, summary string",
@@ -51,11 +55,22 @@ SUBTYPES = {
 BRANCH_FIELDS = {"branch_id", "actor_step", "verifier_step", "local_score", "observation"}
 
 
+#: States longer than this are named by a hash of what they hold.
+LONGEST_STATE = 160
+
+
+def _named(kind: str, inside: str) -> str:
+    if len(inside) > LONGEST_STATE:
+        inside = "#" + hashlib.sha256(inside.encode()).hexdigest()[:12]
+    return kind + inside
+
+
 class Automaton:
-    """Bottom-up states of JSON values; equal shapes share one state."""
+    """Bottom-up states of JSON values, made of field names and the states of children;
+    equal shapes share one state, and each state of an entity has its own typed parser."""
 
     def __init__(self) -> None:
-        self.known: dict[tuple, str] = {}
+        self.parsers: dict[tuple, dict[str, Callable]] = {}
 
     def state(self, value) -> str:
         if value is None:
@@ -68,11 +83,60 @@ class Automaton:
             inner = decode(value)
             return "text" if inner is value else "encoded:" + self.state(inner)
         if isinstance(value, list):
-            children = frozenset(self.state(v) for v in value)
-            return self.known.setdefault(("list", children), "list" if children else "list:empty")
-        children = frozenset(self.state(v) for v in value.values())
-        keyed = bool(value) and children == {"object"} and not BRANCH_FIELDS & value.keys()
-        return self.known.setdefault(("object", keyed, children), "keyed" if keyed else "object")
+            return _named("list", "[" + ",".join(sorted({self.state(v) for v in value})) + "]") if value else "list:empty"
+        children = {k: self.state(v) for k, v in value.items()}
+        if children and all(c.startswith("object") for c in children.values()) and not BRANCH_FIELDS & value.keys():
+            return _named("keyed", "[" + ",".join(sorted(set(children.values()))) + "]")
+        return _named("object", "{" + ",".join(f"{json.dumps(k)[1:-1]}:{children[k]}" for k in sorted(children)) + "}")
+
+    def kind(self, value) -> str:
+        """The state of a value without what it holds."""
+        if isinstance(value, str):
+            inner = decode(value)
+            return "text" if inner is value else "encoded:" + self.kind(inner)
+        if isinstance(value, list):
+            return "list" if value else "list:empty"
+        if not isinstance(value, dict):
+            return self.state(value)
+        keyed = bool(value) and not BRANCH_FIELDS & value.keys() and all(self.kind(v) == "object" for v in value.values())
+        return "keyed" if keyed else "object"
+
+    def typed(self, entity: str, attributes: dict) -> dict:
+        """Attributes parsed to the types of the subtype table by the parser of their variant."""
+        own = tuple((k, self.state(v)) for k, v in attributes.items())
+        if (entity, own) not in self.parsers:
+            self.parsers[entity, own] = {
+                k: PARSERS.get((KINDS[entity].get(k), "text" if state.startswith("encoded") else state), _same) for k, state in own
+            }
+        parser = self.parsers[entity, own]
+        return {k: parser[k](v) for k, v in attributes.items() if v is not None}
+
+
+def _same(value):
+    return value
+
+
+def _number(value: str):
+    """The number a text holds, else the text, which is no number of a typed table."""
+    try:
+        number = float(value.strip())
+    except ValueError:
+        return value
+    return number if math.isfinite(number) else value
+
+
+def _whole(value):
+    if isinstance(value, str):
+        try:
+            return int(value.strip())
+        except ValueError:
+            value = _number(value)
+    return int(value) if isinstance(value, float) and value.is_integer() else value
+
+
+KINDS = {entity: dict(f.split() for f in fields.split(", ")) for entity, fields in SUBTYPES.items()}
+#: Parser by (type of the column, state of the value); all others are kept as they are.
+PARSERS = {("double", "text"): _number, ("bigint", "text"): _whole, ("bigint", "number"): _whole}
 
 
 def decode(value):
@@ -149,13 +213,13 @@ def flatten_text(pool_id: int, text: str | None, automaton: Automaton) -> list[t
         key = as_text(key)
         if key is None or parent is None:
             return
-        clean = {k: v for k, v in attributes.items() if v is not None}
+        clean = automaton.typed(entity, attributes)
         rows.setdefault(
             (branch, entity, parent, key),
             (pool_id, branch, entity, parent, key, variant, json.dumps(clean, ensure_ascii=False, separators=(",", ":"))),
         )
 
-    top = automaton.state(document)
+    top = automaton.kind(document)
     for item in branches_of(document):
         branch = as_text(item.get("branch_id"))
         if branch is None:
@@ -163,7 +227,7 @@ def flatten_text(pool_id: int, text: str | None, automaton: Automaton) -> list[t
         actor = as_object(item.get("actor_step"))
         verifier = as_object(item.get("verifier_step"))
         state = as_object(verifier.get("updated_state"))
-        shape = f"{top}/{automaton.state(item.get('verifier_step'))}/{automaton.state(verifier.get('updated_state'))}"
+        shape = f"{top}/{automaton.kind(item.get('verifier_step'))}/{automaton.kind(verifier.get('updated_state'))}/{automaton.state(state.get('remaining_budget'))}"
         put(
             branch, "branch", pool, branch, shape,
             {
@@ -184,17 +248,18 @@ def flatten_text(pool_id: int, text: str | None, automaton: Automaton) -> list[t
             score = as_object(item["local_score"])
             put(
                 branch, "local_score", branch, branch, automaton.state(item["local_score"]),
-                {k: score.get(k) for k in ("schema_score", "complex_membership_delta", "total_score", "normalized_score")},
+                {k: score.get(k) for k in ("schema_score", "complex_membership_delta", "total_score", "normalized_score")}
+                | {"score_metadata": as_text(score.get("score_metadata"))},
             )
         for entity, field, key, kept, sub, listed in (
             ("group", "predicted_groups", "group_id", ("rationale",), "group_gene", "gene_ids"),
             ("evidence", "evidence_log", "evidence_id", ("source_type", "summary"), "evidence_gene", "supporting_gene_ids"),
             ("label", "mechanistic_labels", "label_name", ("label_source",), "label_evidence", "evidence_ids"),
         ):
-            held = automaton.state(state.get(field))
+            held = automaton.kind(state.get(field))
             for one in as_items(state.get(field), key):
                 name = as_text(one.get(key))
-                put(branch, entity, branch, name, held, {k: as_text(one.get(k)) for k in kept})
+                put(branch, entity, branch, name, f"{held}/{automaton.state(one)}", {k: as_text(one.get(k)) for k in kept})
                 form = automaton.state(one.get(listed))
                 for position, text_item in enumerate(as_texts(one.get(listed))):
                     put(branch, sub, name, text_item, form, {"position": position})

@@ -54,7 +54,15 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     return nested.subtype_table(nested.flatten(table(spark, d, "branch_pools")), "local_score")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_intervals, p3_found, p3_variants, p3_scores)}
+def typed_table(entity: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return nested.subtype_table(nested.flatten(table(spark, d, "branch_pools")), entity)
+
+    query.__name__ = f"p3_{entity}_table"
+    return query
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_intervals, p3_found, p3_variants, p3_scores, *map(typed_table, [e for e in nested.SUBTYPES if e != "local_score"]))}
 
 _LINKS = """
 dn AS (SELECT DISTINCT node_id, left_id, right_id FROM (
