@@ -5,7 +5,8 @@ the number of line items. Seed sets: per region, the richest supplier of each na
 
 Queries named ``*_converged`` run their walks to the fixed point and have no SQL; the ones
 of the same name without it stop after STEPS (2 for ablation and perturbation) rounds, as
-their SQL spells out, and serve only as a check against it.
+their SQL spells out, and serve only as a check against it. So do hop_distances and
+weighted_distances (3 hops, 2 rounds) beside the ones named ``*_whole``.
 """
 
 from __future__ import annotations
@@ -127,6 +128,14 @@ def weighted_distances(spark, d):
     return graph.weighted_distances(network(spark, d), nodes_of_seeds(spark, d), 2).withColumn("distance", F.round("distance", 6)).drop("hops")
 
 
+def hop_distances_whole(spark, d):
+    return graph.hop_distances(network(spark, d), nodes_of_seeds(spark, d))
+
+
+def weighted_distances_whole(spark, d):
+    return graph.weighted_distances(network(spark, d), nodes_of_seeds(spark, d)).withColumn("distance", F.round("distance", 6)).drop("hops")
+
+
 def path_layer_counts(spark, d):
     reach = graph.hop_distances(network(spark, d), nodes_of_seeds(spark, d), 1).where("parent is not null")
     return graph.path_layer_counts(network(spark, d), reach.select(F.col("parent").alias("src"), F.col("node").alias("dst")))
@@ -331,6 +340,7 @@ QUERIES = {
         node_perturbation, seed_essentiality, vector_pairs, score_elbow, layer_walks_converged, walk_means_converged, multiplex_walks_converged,
         *map(walk_reduced_converged, walks.REDUCTIONS), walk_ranks_converged, lines_of_evidence_converged, walk_distances_converged,
         layer_ablation_converged, layer_ablation_summary_converged, node_perturbation_converged, score_elbow_converged,
+        hop_distances_whole, weighted_distances_whole,
     )
 }
 
