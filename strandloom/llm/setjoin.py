@@ -1,8 +1,10 @@
 """All similar pairs between set-valued records.
 
-Method: every distinct set gets a binary sketch of one-bit minhashes. The sketch is cut
-into segments of k bits; by the pigeonhole principle two sketches within a Hamming radius
-agree on whole segments, so sets are joined on (segment number, segment bits). k follows
+Method: every distinct set gets a binary sketch of one-bit minhashes, in segments of k bits
+that are independent bands; sets are joined on (segment number, segment bits). No pigeonhole
+bound links the segments to the Hamming radius: at a threshold of 0.6 the radius is 26 of 64
+bits, and only 27 segments of two or three bits of the code could not all differ, on which
+nearly all sets meet. So a pair is found with a calibrated chance, not for certain. k follows
 the number of sets (2^k of the order of that number, so chance matches grow no faster than
 the table), and the number of segments is calibrated to ``recall`` at the similarity
 threshold itself, where a bit agrees with probability (1 + t) / 2; more similar pairs are
