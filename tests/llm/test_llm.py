@@ -258,9 +258,54 @@ def test_reply_defects(spark):
     assert replies.defects(spark.createDataFrame([], CANDIDATE)).collect() == []
 
 
+UNSEEN = [
+    "I must pass on this one: it is not my place to give an answer.",
+    "I will not take part in this conversation any further.",
+    "We are not in a position to comment on requests like yours.",
+    "My instructions do not let me respond to this kind of question.",
+    "I would rather not share an opinion here; please ask a professional.",
+    "Regrettably I am not authorised to reply to such inquiries.",
+    "I refuse to engage with this topic.",
+    "This assistant can not provide guidance of that sort.",
+]
+HARMLESS = [
+    "The community guidelines of the layer rank B2 above C3, so we keep B2.",
+    "It is not appropriate to rank A1 first, because its score of 0.2 is below that of B2.",
+    "A1 falls outside of the module at a cut of 0.4, so I drop it and keep C3.",
+    "I cannot rule out that C3 is a bystander, so one more query is needed.",
+    "Sorry for the long list: B2 and C3 share 14 edges, which the walk from A1 confirms.",
+]
+
+
+def test_unseen_refusals_and_harmless_doubts(spark):
+    q = "Explain what process links A1, B2 and C3, and cite the layers that support your view."
+    rng = random.Random(1)
+    rows = []
+    for k in range(400):
+        good = " ".join(rng.sample(["The walk from A1 ranks B2 at place 4, and that is enough for a first look.", "The score of C3 is below that of B2 in the layer.", "Dropping A1 would test whether the bridge of C3 depends on one source.", "I cannot separate A1 from C3 with this layer alone."], 2))
+        call = {"tool_name": "rwr"} if k % 4 else None
+        rows.append((k, q, good, json.dumps({"reasoning_text": good, "tool_action": call}), [], None, 0))
+    rows += [(1000 + k, q, s, None, [], None, 0) for k, s in enumerate(UNSEEN)] + [(2000 + k, q, s, None, [], None, 0) for k, s in enumerate(HARMLESS)]
+    rows += [(3000, q, good, json.dumps({"reasoning_text": good, "tool_action": {"tool_name": "rwr", "arguments": {"gene": "E1"}}})[:-25], [], None, 0)]
+    got = {r.candidate_id: r.defect for r in replies.defects(spark.createDataFrame(rows, CANDIDATE)).collect()}
+    assert not [k for k in got if k < 1000 or 2000 <= k < 3000] and got[3000] == "truncated"
+    assert sum(got.get(1000 + k) == "refusal" for k in range(len(UNSEEN))) >= 7, got
+
+
 def test_label_model_learns_from_agreement():
+    import numpy as np
+
     patterns = [(-1, -1, -1), (1, 1, 1), (1, 1, -1), (-1, 1, -1)]
+    model = replies.LabelModel(patterns, np.array([900.0, 60, 30, 10]), ((90, 1), (90, 1), (60, 1)))
+    post = model.posterior(patterns)
+    assert post[1] > 0.99 and post[2] > 0.5 and post[0] < 0.01 and post[3] < 0.5
+
+
+def test_cutoff_is_validated_on_labels():
     import numpy as np
 
-    post, cutoff = replies.label_model(patterns, np.array([900.0, 60, 30, 10]), ((90, 1), (90, 1), (60, 1)))
-    assert post[1] > 0.99 and post[2] > cutoff and post[0] < 0.01 and post[3] < cutoff
+    assert 0.3 < replies.validated_cutoff(np.array([0.7, 0.8, 0.9]), np.array([0.0, 0.1, 0.3]), 0.1) < 0.7
+    assert replies.validated_cutoff(np.array([0.2, 0.21]), np.array([0.0, 0.01]), 0.1) < 0.2
+    made = replies.broken([("Which genes belong to the group of A1 and B2?", "The walk from A1 ranks B2 at place 4.")] * 20)
+    assert all(made[m] for m in ("empty", "copy", "cut_text", "cut_json"))
+    assert all(replies.read_reply(*r)[4] for r in made["cut_json"])
