@@ -15,7 +15,7 @@ WANT = {
 
 
 def keys(text):
-    return {r[2:5] for r in nested.flatten_text(7, text, nested.Automaton())}
+    return {r[2:5] for r in nested.flatten_text(7, text, nested.Router(nested.Automaton(), nested.NAMED))}
 
 
 def test_all_shapes_give_the_same_objects():
@@ -49,3 +49,26 @@ def test_long_text(spark):
     many = [{"branch_id": f"b{k}", "actor_step": {"reasoning_text": "x" * 1000}} for k in range(3000)]
     df = spark.createDataFrame([(1, json.dumps(many), None)], "pool_id bigint, branches string, received_at timestamp")
     assert nested.flatten(df).count() == 3000
+
+
+def test_routes_follow_states_alone():
+    router = nested.Router(nested.Automaton(), nested.NAMED)
+    texts = [json.dumps([BRANCH]), json.dumps([BRANCH | {"branch_id": "b1"}]), json.dumps({"b2": {k: v for k, v in BRANCH.items() if k != "branch_id"}})]
+    rows = [r for t in texts for r in nested.flatten_text(7, t, router)]
+    assert len(rows) == 3 * len(WANT) and {r[1] for r in rows} == {"b0", "b1", "b2"}
+    # equal shapes share one compiled route; a state that fits no place is routed nowhere
+    assert len({state for place, state in router.known if place == "group"}) == 1
+    assert router.route("branch", router.automaton.read([1, "x", None])[0]) is None
+    assert router.route("label", router.automaton.read({"a": 1})[0]) is None
+
+
+def test_free_entries_get_typed_rows(spark):
+    call = {"call_id": "c1", "tool_name": "t", "arguments": {"genes": ["A", None, "B"], "top_k": 4, "mode": "x", "gone": None}}
+    branch = {"branch_id": "b0", "actor_step": {"tool_action": json.dumps(call)}, "local_score": {"score_metadata": {"schema_valid": "true", "weights": {"m": 0.5}}}}
+    df = spark.createDataFrame([(1, json.dumps([branch]), None)], "pool_id bigint, branches string, received_at timestamp")
+    flat = nested.flatten(df)
+    got = {r.item_key: (r.parent_key, r.value, r.number, r.n_items) for r in nested.subtype_table(flat, "tool_argument").collect()}
+    assert got == {"genes": ("c1", None, None, 3), "top_k": ("c1", "4", 4.0, None), "mode": ("c1", "x", None, None)}
+    assert [(r.parent_key, r.item_key, r.position) for r in nested.subtype_table(flat, "tool_argument_item").collect()] == [("genes", "A", 0), ("genes", "B", 1)]
+    assert [(r.item_key, r.number) for r in nested.subtype_table(flat, "score_weight").collect()] == [("m", 0.5)]
+    assert [r.schema_valid for r in nested.subtype_table(flat, "local_score").collect()] == [True]
