@@ -35,6 +35,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record with its class of equal sets and its number of links."""
+    return setjoin.similar_records(table(spark, d, "gene_groups"), table(spark, d, "complex_records"))
+
+
 def _sample(spark: SparkSession, d: str) -> quota.QuotaSample:
     return quota.QuotaSample(
         table(spark, d, "preference_pairs"), "pair_id", "created_at", ["task_type", "evidence_mode"], table(spark, d, "sampling_targets")
@@ -85,7 +90,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_posteriors, p4_found, p4_report, p5_found, p6_found, p6_report, p6_sample,
+        p2_found, p2_posteriors, p4_found, p4_report, p5_found, p5_records, p6_found, p6_report, p6_sample,
         p7_found, p7_report, p8_found, p8_shares, p8_mixture, p9_found, p9_restored,
     )
 }
@@ -100,6 +105,11 @@ shared AS (SELECT a.no AS x, b.no AS y, a.kind AS kx, b.kind AS ky, any_value(a.
            GROUP BY ALL HAVING o >= {t} * (nx + ny - o) - 1e-9)
 """
 
+_P5 = _SETS.format(
+    rows="SELECT group_no AS no, 'g' AS kind, gene_ids, created_at AS upd FROM gene_groups UNION ALL SELECT record_no, 'r', gene_ids, updated_at FROM complex_records",
+    t="0.6",
+)
+
 _P4 = _SETS.format(rows="SELECT record_no AS no, 'r' AS kind, gene_ids, updated_at AS upd FROM complex_records", t="0.8")
 _P4_PAIRS = rf"""
 {_P4},
@@ -131,6 +141,13 @@ ORACLE = {
     "p4_report": f"""WITH {_P4_PAIRS}, hit AS (SELECT eval_no AS no, count(*) AS n FROM pairs GROUP BY ALL)
 SELECT split, source, count(*) AS n_records, count(h.n) AS n_leaked, coalesce(sum(h.n), 0) AS n_pairs
 FROM rec LEFT JOIN hit h USING (no) WHERE split IN ('val', 'test') GROUP BY split, source""",
+    "p5_found": f"WITH {_P5} SELECT x AS set_no_a, y AS set_no_b FROM shared WHERE kx = 'g' OR ky = 'g'",
+    "p5_records": f"""WITH {_P5}, cls AS (SELECT no, kind, min(no) OVER w AS class_no, count(*) OVER w AS copies,
+  bool_or(kind = 'g') OVER w AS wanted FROM sets WHERE len(items) > 0 WINDOW w AS (PARTITION BY items)),
+pairs AS (SELECT DISTINCT a.class_no AS p, b.class_no AS q FROM shared s JOIN cls a ON a.no = s.x JOIN cls b ON b.no = s.y
+          WHERE a.class_no <> b.class_no AND (a.wanted OR b.wanted)),
+deg AS (SELECT c, count(DISTINCT o) AS links FROM (SELECT p AS c, q AS o FROM pairs UNION ALL SELECT q, p FROM pairs) GROUP BY c)
+SELECT no AS set_no, class_no, copies, coalesce(links, 0) AS links FROM cls LEFT JOIN deg ON c = class_no""",
     "p6_found": f"WITH {_TARGETS} SELECT dimension, category FROM goal WHERE n < quota",
     "p7_found": r"""
 WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL),
