@@ -1,12 +1,19 @@
 """Parent-child links to full hierarchies.
 
-Method: the connected components of the link graph are found by pointer jumping (each
-round doubles the distance every unfinished node looks up the parent chain, so the
-number of rounds is the logarithm of the largest depth). Every component is then
-co-located in one task, and an iterative depth-first traversal with white, grey and
-black nodes writes depth, path, number of descendants and the back edges that close
-cycles. A component larger than ``max_local_nodes`` is never brought into one task: the
-same columns are computed for it by doubling path segments in joins.
+Method: the connected components of the link graph are found by pointer jumping among the
+nodes that have children (each round doubles the distance every unfinished node looks up
+the parent chain, so the number of rounds is the logarithm of the largest depth; the
+distance summed on the way is the depth). Every component is then co-located in one task,
+and an iterative depth-first traversal with white, grey and black nodes numbers the nodes
+in pre-order and writes the number of descendants, the state, and the back edges that close
+cycles; a cycle is entered at its smallest node, so its component is numbered as the tree
+that is left without the back edge. Work and memory are linear in the nodes whatever the
+depth; full paths, whose size is nodes times depth, are written only where asked for.
+
+A component of more than ``max_local_nodes`` is cut into pieces at every sixteenth level;
+each piece is traversed in one task in the same way, the pieces below it standing as single
+nodes of their weight, which the traversal of the tree of pieces gives. So one traversal
+serves every size; a node may have as many children as one task can hold.
 
 Input conventions, for every public function here:
 
@@ -23,13 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.runtime import materialize, release, task_count
 
-#: Nodes of one component that a single task may traverse (about 0.2 GB of Python memory).
-MAX_LOCAL_NODES = 500_000
+#: Nodes of one component, or of the components taken together, that a task holds at a time (about 0.1 GB of Python memory).
+MAX_LOCAL_NODES = 250_000
+#: Levels of one piece of a larger component.
+BAND = 16
 
 SCHEMA = (
     "node_id bigint, root_id bigint, depth int, state string, "
@@ -88,40 +97,48 @@ def child_links(nodes: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node_id, parent, comp): the connected component of every node.
+    """(node_id, parent, comp, depth): the connected component of every node.
 
-    ``comp`` is the root of the component, or the smallest node of its cycle. Unfinished
-    nodes jump from their pointer to their pointer's pointer until the count of unfinished
-    nodes stays the same in two rounds; those left hang on cycles.
+    ``comp`` is the root of the component, or the smallest node of its cycle; ``depth`` is
+    null off the rooted trees. Only nodes with children take part in the jumping: unfinished
+    ones jump from their pointer to their pointer's pointer until the count of unfinished
+    nodes stays the same in two rounds; those left hang on cycles. All others have the
+    component of their parent.
     """
+    upper = links.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node_id")).distinct()
     # A root points to itself and is finished; a node is finished once its pointer is.
     state = materialize(
-        links.select(
+        links.join(upper, "node_id", "left_semi").select(
             "node_id",
             F.coalesce("parent", "node_id").alias("ptr"),
+            F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
             F.col("parent").isNull().alias("done"),
         ),
         "ptr",
     )
     left, before = state.where(~F.col("done")).count(), -1
     while left and left != before:
-        target = state.select(F.col("node_id").alias("ptr"), F.col("ptr").alias("far"), F.col("done").alias("far_done"))
-        moved = state.where(~F.col("done")).select("node_id", "ptr").join(target, "ptr")
+        target = state.select(
+            F.col("node_id").alias("ptr"), F.col("ptr").alias("far"), F.col("dist").alias("far_dist"), F.col("done").alias("far_done")
+        )
+        moved = state.where(~F.col("done")).join(target, "ptr")
         after = materialize(
             state.where("done").unionByName(
-                moved.select("node_id", F.col("far").alias("ptr"), F.col("far_done").alias("done"))
+                moved.select("node_id", F.col("far").alias("ptr"), (F.col("dist") + F.col("far_dist")).alias("dist"), F.col("far_done").alias("done"))
             ),
             "ptr",
         )
         release(state)
         state, before = after, left
         left = state.where(~F.col("done")).count()
-    rooted = state.where("done").select("node_id", F.col("ptr").alias("comp"))
-    if not left:
-        return links.join(rooted, "node_id")
-    stuck = links.join(state.where(~F.col("done")).select("node_id"), "node_id", "left_semi")
-    cyclic = _cycle_labels(stuck, left)
-    return links.join(rooted.unionByName(cyclic), "node_id")
+    label = state.where("done").select(F.col("node_id").alias("parent"), F.col("ptr").alias("comp"), F.col("dist").alias("up"))
+    if left:
+        stuck = links.join(state.where(~F.col("done")).select("node_id"), "node_id", "left_semi")
+        label = label.unionByName(_cycle_labels(stuck, left).select(F.col("node_id").alias("parent"), "comp", F.lit(None).cast("bigint").alias("up")))
+    roots = links.where(F.col("parent").isNull()).select("node_id", "parent", F.col("node_id").alias("comp"), F.lit(0).cast("bigint").alias("depth"))
+    return roots.unionByName(
+        links.where(F.col("parent").isNotNull()).join(label, "parent").select("node_id", "parent", "comp", (F.col("up") + 1).alias("depth"))
+    )
 
 
 def _cycle_labels(stuck: DataFrame, size: int) -> DataFrame:
@@ -156,223 +173,305 @@ def _cycle_labels(stuck: DataFrame, size: int) -> DataFrame:
     return at.select("node_id", "comp")
 
 
-def _traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Forest:
+    """Depth-first numbering of whole components, or pieces, held in one task.
+
+    ``group`` names the component of every node and is the node it is entered at; ``parent``
+    is -1 above an entry without parent. ``weight`` nodes are counted for a node."""
+
+    def __init__(self, ids: np.ndarray, parent: np.ndarray, group: np.ndarray, weight: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.group, weight = ids[order], group[order], weight[order].tolist()
+        up = parent[order]
+        n = len(ids)
+        par = np.full(n, -1, np.int64)
+        has = up >= 0
+        par[has] = np.searchsorted(self.ids, up[has])
+        # Children of each node as a slice of one array.
+        kids = np.argsort(par, kind="stable")
+        kids = kids[np.searchsorted(par[kids], 0) :]
+        at = np.searchsorted(par[kids], np.arange(n)).tolist()
+        last = np.searchsorted(par[kids], np.arange(n), side="right").tolist()
+        kids = kids.tolist()
+        white, grey, black = 0, 1, 2
+        colour = bytearray(n)
+        depth, pre, below = [0] * n, [0] * n, [0] * n
+        self.parent = par
+        self.closes = np.zeros(n, bool)
+        self.on_cycle = np.zeros(n, bool)
+        for start in np.flatnonzero(self.ids == self.group).tolist():
+            stack = [start]
+            colour[start] = grey
+            seen = weight[start]
+            while stack:
+                v = stack[-1]
+                k = at[v]
+                if k < last[v]:
+                    at[v] = k + 1
+                    w = kids[k]
+                    if colour[w] == white:
+                        colour[w] = grey
+                        depth[w] = depth[v] + 1
+                        pre[w] = seen
+                        seen += weight[w]
+                        stack.append(w)
+                    elif colour[w] == grey:  # a back edge: all from w up the stack is a cycle
+                        self.closes[v] = True
+                        self.on_cycle[stack[stack.index(w) :]] = True
+                else:
+                    colour[v] = black
+                    stack.pop()
+                    if stack:
+                        below[stack[-1]] += below[v] + weight[v]
+        self.depth, self.pre, self.below = np.array(depth, np.int64), np.array(pre, np.int64), np.array(below, np.int64)
+
+
+def _whole(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``key`` in parts that end between keys and hold about MAX_LOCAL_NODES rows."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        size += len(pdf)
+        if size >= MAX_LOCAL_NODES:
+            rows = pd.concat(held, ignore_index=True)
+            keys = rows[key].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield rows.iloc[:cut]
+            held, size = [rows.iloc[cut:]], len(rows) - cut
+    if held and size:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _traverse(paths: bool):
     """Depth-first traversal of all components of a partition."""
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    pdf = pd.concat(parts, ignore_index=True)
-    parts.clear()
-    ids = pdf["node_id"].to_numpy(np.int64)
-    order = np.argsort(ids)
-    ids = ids[order]
-    comp = pdf["comp"].to_numpy(np.int64)[order]
-    has = pdf["parent"].notna().to_numpy()[order]
-    up = pdf["parent"].fillna(-1).to_numpy(np.int64)[order]
-    n = len(ids)
-    par = np.full(n, -1, np.int64)
-    par[has] = np.searchsorted(ids, up[has])
-    # Children of each node as a slice of one array.
-    kids = np.argsort(par, kind="stable")
-    kids = kids[np.searchsorted(par[kids], 0) :]
-    first = np.searchsorted(par[kids], np.arange(n)).tolist()
-    last = np.searchsorted(par[kids], np.arange(n), side="right").tolist()
-    kids = kids.tolist()
-    white, grey, black = 0, 1, 2
-    colour = bytearray(n)
-    depth = np.full(n, -1, np.int64)
-    below = np.zeros(n, np.int64)
-    rooted = np.zeros(n, bool)
-    closes = np.zeros(n, bool)
-    pre = np.zeros(n, np.int64)
-    met: dict[int, int] = {}
-    on_cycle = np.zeros(n, bool)
-    at = list(first)
-
-    def visit(start: int, is_root: bool) -> None:
-        stack = [start]
-        colour[start] = grey
-        depth[start] = 0
-        rooted[start] = is_root
-        seen = pre[start] = met.get(comp[start], 0)
-        while stack:
-            v = stack[-1]
-            k = at[v]
-            if k < last[v]:
-                at[v] = k + 1
-                w = kids[k]
-                if colour[w] == white:
-                    colour[w] = grey
-                    depth[w] = depth[v] + 1
-                    rooted[w] = is_root
-                    seen += 1
-                    pre[w] = seen
-                    stack.append(w)
-                elif colour[w] == grey:  # a back edge: all from w up the stack is a cycle
-                    closes[v] = True
-                    on_cycle[stack[stack.index(w) :]] = True
-            else:
-                colour[v] = black
-                stack.pop()
-                if stack:
-                    below[stack[-1]] += below[v] + 1
-        met[comp[start]] = int(seen) + 1
-
-    for r in np.flatnonzero(~has).tolist():
-        visit(r, True)
-    for v in range(n):
-        if colour[v] == white:
-            visit(v, False)
-    depth[~rooted] = -1
-    ids_list, par_list, depth_list = ids.tolist(), par.tolist(), depth.tolist()
-    step = 50_000
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        paths = []
-        for v in range(lo, hi):
-            if depth_list[v] < 0:
-                paths.append(None)
-                continue
-            path, w = [0] * (depth_list[v] + 1), v
-            for k in range(depth_list[v], -1, -1):
-                path[k] = ids_list[w]
-                w = par_list[w]
-            paths.append(path)
-        cut = slice(lo, hi)
-        yield pd.DataFrame(
-            {
-                "node_id": ids[cut],
-                "root_id": comp[cut],
-                "depth": depth[cut].astype(np.int32),
-                "state": np.where(rooted[cut], "rooted", np.where(on_cycle[cut], "on_cycle", "below_cycle")),
-                "path": paths,
-                "n_descendants": pd.Series(below[cut], dtype="Int64").where(rooted[cut]),
-                "closes_cycle": closes[cut],
-                "pre": pre[cut],
-            }
-        )
-
 
-def _traverse_large(links: DataFrame) -> DataFrame:
-    """The columns of :func:`_traverse` for components too large for one task, by joins
-    alone: path segments are doubled until they reach the root."""
-    links = materialize(links, "large")
-    roots = links.where(F.col("parent").isNull()).select(F.col("node_id").alias("comp"))
-    at = materialize(
-        links.join(roots, "comp", "left_semi").select(
-            "node_id", "comp", F.col("parent").alias("ptr"), F.array("node_id").alias("seg")
-        ),
-        "large",
-    )
-    # seg: the nodes from just below ptr down to node_id; a null ptr means it starts at the root.
-    while not at.where("ptr is not null").isEmpty():
-        target = at.select(F.col("node_id").alias("ptr"), F.col("ptr").alias("far"), F.col("seg").alias("far_seg"))
-        going = at.where("ptr is not null").join(target, "ptr")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole(batches, "comp"):
+            up = pdf["parent"].fillna(-1).to_numpy(np.int64)
+            has = pdf["parent"].notna().to_numpy()
+            comp, ids = pdf["comp"].to_numpy(np.int64), pdf["node_id"].to_numpy(np.int64)
+            low = min(int(ids.min()), 0)  # parents of any sign: -1 must mean none
+            f = _Forest(ids - low, np.where(has, up - low, -1), comp - low, np.ones(len(ids), np.int64))
+            rooted = pd.Series(f.group).isin(f.ids[f.parent < 0]).to_numpy()
+            ids, group = f.ids + low, f.group + low
+            depth = np.where(rooted, f.depth, -1)
+            state = np.where(rooted, "rooted", np.where(f.on_cycle, "on_cycle", "below_cycle"))
+            parent, names = f.parent.tolist(), ids.tolist()
+            for lo in range(0, len(ids), 50_000):
+                cut = slice(lo, min(len(ids), lo + 50_000))
+                held: list = [None] * (cut.stop - lo)
+                for v in range(lo, cut.stop) if paths else ():
+                    if depth[v] >= 0:
+                        path, w = [0] * (int(depth[v]) + 1), v
+                        for k in range(len(path) - 1, -1, -1):
+                            path[k] = names[w]
+                            w = parent[w]
+                        held[v - lo] = path
+                yield pd.DataFrame(
+                    {
+                        "node_id": ids[cut], "root_id": group[cut], "depth": depth[cut].astype(np.int32), "state": state[cut], "path": held,
+                        "n_descendants": f.below[cut], "closes_cycle": f.closes[cut], "pre": f.pre[cut],
+                    }
+                )
+
+    return run
+
+
+def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node_id, piece, part, pre, below) of weighted pieces; ``part`` nodes are the pieces below."""
+    for pdf in _whole(batches, "piece"):
+        # A node may stand in two pieces, as its own top and as a part of the one above: places are (piece, node).
+        nodes = pd.MultiIndex.from_frame(pdf[["piece", "node_id"]])
+        place = np.arange(len(pdf))
+        at = pd.Series(place, index=nodes)
+        top = (pdf["node_id"] == pdf["piece"]).to_numpy() & ~pdf["part"].to_numpy(bool)
+        up = np.full(len(pdf), -1, np.int64)
+        up[~top] = at.reindex(pd.MultiIndex.from_frame(pdf.loc[~top, ["piece", "parent"]])).to_numpy(np.int64)
+        entry = at.reindex(pd.MultiIndex.from_arrays([pdf["piece"], pdf["piece"]])).to_numpy(np.int64)
+        f = _Forest(place, up, entry, pdf["weight"].to_numpy(np.int64))
+        yield pd.DataFrame({"node_id": pdf["node_id"], "piece": pdf["piece"], "part": pdf["part"], "pre": f.pre, "below": f.below})
+
+
+def _doubled(at: DataFrame, rounds: int | None) -> DataFrame:
+    """(node_id, ptr, sum): pointers followed to their end, or ``rounds`` times doubled, and the
+    sums on the way. ``at`` has the same columns; a null ``ptr`` is an end."""
+    at = materialize(at, "doubled")
+    k = 0
+    while (rounds is None or k < rounds) and not at.where("ptr is not null").isEmpty():
+        target = at.select(F.col("node_id").alias("ptr"), F.col("ptr").alias("far"), F.col("sum").alias("far_sum"))
         after = materialize(
             at.where("ptr is null").unionByName(
-                going.select("node_id", "comp", F.col("far").alias("ptr"), F.concat("far_seg", "seg").alias("seg"))
+                at.where("ptr is not null").join(target, "ptr").select("node_id", F.col("far").alias("ptr"), (F.col("sum") + F.col("far_sum")).alias("sum"))
             ),
-            "large",
+            "doubled",
+        )
+        release(at)
+        at, k = after, k + 1
+    return at
+
+
+def _tops(forest: DataFrame) -> DataFrame:
+    """(node_id, piece): the piece of every node, named by its topmost node: the nearest of its
+    ancestors and itself that is a root, or has children and a depth divisible by BAND."""
+    inner = forest.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    flagged = forest.join(inner, "node_id", "left")
+    top = F.col("parent").isNull() | (F.coalesce("inner", F.lit(False)) & (F.col("depth") % BAND == 0))
+    at = materialize(flagged.select("node_id", F.when(top, F.col("node_id")).otherwise(F.col("parent")).alias("piece"), top.alias("done")), "tops")
+    for _ in range(BAND.bit_length()):
+        target = at.select(F.col("node_id").alias("piece"), F.col("piece").alias("far"), F.col("done").alias("far_done"))
+        after = materialize(
+            at.where("done").unionByName(at.where(~F.col("done")).join(target, "piece").select("node_id", F.col("far").alias("piece"), F.col("far_done").alias("done"))), "tops"
         )
         release(at)
         at = after
-    rooted = at
-    down = (
-        rooted.select(F.explode("seg").alias("node_id")).groupBy("node_id").agg((F.count("*") - 1).alias("n_descendants"))
+    return at.select("node_id", "piece")
+
+
+def _numbered(forest: DataFrame, most: int) -> DataFrame:
+    """(node_id, pre, below) of trees of any size; ``forest`` has (node_id, parent, comp, depth, weight)."""
+    spark = forest.sparkSession
+    forest = materialize(forest, "forest")
+    sizes = forest.groupBy("comp").agg(F.count("*").alias("n"))
+    schema = "node_id bigint, piece bigint, part boolean, pre bigint, below bigint"
+    columns = ["node_id", "parent", "piece", "weight", "part"]
+    if sizes.where(F.col("n") > most).isEmpty():
+        rows = forest.select("node_id", "parent", F.col("comp").alias("piece"), "weight", F.lit(False).alias("part"))
+        done = rows.repartition(task_count(spark, forest.count()), "piece").sortWithinPartitions("piece").mapInPandas(_number, schema)
+        return materialize(done.select("node_id", "pre", "below"), "numbered")
+    placed = materialize(forest.join(_tops(forest), "node_id"), "pieces")
+    mass = placed.groupBy("piece").agg(F.sum("weight").alias("weight"))
+    above = placed.select(F.col("node_id").alias("parent"), F.col("piece").alias("over"))
+    tops = placed.where(F.col("node_id") == F.col("piece")).join(mass.withColumnRenamed("weight", "mass"), "piece").join(above, "parent", "left")
+    # the tree of pieces: one node a piece, of the weight of all its nodes
+    contracted = tops.select("node_id", F.col("over").alias("parent"), "comp", F.floor(F.col("depth") / BAND).alias("depth"), F.col("mass").alias("weight"))
+    held = _numbered(contracted, most).select("node_id", F.col("below").alias("lower"))
+    parts = materialize(
+        tops.where("over is not null").join(held, "node_id").select("node_id", "parent", F.col("over").alias("piece"), (F.col("mass") + F.col("lower")).alias("weight"), F.lit(True).alias("part")),
+        "parts",
     )
-    trees = rooted.join(down, "node_id").select(
-        "node_id",
-        F.col("comp").alias("root_id"),
-        (F.size("seg") - 1).cast("int").alias("depth"),
-        F.lit("rooted").alias("state"),
-        F.col("seg").alias("path"),
-        "n_descendants",
-        F.lit(False).alias("closes_cycle"),
-        # paths in order are a pre-order: a node, then all below it
-        (F.row_number().over(Window.partitionBy("comp").orderBy("seg")) - 1).cast("bigint").alias("pre"),
-    )
-    stuck = links.join(roots, "comp", "left_anti")
-    jump = materialize(stuck.select("node_id", "comp", "parent", F.col("parent").alias("ptr")), "large")
-    left = jump.count()
-    reach = 1
+    rows = placed.select("node_id", "parent", "piece", "weight", F.lit(False).alias("part")).unionByName(parts).select(*columns)
+    local = materialize(rows.repartition(task_count(spark, forest.count()), "piece").sortWithinPartitions("piece").mapInPandas(_number, schema), "local")
+    # where each piece begins: the places of its ancestors' parts, summed up to the root
+    starts = tops.select("node_id", F.col("over").alias("ptr")).join(
+        local.where("part").select("node_id", F.col("pre").alias("sum")), "node_id", "left"
+    ).select("node_id", "ptr", F.coalesce("sum", F.lit(0)).cast("bigint").alias("sum"))
+    base = _doubled(starts, None).select(F.col("node_id").alias("piece"), F.col("sum").alias("base"))
+    done = materialize(local.where(~F.col("part")).join(base, "piece").select("node_id", (F.col("pre") + F.col("base")).alias("pre"), "below"), "numbered")
+    for part in (placed, parts, local):
+        release(part)
+    return done
+
+
+def _landed(stuck: DataFrame) -> DataFrame:
+    """(node_id): the nodes on cycles, of components (node_id, parent) that all hang on one:
+    those where the walks up end that are at least as long as there are nodes."""
+    jump = materialize(stuck.select("node_id", F.col("parent").alias("ptr")), "jump")
+    left, reach = jump.count(), 1
     while reach < left:
         target = jump.select(F.col("node_id").alias("ptr"), F.col("ptr").alias("far"))
-        after = materialize(jump.join(target, "ptr").select("node_id", "comp", "parent", F.col("far").alias("ptr")), "large")
+        after = materialize(jump.join(target, "ptr").select("node_id", F.col("far").alias("ptr")), "jump")
         release(jump)
         jump, reach = after, reach * 2
-    landed = jump.select(F.col("ptr").alias("node_id")).distinct().withColumn("on", F.lit(True))
-    cycles = jump.join(landed, "node_id", "left").select(
-        "node_id",
-        F.col("comp").alias("root_id"),
-        F.lit(-1).alias("depth"),
-        F.when(F.col("on"), "on_cycle").otherwise("below_cycle").alias("state"),
-        F.lit(None).cast("array<bigint>").alias("path"),
-        F.lit(None).cast("bigint").alias("n_descendants"),
-        # the traversal enters a cycle at its smallest node, so its parent closes it
-        F.lit(False).alias("closes_cycle"),
-        "parent",
-    )
-    closing = cycles.where((F.col("node_id") == F.col("root_id")) & (F.col("state") == "on_cycle")).select(
-        F.col("parent").alias("node_id"), F.lit(True).alias("shut")
-    )
-    cycles = cycles.drop("parent", "closes_cycle").join(closing, "node_id", "left").select(
-        "node_id", "root_id", "depth", "state", "path", "n_descendants", F.coalesce("shut", F.lit(False)).alias("closes_cycle"),
-        F.lit(None).cast("bigint").alias("pre"),
+    return jump.select(F.col("ptr").alias("node_id")).distinct()
+
+
+def _traverse_large(labelled: DataFrame, most: int, paths: bool) -> DataFrame:
+    """The columns of :func:`hierarchy` for components too large for one task."""
+    labelled = materialize(labelled, "large")
+    stuck = labelled.where("depth is null")
+    cyclic = not stuck.isEmpty()
+    opened = labelled.where("depth is not null").select("node_id", "parent", "comp", "depth")
+    state = F.lit("rooted")
+    extra = labelled.select("node_id", F.lit(False).alias("on"), F.lit(False).alias("closes"))
+    if cyclic:
+        # the back edge into the smallest node of the cycle is left out; depths are those of the tree that remains
+        tree = materialize(stuck.select("node_id", F.when(F.col("node_id") != F.col("comp"), F.col("parent")).alias("parent"), "comp"), "opened")
+        depths = _doubled(tree.select("node_id", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("sum")), None)
+        opened = opened.unionByName(tree.join(depths.select("node_id", F.col("sum").alias("depth")), "node_id").select("node_id", "parent", "comp", "depth"))
+        on = _landed(stuck).withColumn("on", F.lit(True))
+        shut = stuck.where(F.col("node_id") == F.col("comp")).select(F.col("parent").alias("node_id"), F.lit(True).alias("closes"))
+        extra = labelled.select("node_id").join(on, "node_id", "left").join(shut, "node_id", "left").select(
+            "node_id", F.coalesce("on", F.lit(False)).alias("on"), F.coalesce("closes", F.lit(False)).alias("closes")
+        )
+        state = F.when(F.col("depth").isNotNull(), "rooted").when(F.col("on"), "on_cycle").otherwise("below_cycle")
+    numbers = _numbered(opened.withColumn("weight", F.lit(1).cast("bigint")), most)
+    rows = labelled.join(numbers, "node_id").join(extra, "node_id")
+    path = F.lit(None).cast("array<bigint>")
+    if paths:
+        rows, path = rows.join(_paths(labelled.where("depth is not null")), "node_id", "left"), F.col("path")
+    return rows.select(
+        "node_id", F.col("comp").alias("root_id"), F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"), state.alias("state"), path.alias("path"),
+        F.col("below").alias("n_descendants"), F.col("closes").alias("closes_cycle"), "pre",
     )
-    return trees.unionByName(cycles)
 
 
-def hierarchy(links: DataFrame, max_local_nodes: int = MAX_LOCAL_NODES) -> DataFrame:
+def _paths(rooted: DataFrame) -> DataFrame:
+    """(node_id, path) of rooted trees, by doubling path segments."""
+    at = materialize(rooted.select("node_id", F.col("parent").alias("ptr"), F.array("node_id").alias("path")), "paths")
+    while not at.where("ptr is not null").isEmpty():
+        target = at.select(F.col("node_id").alias("ptr"), F.col("ptr").alias("far"), F.col("path").alias("far_path"))
+        after = materialize(
+            at.where("ptr is null").unionByName(
+                at.where("ptr is not null").join(target, "ptr").select("node_id", F.col("far").alias("ptr"), F.concat("far_path", "path").alias("path"))
+            ),
+            "paths",
+        )
+        release(at)
+        at = after
+    return at.select("node_id", "path")
+
+
+def hierarchy(links: DataFrame, max_local_nodes: int = MAX_LOCAL_NODES, paths: bool = False) -> DataFrame:
     """One row per node of ``links`` (node_id, parent).
 
-    Columns: ``root_id`` (the topmost ancestor, or the smallest node of the cycle),
-    ``depth`` (-1 off the rooted trees), ``state`` (rooted, on_cycle, below_cycle),
-    ``path`` (root to node; null unless rooted), ``n_descendants`` (null unless rooted)
-    ``closes_cycle`` (the node's child link is the back edge of its cycle) and ``pre`` (the
-    place in a pre-order of its tree, from 0; of use on rooted trees only).
+    Columns: ``root_id`` (the topmost ancestor, or the smallest node of the cycle), ``depth``
+    (-1 off the rooted trees), ``state`` (rooted, on_cycle, below_cycle), ``path`` (root to
+    node; null unless rooted and asked for by ``paths``), ``closes_cycle`` (the node's child
+    link is the back edge of its cycle), ``pre`` (its place in a pre-order of the component,
+    from 0) and ``n_descendants``: the nodes below it are those of the next that many places.
+    A cycle is opened above its smallest node for the last two.
     """
     spark = links.sparkSession
     links = materialize(links.select(F.col("node_id").cast("bigint"), F.col("parent").cast("bigint")), "tree")
     labelled = materialize(components(links), "comp")
-    rows = labelled.count()
-    large = labelled.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > max_local_nodes).select("comp")
-    large = materialize(large, "sizes")
+    release(links)
+    sizes = labelled.groupBy("comp").agg(F.count("*").alias("n"))
+    large = materialize(sizes.where(F.col("n") > max_local_nodes).select("comp"), "sizes")
     whole = labelled
     any_large = not large.isEmpty()
     if any_large:
         whole = labelled.join(large, "comp", "left_anti")
     local = (
         whole.select("node_id", "parent", "comp")
-        .repartition(task_count(spark, rows), "comp")
-        .mapInPandas(_traverse, SCHEMA)
+        .repartition(task_count(spark, labelled.count()), "comp")
+        .sortWithinPartitions("comp")
+        .mapInPandas(_traverse(paths), SCHEMA)
     )
     if not any_large:
         return local
-    return local.unionByName(_traverse_large(labelled.join(large, "comp", "left_semi").select("node_id", "parent", "comp")))
+    return local.unionByName(_traverse_large(labelled.join(large, "comp", "left_semi"), max_local_nodes, paths))
 
 
 def intervals(links: DataFrame, max_local_nodes: int = MAX_LOCAL_NODES) -> DataFrame:
     """(node_id, root_id, state, pre, first, last) for every node of ``links``: the nodes
     below it are those of the same root_id whose ``pre`` is from ``first`` to ``last``.
 
-    A cycle is opened above its smallest node, which gives a tree. A node below a cycle has
-    its own subtree; a node on a cycle has the whole component below it, itself included.
+    A node below a cycle has its own subtree; a node on a cycle has the whole component below
+    it, itself included.
     """
-    links = materialize(links.select(F.col("node_id").cast("bigint"), F.col("parent").cast("bigint")), "tree")
     tree = materialize(hierarchy(links, max_local_nodes), "tree")
-    off = materialize(tree.where("state <> 'rooted'").select("node_id", "root_id", "state"), "off")
-    opened = links.join(off, "node_id").select(
-        "node_id", F.when(F.col("node_id") != F.col("root_id"), F.col("parent")).alias("parent")
-    )
-    span = ["node_id", "root_id", "state", "pre", (F.col("pre") + 1).alias("first"), (F.col("pre") + F.col("n_descendants")).alias("last")]
-    cut = hierarchy(opened, max_local_nodes).select("node_id", "pre", "n_descendants").join(off, "node_id").select(*span)
-    size = off.groupBy("root_id").agg(F.count("*").alias("n"))
+    # a cycle is entered at its smallest node, whose descendants are all others of the component
+    size = tree.where((F.col("state") == "on_cycle") & (F.col("node_id") == F.col("root_id"))).select("root_id", F.col("n_descendants").alias("others"))
     on = F.col("state") == "on_cycle"
-    cut = cut.join(size, "root_id").select(
-        "node_id", "root_id", "state", "pre", F.when(on, F.lit(0)).otherwise(F.col("first")).cast("bigint").alias("first"),
-        F.when(on, F.col("n") - 1).otherwise(F.col("last")).alias("last"),
-    )
-    return tree.where("state = 'rooted'").select(*span).unionByName(cut)
+    return tree.join(size, "root_id", "left").select(
+        "node_id", "root_id", "state", "pre",
+        F.when(on, F.lit(0)).otherwise(F.col("pre") + 1).cast("bigint").alias("first"),
+        F.when(on, F.col("others")).otherwise(F.col("pre") + F.col("n_descendants")).alias("last"),
+    )
 
 
 def below(spans: DataFrame, wanted) -> DataFrame:
@@ -382,11 +481,11 @@ def below(spans: DataFrame, wanted) -> DataFrame:
 
 
 def descendants(tree: DataFrame, wanted) -> DataFrame:
-    """(node_id, descendant_id, distance) for every ancestor for which the column
-    ``wanted(node_id)`` holds: all nodes below it, found in the paths of ``tree``."""
-    steps = tree.where("path is not null").select(
-        F.posexplode("path").alias("pos", "node_id"), F.col("node_id").alias("descendant_id"), F.col("depth")
-    )
-    return steps.where(wanted(F.col("node_id")) & (F.col("pos") < F.col("depth"))).select(
-        "node_id", "descendant_id", (F.col("depth") - F.col("pos")).cast("int").alias("distance")
+    """(node_id, descendant_id, distance) for every rooted node for which ``wanted(node_id)``
+    holds: all nodes below it, by the pre-order of ``tree`` (a result of :func:`hierarchy`)."""
+    rows = tree.where("state = 'rooted'")
+    lower = rows.select("root_id", F.col("node_id").alias("descendant_id"), F.col("pre").alias("at"), F.col("depth").alias("deep"))
+    upper = rows.where(wanted(F.col("node_id"))).where("n_descendants > 0").select("root_id", "node_id", "depth", "pre", "n_descendants")
+    return upper.join(lower, "root_id").where("at > pre and at <= pre + n_descendants").select(
+        "node_id", "descendant_id", (F.col("deep") - F.col("depth")).cast("int").alias("distance")
     )

@@ -10,8 +10,8 @@ from strandloom.operators import nested
 from strandloom.runtime import table
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return hi.hierarchy(hi.child_links(table(spark, d, "dendrogram_nodes"), table(spark, d, "parent_index")))
+def _tree(spark: SparkSession, d: str, paths: bool = False) -> DataFrame:
+    return hi.hierarchy(hi.child_links(table(spark, d, "dendrogram_nodes"), table(spark, d, "parent_index")), paths=paths)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,10 +20,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every node with its full path as text, its number of descendants and the cycle-closing mark."""
-    return _tree(spark, d).select(
+    return _tree(spark, d, paths=True).select(
         "node_id",
         F.concat_ws("/", F.transform("path", lambda x: x.cast("string"))).alias("path"),
-        "n_descendants",
+        F.when(F.col("state") == "rooted", F.col("n_descendants")).alias("n_descendants"),
         "closes_cycle",
     )
 
