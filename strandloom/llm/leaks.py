@@ -8,9 +8,9 @@ overlapping diagonal bands of (document position - item position). A passage of
 within a band as wide as e allows, so bands below that count are dropped without loss. What
 remains is verified by an alignment confined to the band.
 
-The items are a fixed table (checked against :data:`MAX_ITEM_CHARS`, beyond which they are
-split into several tables, one pass over the documents for each), so the documents are
-scanned where they lie, without a shuffle.
+The items are a fixed table. They are held in tables of up to :data:`MAX_ITEM_CHARS`
+characters, which are broadcast together, so the documents are scanned once, where they lie,
+without a shuffle.
 
 Input conventions: a null or empty text holds nothing and leaks nothing; items shorter than
 the passage length leak nothing; texts of any length are processed whole; equal items are
@@ -174,7 +174,7 @@ def _scan(shared, min_words: int, max_edits: int):
     columns = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table: ItemTable = shared.value
+        tables: list[ItemTable] = shared.value
         for pdf in batches:
             out: list[tuple] = []
             raw = [t.encode() for t in pdf["plain"]]
@@ -184,7 +184,8 @@ def _scan(shared, min_words: int, max_edits: int):
             while lo < len(raw):
                 total = np.cumsum(sizes[lo : lo + 250])
                 hi = lo + max(1, int(np.searchsorted(total, 1_000_000, side="right")))
-                out += _scan_some(table, ids[lo:hi], raw[lo:hi], min_words, max_edits)
+                for table in tables:
+                    out += _scan_some(table, ids[lo:hi], raw[lo:hi], min_words, max_edits)
                 lo = hi
             yield pd.DataFrame(out, columns=columns)
 
@@ -273,12 +274,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = MIN
             ids, words, chars = [], [], 0
     if ids or not tables:
         tables.append((ids, words))
-    out = None
-    for ids, words in tables:
-        shared = spark.sparkContext.broadcast(ItemTable(ids, words, min_words, max_edits))
-        found = texts.mapInPandas(_scan(shared, min_words, max_edits), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates(["item_id", "doc_id"])
+    shared = spark.sparkContext.broadcast([ItemTable(ids, words, min_words, max_edits) for ids, words in tables])
+    return texts.mapInPandas(_scan(shared, min_words, max_edits), SCHEMA).dropDuplicates(["item_id", "doc_id"])
 
 
 def leak_report(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -18,6 +18,7 @@ an empty table gives an empty mix; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,8 +33,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Documents of one bucket of the running sum, about.
 BUCKET_ROWS = 20_000
-#: Texts are handed to the tokenizer in pieces of this many characters, cut at white space.
+#: Texts are handed to the tokenizer in pieces of at least this many characters, cut only
+#: where the pattern must end a token: at a single space between two marks that are none.
 PIECE = 100_000
+CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def token_counter(path: str):
@@ -51,10 +54,11 @@ def token_counter(path: str):
     def pieces(text: str) -> Iterator[str]:
         at = 0
         while len(text) - at > PIECE:
-            cut = text.rfind(" ", at + 1, at + PIECE)
-            cut = at + PIECE if cut < 0 else cut
-            yield text[at:cut]
-            at = cut
+            cut = CUT.search(text, at + PIECE)
+            if cut is None:
+                break
+            yield text[at : cut.start()]
+            at = cut.start()
         yield text[at:]
 
     @F.pandas_udf("bigint")
@@ -121,8 +125,31 @@ def with_tilts(plan_rows: DataFrame, tilts: dict[str, float] | None) -> DataFram
     return plan_rows.withColumn("tilt", F.percent_rank().over(order) - 0.5)
 
 
+def shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, target_weight, max_repeats, size, wanted, taken, n_rows, share, met): what the
+    emitted rows of :func:`mixture` give, one row per target. ``taken`` are their tokens and
+    ``share`` their part of the whole mix; where sources fall short, the others' shares exceed
+    their weights."""
+    sizes = materialize(sizes, "sizes")
+    emitted = placed(sizes, targets).groupBy("source").agg(F.sum("tokens").alias("taken"), F.count("*").alias("n_rows"))
+    emitted = materialize(emitted, "emitted")  # one row per target
+    whole = emitted.agg(F.sum("taken").alias("whole"))
+    return (
+        plan(sizes, targets).drop("taken", "share", "total").join(F.broadcast(emitted), "source", "left").crossJoin(F.broadcast(whole))
+        .select(
+            "source", "target_weight", "max_repeats", "size", "wanted", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+            F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"), F.coalesce(F.try_divide("taken", "whole"), F.lit(0.0)).alias("share"), "met",
+        )
+    )
+
+
 def mixture(sizes: DataFrame, targets: DataFrame, tilts: dict[str, float] | None = None, seed: int = 11) -> DataFrame:
-    """(doc_id, source, repeat_no, tokens, position): the mix in training order.
+    """The rows of :func:`placed` in training order."""
+    return placed(sizes, targets, tilts, seed).orderBy("position", "source", "doc_id", "repeat_no")
+
+
+def placed(sizes: DataFrame, targets: DataFrame, tilts: dict[str, float] | None = None, seed: int = 11) -> DataFrame:
+    """(doc_id, source, repeat_no, tokens, position): every document as often as it is used.
 
     Position is the training time in [0, 1] at which the document is due.
     """
@@ -155,4 +182,4 @@ def mixture(sizes: DataFrame, targets: DataFrame, tilts: dict[str, float] | None
     u = (F.col("start") + F.col("repeat_no") * F.col("size")) / F.col("taken")
     b = 1 - F.col("tilt")
     time = F.when(F.abs("tilt") < 1e-9, u).otherwise((F.sqrt(b * b + 4 * F.col("tilt") * u) - b) / (2 * F.col("tilt")))
-    return repeated.select("doc_id", "source", "repeat_no", "tokens", (time + 0.0).alias("position")).orderBy("position", "source", "doc_id", "repeat_no")
+    return repeated.select("doc_id", "source", "repeat_no", "tokens", (time + 0.0).alias("position"))

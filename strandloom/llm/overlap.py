@@ -211,7 +211,9 @@ def near_classes(
     ``sets`` has (cls, items, is_train, is_eval), one row per distinct non-empty set.
     """
     spark = sets.sparkSession
-    n_shards = 4 * shuffle_width(spark)
+    # Shards by volume: of the symbols of either side each shard holds a fraction of its bound.
+    volume = sets.agg(*[F.sum(F.when(F.col(f), F.size("items")).otherwise(0)) for f in ("is_eval", "is_train")]).first()
+    n_shards = 4 * max(shuffle_width(spark), math.ceil((volume[0] or 0) / shard_symbols), math.ceil((volume[1] or 0) / chunk_symbols))
     texts = sets.select("cls", gs.symbols(F.col("items")).alias("syms"), "is_train", "is_eval")
     keep = (F.size("syms") - F.ceil(F.lit(threshold) * F.size("syms") - 1e-9) + 1).cast("int")
     routed = materialize(

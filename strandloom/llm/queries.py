@@ -72,7 +72,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.plan(mixing.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    """The shares that the emitted mixture reaches."""
+    return mixing.shares(mixing.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Method: calibration. The rows are aggregated to cells (one per combination of category
 values), and Newton iterations on the dual of exponential tilting give every cell an
 inclusion probability such that the expected counts of all categories meet their quotas;
-cells whose probability reaches one are fixed there, categories that cannot be met are
-aimed at what exists. The sample is drawn with these probabilities by the pivotal method,
+cells whose probability reaches one are fixed there, as are all cells of a category of
+which fewer rows exist than its quota. The sample is drawn with these probabilities by the pivotal method,
 which keeps the size of every cell within one row of its expectation, and the rows of
 categories that fall short of their quota are reported.
 
@@ -40,7 +40,7 @@ OTHER = "\u0001other"
 
 REPORT_SCHEMA = (
     "dimension string, category string, target_share double, quota bigint, available bigint, "
-    "sampled bigint, gap bigint, reachable boolean"
+    "sampled bigint, gap bigint, reachable boolean, against array<string>"
 )
 
 
@@ -67,8 +67,10 @@ def calibrate(
     slack: np.ndarray,
     size: float,
     rounds: int = 60,
-) -> np.ndarray:
-    """Inclusion probability of each cell.
+    whole: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Inclusion probability of each cell, and the multiplier of each goal (above 0 where the
+    goal raises its cells, below where it lowers them). Cells of ``whole`` are taken entirely.
 
     ``member[k, c]``: cell c counts for goal k. The tilted probabilities start from the
     even one (size / n); Newton steps on the dual with a small ridge, which settles goals
@@ -78,10 +80,11 @@ def calibrate(
     """
     n = counts.sum()
     if not n or not len(goals):
-        return np.full(len(cells), min(1.0, size / n) if n else 0.0)
+        return np.full(len(cells), min(1.0, size / n) if n else 0.0), np.zeros(len(goals))
     base = np.full(len(cells), min(1.0, size / n))
-    fixed = np.zeros(len(cells), bool)
-    pi = base.copy()
+    fixed = np.zeros(len(cells), bool) if whole is None else whole.copy()
+    pi = np.where(fixed, 1.0, base)
+    dual = np.zeros(len(goals))
     for _ in range(len(cells) + 1):
         free = ~fixed
         m = member[:, free]
@@ -115,7 +118,7 @@ def calibrate(
         held, room = (counts * pi)[inside].sum(), (counts * (1 - pi))[inside].sum()
         if floors[k] > held and room > 0:
             pi[inside] += (1 - pi[inside]) * min(1.0, (floors[k] - held) / room)
-    return pi
+    return pi, dual
 
 
 def _uniform(h: int) -> float:
@@ -240,7 +243,9 @@ class QuotaSample:
         # One row above the floor: rounding inside a cell may take one away per cell.
         floors = np.array([min(t["min_rows"] + self.member[k].sum(), goals[k]) for k, t in enumerate(wanted)])
         slack = np.array([1.0 if "|" not in t.dimension else 20.0 for t in self.targets])
-        self.probabilities = calibrate(combos, counts, self.member, goals, floors, slack, size)
+        short = np.array([t.available < t.quota for t in self.targets], bool)
+        whole = (self.member[short] > 0).any(axis=0) if short.any() else np.zeros(len(combos), bool)
+        self.probabilities, self.multipliers = calibrate(combos, counts, self.member, goals, floors, slack, size, whole=whole)
         self.seed = seed
         self.spark = spark
         self.counts = counts
@@ -263,17 +268,23 @@ class QuotaSample:
                 salted.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "h", "key").mapInPandas(_rounds, SAMPLE_SCHEMA),
                 "pivotal",
             )
-            # One undecided row per group at most: they fit one task as their groups' sizes bound their number.
-            rest = first.where("not chosen").coalesce(1).mapInPandas(_last_round, SAMPLE_SCHEMA)
+            # One undecided row of GROUP_ROWS at most: only these rows go to one task.
+            rest = first.where("not chosen").repartition(1).mapInPandas(_last_round, SAMPLE_SCHEMA)
             self._drawn = materialize(first.where("chosen").unionByName(rest).select("key", "cell"), "sample")
         return self._drawn
 
     def report(self) -> DataFrame:
-        """One row per target; ``reachable`` is false where too few rows exist."""
+        """One row per target; ``reachable`` is false where too few rows exist, and then all of
+        them are in the sample. ``against`` names, for a target that could be met alone but has a
+        gap, the targets it contradicts: those of common rows whose multiplier pulls the other way."""
         drawn = {r["cell"]: r["n"] for r in self.sample().groupBy("cell").agg(F.count("*").alias("n")).collect()}
         taken = self.member @ np.array([drawn.get(c, 0) for c in range(self.member.shape[1])], float)
-        out = [
-            (t.dimension, t.category, float(t.share), t.quota, t.available, int(k), max(0, t.quota - int(k)), t.available >= t.quota)
-            for t, k in zip(self.targets, taken)
-        ]
+        names = [f"{t.dimension}={t.category}" for t in self.targets]
+        out = []
+        for at, (t, k) in enumerate(zip(self.targets, taken)):
+            gap, reachable, against = max(0, t.quota - int(k)), t.available >= t.quota, []
+            if gap and reachable:
+                common = (self.member * self.member[at] * self.counts).sum(axis=1) > 0
+                against = [names[j] for j in np.flatnonzero(common & (self.multipliers * self.multipliers[at] < 0)) if j != at]
+            out.append((t.dimension, t.category, float(t.share), t.quota, t.available, int(k), gap, reachable, against))
         return self.spark.createDataFrame(out, REPORT_SCHEMA)
