@@ -382,32 +382,32 @@ def essentiality(edges: DataFrame, seeds: DataFrame, null_sets: DataFrame, resta
     )
 
 
-def ablation(edges: DataFrame, seeds: DataFrame, restart: float = 0.7, delta: float = 0.5, iterations: int | None = None) -> DataFrame:
+def ablation(edges: DataFrame, seeds: DataFrame, restart: float = 0.7, delta: float = 0.5, iterations: int | None = None, tolerance: float = MULTIPLEX_TOLERANCE) -> DataFrame:
     """(layer, set_id, node, score, base): vectors after dropping each layer, beside the full ones."""
-    full = reduced(multiplex_walks(edges, seeds, restart, delta, iterations), edges, "arithmetic").withColumnRenamed("score", "base")
+    full = reduced(multiplex_walks(edges, seeds, restart, delta, iterations, tolerance=tolerance), edges, "arithmetic").withColumnRenamed("score", "base")
     full = materialize(full, "base")
     out = None
     for layer in [r[0] for r in edges.select("layer").distinct().orderBy("layer").collect()]:  # one round per layer
         rest = edges.where(F.col("layer") != layer)
-        part = reduced(multiplex_walks(rest, seeds, restart, delta, iterations), rest, "arithmetic").select(
+        part = reduced(multiplex_walks(rest, seeds, restart, delta, iterations, tolerance=tolerance), rest, "arithmetic").select(
             F.lit(layer).alias("layer"), "set_id", "node", "score"
         )
         out = part if out is None else out.unionByName(part)
     names = out.select("layer").distinct()
-    return names.join(full).join(out, ["layer", "set_id", "node"], "left").select(
+    return F.broadcast(names).crossJoin(full).join(out, ["layer", "set_id", "node"], "left").select(
         "layer", "set_id", "node", F.coalesce("score", F.lit(0.0)).alias("score"), "base"
     )
 
 
-def perturbation(edges: DataFrame, seeds: DataFrame, node: str, restart: float = 0.7, delta: float = 0.5, iterations: int | None = None) -> DataFrame:
+def perturbation(edges: DataFrame, seeds: DataFrame, node: str, restart: float = 0.7, delta: float = 0.5, iterations: int | None = None, tolerance: float = MULTIPLEX_TOLERANCE) -> DataFrame:
     """(set_id, node, score, base): vectors after taking a node's edges away. The weights
     between layers stay those of the full network."""
     at = symmetric(edges).select("layer", F.col("src").alias("node")).distinct()
     held = at.groupBy("node").agg(F.count("*").alias("n"))
     inter = at.join(held, "node").select("layer", "node", F.when(F.col("n") > 1, delta / (F.col("n") - 1)).otherwise(0.0).alias("d"))
-    full = reduced(multiplex_walks(edges, seeds, restart, delta, iterations), edges, "arithmetic").withColumnRenamed("score", "base")
+    full = reduced(multiplex_walks(edges, seeds, restart, delta, iterations, tolerance=tolerance), edges, "arithmetic").withColumnRenamed("score", "base")
     cut = edges.where((F.col("src") != node) & (F.col("dst") != node))
-    changed = reduced(multiplex_walks(cut, seeds, restart, delta, iterations, inter=inter), edges, "arithmetic")
+    changed = reduced(multiplex_walks(cut, seeds, restart, delta, iterations, inter=inter, tolerance=tolerance), edges, "arithmetic")
     return full.join(changed, ["set_id", "node"], "full").select(
         "set_id", "node", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("base", F.lit(0.0)).alias("base")
     )

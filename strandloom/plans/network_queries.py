@@ -3,10 +3,11 @@
 The network: one layer per return flag, an edge between a part and a supplier, its weight
 the number of line items. Seed sets: per region, the richest supplier of each nation.
 
-Queries named ``*_converged`` run their walks to the fixed point and have no SQL; the ones
-of the same name without it stop after STEPS (2 for ablation and perturbation) rounds, as
-their SQL spells out, and serve only as a check against it. So do hop_distances and
-weighted_distances (3 hops, 2 rounds) beside the ones named ``*_whole``.
+Walks run until they change by less than TOLERANCE, which is tighter than the operators'
+own, so that eight digits are certain; the SQL spells out as many rounds as leave less than
+1e-13 of a walk (0.3 ** 28, 0.65 ** 75). Hop and weighted distances run until nothing
+changes; their SQL has more rounds than the network is wide, and says so by a last round
+that must change nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from strandloom.operators import edges as ed
 from strandloom.operators import graph, vectors, walks
 from strandloom.runtime import materialize, table
 
-STEPS = 3
+TOLERANCE = 1e-13
+STEPS, LAYER_STEPS = 28, 75
+HOPS, RELAXATIONS = 8, 14
 RESTART, DELTA = 0.7, 0.5
 
 
@@ -121,19 +124,11 @@ def present_nodes(spark, d):
 
 
 def hop_distances(spark, d):
-    return graph.hop_distances(network(spark, d), nodes_of_seeds(spark, d), 3)
+    return graph.hop_distances(stored_network(spark, d), nodes_of_seeds(spark, d))
 
 
 def weighted_distances(spark, d):
-    return graph.weighted_distances(network(spark, d), nodes_of_seeds(spark, d), 2).withColumn("distance", F.round("distance", 6)).drop("hops")
-
-
-def hop_distances_whole(spark, d):
-    return graph.hop_distances(network(spark, d), nodes_of_seeds(spark, d))
-
-
-def weighted_distances_whole(spark, d):
-    return graph.weighted_distances(network(spark, d), nodes_of_seeds(spark, d)).withColumn("distance", F.round("distance", 6)).drop("hops")
+    return graph.weighted_distances(stored_network(spark, d), nodes_of_seeds(spark, d)).withColumn("distance", F.round("distance", 6)).drop("hops")
 
 
 def path_layer_counts(spark, d):
@@ -161,26 +156,21 @@ def component_sizes(spark, d):
 
 
 def layer_walks(spark, d):
-    return walks.layer_walks(stored_network(spark, d), seeds(spark, d), 0.35, STEPS).withColumn("score", F.round("score", 8))
+    return walks.layer_walks(stored_network(spark, d), seeds(spark, d), 0.35, tolerance=TOLERANCE).withColumn("score", F.round("score", 8))
 
 
 def walk_means(spark, d):
     net = stored_network(spark, d)
-    return walks.mean_over_layers(walks.layer_walks(net, seeds(spark, d), 0.35, STEPS), net).withColumn("score", F.round("score", 8))
+    return walks.mean_over_layers(walks.layer_walks(net, seeds(spark, d), 0.35, tolerance=TOLERANCE), net).withColumn("score", F.round("score", 8))
 
 
 def multiplex_walks(spark, d):
-    return walks.multiplex_walks(stored_network(spark, d), seeds(spark, d), RESTART, DELTA, STEPS).withColumn("score", F.round("score", 8))
-
-
-def _digits(column: str):
-    """Eight digits, off the ties of rounding: both engines then agree."""
-    return F.round(F.col(column) + 1.3e-11, 8)
+    return walks.multiplex_walks(stored_network(spark, d), seeds(spark, d), RESTART, DELTA, tolerance=TOLERANCE).withColumn("score", F.round("score", 8))
 
 
-def _vectors(spark, d, how="geometric", steps=STEPS):
+def _vectors(spark, d, how="geometric"):
     net = stored_network(spark, d)
-    return walks.reduced(walks.multiplex_walks(net, seeds(spark, d), RESTART, DELTA, steps), net, how)
+    return walks.reduced(walks.multiplex_walks(net, seeds(spark, d), RESTART, DELTA, tolerance=TOLERANCE), net, how)
 
 
 def walk_reduced(how):
@@ -192,30 +182,18 @@ def walk_reduced(how):
 
 
 def walk_ranks(spark, d):
-    return _ranks(spark, d, STEPS)
-
-
-def _ranks(spark, d, steps):
-    scores = _vectors(spark, d, "arithmetic", steps).withColumn("score", _digits("score"))
+    scores = _vectors(spark, d, "arithmetic").withColumn("score", F.round("score", 8))
     return walks.ranked(scores, seeds(spark, d)).select("set_id", "node", "rank", "is_seed")
 
 
 def lines_of_evidence(spark, d):
-    return _evidence(spark, d, STEPS)
-
-
-def _evidence(spark, d, steps):
-    scores = _vectors(spark, d, "arithmetic", steps).withColumn("score", _digits("score"))
+    scores = _vectors(spark, d, "arithmetic").withColumn("score", F.round("score", 8))
     return walks.top(walks.ranked(scores, seeds(spark, d), drop_seeds=True, ties="min"), 20).select("set_id", "node", "score", "rank")
 
 
 def walk_distances(spark, d):
-    return _distances(spark, d, STEPS)
-
-
-def _distances(spark, d, steps):
     """Distances between the vectors of every two seed sets."""
-    v = materialize(_vectors(spark, d, "arithmetic", steps).withColumn("score", _digits("score")), "vectors")
+    v = materialize(_vectors(spark, d, "arithmetic").withColumn("score", F.round("score", 8)), "vectors")
     names = v.select("set_id").distinct()
     a, b = names.toDF("a"), names.toDF("b")
     nodes = v.select("node").distinct()
@@ -228,30 +206,18 @@ def _distances(spark, d, steps):
 
 
 def layer_ablation(spark, d):
-    return _ablated_layers(spark, d, 2)
-
-
-def _ablated_layers(spark, d, steps):
-    rows = walks.ablation(stored_network(spark, d), seeds(spark, d), RESTART, DELTA, steps)
+    rows = walks.ablation(stored_network(spark, d), seeds(spark, d), RESTART, DELTA, tolerance=TOLERANCE)
     out = vectors.column_distances(rows, ["layer", "set_id"], "score", "base")
     return out.select("layer", "set_id", F.round("pearson", 6).alias("pearson"), F.round("cosine", 6).alias("cosine"))
 
 
 def layer_ablation_summary(spark, d):
-    return _ablation_summary(layer_ablation(spark, d))
-
-
-def _ablation_summary(ablated):
-    out = vectors.effect_summary(ablated, "layer", "pearson")
+    out = vectors.effect_summary(layer_ablation(spark, d), "layer", "pearson")
     return out.select("layer", *[F.round(c, 6).alias(c) for c in ("mean", "max", "min")], "n")
 
 
 def node_perturbation(spark, d):
-    return _perturbed(spark, d, 2)
-
-
-def _perturbed(spark, d, steps):
-    rows = walks.perturbation(stored_network(spark, d), seeds(spark, d), "S1", RESTART, DELTA, steps)
+    rows = walks.perturbation(stored_network(spark, d), seeds(spark, d), "S1", RESTART, DELTA, tolerance=TOLERANCE)
     out = vectors.column_distances(rows, ["set_id"], "score", "base")
     return out.select("set_id", F.round("pearson", 6).alias("pearson"), F.round("cosine", 6).alias("cosine"))
 
@@ -265,55 +231,6 @@ def seed_essentiality(spark, d):
     )
 
 
-def layer_walks_converged(spark, d):
-    return walks.layer_walks(stored_network(spark, d), seeds(spark, d)).withColumn("score", F.round("score", 8))
-
-
-def walk_means_converged(spark, d):
-    net = stored_network(spark, d)
-    return walks.mean_over_layers(walks.layer_walks(net, seeds(spark, d)), net).withColumn("score", F.round("score", 8))
-
-
-def multiplex_walks_converged(spark, d):
-    return walks.multiplex_walks(stored_network(spark, d), seeds(spark, d), RESTART, DELTA).withColumn("score", F.round("score", 8))
-
-
-def walk_reduced_converged(how):
-    def query(spark, d):
-        return _vectors(spark, d, how, None).withColumn("score", F.round("score", 8))
-
-    query.__name__ = f"walk_reduced_{how}_converged"
-    return query
-
-
-def walk_ranks_converged(spark, d):
-    return _ranks(spark, d, None)
-
-
-def lines_of_evidence_converged(spark, d):
-    return _evidence(spark, d, None)
-
-
-def walk_distances_converged(spark, d):
-    return _distances(spark, d, None)
-
-
-def score_elbow_converged(spark, d):
-    return _elbow(spark, d, None)
-
-
-def layer_ablation_converged(spark, d):
-    return _ablated_layers(spark, d, None)
-
-
-def layer_ablation_summary_converged(spark, d):
-    return _ablation_summary(layer_ablation_converged(spark, d))
-
-
-def node_perturbation_converged(spark, d):
-    return _perturbed(spark, d, None)
-
-
 def vector_pairs(spark, d):
     e = table(spark, d, "embeddings")
     out = vectors.pairwise(e, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
@@ -321,11 +238,7 @@ def vector_pairs(spark, d):
 
 
 def score_elbow(spark, d):
-    return _elbow(spark, d, STEPS)
-
-
-def _elbow(spark, d, steps):
-    scores = walks.ranked(_vectors(spark, d, "arithmetic", steps), ties="min")
+    scores = walks.ranked(_vectors(spark, d, "arithmetic"), ties="min")
     place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("score"), "node"))
     return vectors.elbow(scores.withColumn("place", place).withColumn("score", F.round("score", 8)), "set_id", "place", "score")
 
@@ -337,10 +250,7 @@ QUERIES = {
         neighbour_union, induced_edges, induced_summary, node_layers, layer_matrix, present_nodes, hop_distances, weighted_distances,
         path_layer_counts, identifier_components, component_sizes, layer_walks, walk_means, multiplex_walks,
         *map(walk_reduced, walks.REDUCTIONS), walk_ranks, lines_of_evidence, walk_distances, layer_ablation, layer_ablation_summary,
-        node_perturbation, seed_essentiality, vector_pairs, score_elbow, layer_walks_converged, walk_means_converged, multiplex_walks_converged,
-        *map(walk_reduced_converged, walks.REDUCTIONS), walk_ranks_converged, lines_of_evidence_converged, walk_distances_converged,
-        layer_ablation_converged, layer_ablation_summary_converged, node_perturbation_converged, score_elbow_converged,
-        hop_distances_whole, weighted_distances_whole,
+        node_perturbation, seed_essentiality, vector_pairs, score_elbow,
     )
 }
 
@@ -354,10 +264,14 @@ _SUB = f"""{_SEEDS}, sub AS (SELECT 'P' || p_partkey AS node FROM part WHERE p_s
 _HOPS = """
 h0 AS (SELECT DISTINCT node AS source, node, 0 AS hops, CAST(NULL AS VARCHAR) AS parent FROM seeds),
 """ + ",\n".join(
-    f"""h{k} AS (SELECT * FROM h{k - 1} UNION ALL
+    f"""h{k} AS MATERIALIZED (SELECT * FROM h{k - 1} UNION ALL
   SELECT r.source, s.dst, {k}, min(r.node) FROM h{k - 1} r JOIN sym s ON s.src = r.node
   WHERE r.hops = {k - 1} AND NOT EXISTS (SELECT 1 FROM h{k - 1} x WHERE x.source = r.source AND x.node = s.dst) GROUP BY r.source, s.dst)"""
-    for k in range(1, 4)
+    for k in range(1, HOPS + 1)
+)
+_RELAX = ",\n".join(
+    f"d{k} AS MATERIALIZED (SELECT source, node, min(distance) AS distance FROM (SELECT * FROM d{k - 1} UNION ALL SELECT source, dst, distance + l FROM d{k - 1} JOIN s ON s.src = node) GROUP BY ALL)"
+    for k in range(1, RELAXATIONS + 1)
 )
 _AT = "held AS (SELECT DISTINCT layer, src AS node FROM sym)"
 
@@ -375,7 +289,7 @@ def _multiplex(e: str = "sym", tag: str = "", steps: int = STEPS, sets: str = "s
     ]
     for k in range(1, steps + 1):
         p = f"s{k - 1}{tag}"
-        ctes.append(f"""s{k}{tag} AS (SELECT set_id, layer, node, round(sum(score), 12) AS score FROM (
+        ctes.append(f"""s{k}{tag} AS MATERIALIZED (SELECT set_id, layer, node, sum(score) AS score FROM (
   SELECT w.set_id, w.layer, t.dst AS node, w.score * t.p * (1 - {RESTART}) AS score FROM {p} w JOIN tr{tag} t ON t.layer = w.layer AND t.src = w.node
   UNION ALL SELECT w.set_id, a.layer, w.node, w.score * i.d * (1 - {RESTART}) FROM {p} w JOIN inter{tag} i ON i.layer = w.layer AND i.node = w.node JOIN occ{tag} a ON a.node = w.node AND a.layer <> w.layer
   UNION ALL SELECT set_id, layer, node, score * {RESTART} FROM s0{tag}) GROUP BY set_id, layer, node)""")
@@ -393,17 +307,17 @@ def _reduced(how: str, tag: str = "", steps: int = STEPS, e: str = "sym", name:
 
 
 _MW = f"{_SYM}, {_SEEDS}, {_multiplex()}"
-_VEC = f"{_MW}, {_reduced('arithmetic')}, v AS (SELECT set_id, node, round(score + 1.3e-11, 8) AS score FROM red)"
+_VEC = f"{_MW}, {_reduced('arithmetic')}, v AS (SELECT set_id, node, round(score, 8) AS score FROM red)"
 _LW = f"""{_SYM}, {_SEEDS}, {_AT},
 tot AS (SELECT layer, src, sum(weight) AS total FROM sym GROUP BY ALL),
 tr AS (SELECT s.layer, s.src, s.dst, sum(s.weight) / any_value(t.total) AS p FROM sym s JOIN tot t USING (layer, src) GROUP BY s.layer, s.src, s.dst),
 act AS (SELECT DISTINCT set_id, layer, node FROM seeds JOIN held USING (node)),
 w0 AS (SELECT set_id, layer, node, 1.0 / count(*) OVER (PARTITION BY set_id, layer) AS score FROM act),
 """ + ",\n".join(
-    f"""w{k} AS (SELECT set_id, layer, node, round(sum(score), 12) AS score FROM (
+    f"""w{k} AS MATERIALIZED (SELECT set_id, layer, node, sum(score) AS score FROM (
   SELECT w.set_id, w.layer, t.dst AS node, w.score * t.p * (1 - 0.35) AS score FROM w{k - 1} w JOIN tr t ON t.layer = w.layer AND t.src = w.node
   UNION ALL SELECT set_id, layer, node, score * 0.35 FROM w0) GROUP BY set_id, layer, node)"""
-    for k in range(1, STEPS + 1)
+    for k in range(1, LAYER_STEPS + 1)
 )
 
 
@@ -425,11 +339,11 @@ def _ablated() -> str:
     parts = []
     for layer in ("A", "N", "R"):
         parts.append(f"sym{layer} AS (SELECT * FROM sym WHERE layer <> '{layer}')")
-        parts.append(_multiplex(f"sym{layer}", layer, 2))
-        parts.append(_reduced("arithmetic", layer, 2, f"sym{layer}", f"red{layer}"))
+        parts.append(_multiplex(f"sym{layer}", layer))
+        parts.append(_reduced("arithmetic", layer, e=f"sym{layer}", name=f"red{layer}"))
     union = " UNION ALL ".join(f"SELECT '{x}' AS layer, * FROM red{x}" for x in ("A", "N", "R"))
     return (
-        f"{_SYM}, {_SEEDS}, {_multiplex(steps=2)}, {_reduced('arithmetic', steps=2)}, {', '.join(parts)}, abl AS ({union}), "
+        f"{_SYM}, {_SEEDS}, {_multiplex()}, {_reduced('arithmetic')}, {', '.join(parts)}, abl AS ({union}), "
         "both_ AS (SELECT l.layer, r.set_id, coalesce(a.score, 0.0) AS x, r.score AS y FROM (SELECT DISTINCT layer FROM e) l CROSS JOIN red r "
         "LEFT JOIN abl a ON a.layer = l.layer AND a.set_id = r.set_id AND a.node = r.node), "
         f"dist AS (SELECT layer, set_id, round(1 - ({_corr('x', 'y')}), 6) AS pearson, round(1 - {_COS}, 6) AS cosine FROM both_ GROUP BY layer, set_id)"
@@ -459,19 +373,17 @@ SELECT layer, present, coalesce(edges, 0) AS edges FROM p LEFT JOIN g USING (lay
     "layer_matrix": f"""WITH {_SYM} SELECT src AS node, max(CASE WHEN layer = 'A' THEN 1 ELSE 0 END) AS "A", max(CASE WHEN layer = 'N' THEN 1 ELSE 0 END) AS "N",
 max(CASE WHEN layer = 'R' THEN 1 ELSE 0 END) AS "R" FROM sym GROUP BY src""",
     "present_nodes": f"WITH {_SYM} SELECT DISTINCT 'P' || c_custkey AS node, ('P' || c_custkey) IN (SELECT src FROM sym) AS present FROM customer",
-    "hop_distances": f"WITH {_SYM}, {_SEEDS}, {_HOPS} SELECT source, node, hops, parent FROM h3",
-    "weighted_distances": f"""WITH {_E}, {_SEEDS}, m AS (SELECT src, dst, round(1 / max(weight), 9) AS len, 1 / max(weight) AS l FROM e GROUP BY src, dst),
+    "hop_distances": f"WITH {_SYM}, {_SEEDS}, {_HOPS} SELECT source, node, hops, parent FROM h{HOPS}",
+    "weighted_distances": f"""WITH {_E}, {_SEEDS}, m AS (SELECT src, dst, 1 / max(weight) AS l FROM e GROUP BY src, dst),
 s AS (SELECT src, dst, l FROM m UNION ALL SELECT dst, src, l FROM m), d0 AS (SELECT DISTINCT node AS source, node, 0.0 AS distance FROM seeds),
-d1 AS (SELECT source, node, min(distance) AS distance FROM (SELECT * FROM d0 UNION ALL SELECT source, dst, round(distance + l, 9) FROM d0 JOIN s ON s.src = node) GROUP BY ALL),
-d2 AS (SELECT source, node, min(distance) AS distance FROM (SELECT * FROM d1 UNION ALL SELECT source, dst, round(distance + l, 9) FROM d1 JOIN s ON s.src = node) GROUP BY ALL)
-SELECT source, node, round(distance, 6) AS distance FROM d2""",
+{_RELAX} SELECT source, node, round(distance, 6) AS distance FROM d{RELAXATIONS}""",
     "path_layer_counts": f"""WITH {_SYM}, {_SEEDS}, {_HOPS}, st AS (SELECT parent, node FROM h1 WHERE hops = 1)
 SELECT layer, count(*) AS n_edges FROM st JOIN sym ON sym.src = st.parent AND sym.dst = st.node GROUP BY layer""",
     "identifier_components": f"WITH {_COMP} SELECT DISTINCT a AS node, component FROM comp UNION SELECT DISTINCT b, component FROM comp",
     "component_sizes": f"WITH {_COMP} SELECT component, count(*) AS size FROM (SELECT DISTINCT a AS node, component FROM comp UNION SELECT DISTINCT b, component FROM comp) GROUP BY component",
-    "layer_walks": f"WITH {_LW} SELECT set_id, layer, node, round(score, 8) AS score FROM w{STEPS}",
-    "walk_means": f"""WITH {_LW}, a AS (SELECT DISTINCT set_id, layer FROM w{STEPS}), n AS (SELECT set_id, node, count(*) AS n FROM a JOIN held USING (layer) GROUP BY ALL),
-t AS (SELECT set_id, node, sum(score) AS s FROM w{STEPS} GROUP BY ALL) SELECT set_id, node, round(s / n, 8) AS score FROM n JOIN t USING (set_id, node)""",
+    "layer_walks": f"WITH {_LW} SELECT set_id, layer, node, round(score, 8) AS score FROM w{LAYER_STEPS}",
+    "walk_means": f"""WITH {_LW}, a AS (SELECT DISTINCT set_id, layer FROM w{LAYER_STEPS}), n AS (SELECT set_id, node, count(*) AS n FROM a JOIN held USING (layer) GROUP BY ALL),
+t AS (SELECT set_id, node, sum(score) AS s FROM w{LAYER_STEPS} GROUP BY ALL) SELECT set_id, node, round(s / n, 8) AS score FROM n JOIN t USING (set_id, node)""",
     "multiplex_walks": f"WITH {_MW} SELECT set_id, layer, node, round(score, 8) AS score FROM s{STEPS}",
     **{f"walk_reduced_{how}": f"WITH {_MW}, {_reduced(how)} SELECT set_id, node, round(score, 8) AS score FROM red" for how in walks.REDUCTIONS},
     "walk_ranks": f"""WITH {_VEC} SELECT v.set_id, v.node, rank() OVER (PARTITION BY v.set_id ORDER BY v.score DESC) + (count(*) OVER (PARTITION BY v.set_id, v.score) - 1) / 2 AS rank,
@@ -484,8 +396,8 @@ z AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PAR
 SELECT a, b, round(1 - ({_corr('x', 'y')}), 6) AS pearson, round(1 - {_COS}, 6) AS cosine, round(1 - ({_corr('rx', 'ry')}), 6) AS spearman FROM z GROUP BY a, b""",
     "layer_ablation": f"WITH {_ablated()} SELECT * FROM dist",
     "layer_ablation_summary": f"WITH {_ablated()} SELECT layer, round(avg(pearson), 6) AS mean, round(max(pearson), 6) AS max, round(min(pearson), 6) AS min, count(pearson) AS n FROM dist GROUP BY layer",
-    "node_perturbation": f"""WITH {_SYM}, {_SEEDS}, {_multiplex(steps=2)}, {_reduced('arithmetic', steps=2)}, cut AS (SELECT * FROM sym WHERE src <> 'S1' AND dst <> 'S1'),
-{_multiplex('cut', 'c', 2, inter='interc AS (SELECT * FROM inter)', n_layers='(SELECT count(DISTINCT layer) FROM cut)')}, {_reduced('arithmetic', 'c', 2, 'sym', 'redc')},
+    "node_perturbation": f"""WITH {_SYM}, {_SEEDS}, {_multiplex()}, {_reduced('arithmetic')}, cut AS (SELECT * FROM sym WHERE src <> 'S1' AND dst <> 'S1'),
+{_multiplex('cut', 'c', inter='interc AS (SELECT * FROM inter)', n_layers='(SELECT count(DISTINCT layer) FROM cut)')}, {_reduced('arithmetic', 'c', e='sym', name='redc')},
 b AS (SELECT coalesce(r.set_id, c.set_id) AS set_id, coalesce(c.score, 0.0) AS x, coalesce(r.score, 0.0) AS y FROM red r FULL JOIN redc c ON c.set_id = r.set_id AND c.node = r.node)
 SELECT set_id, round(1 - ({_corr('x', 'y')}), 6) AS pearson, round(1 - {_COS}, 6) AS cosine FROM b GROUP BY set_id""",
     "vector_pairs": f"""WITH u AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
