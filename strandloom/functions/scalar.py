@@ -53,7 +53,14 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
 
 
 #: Words that do not count in answer scoring (fixed values).
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with"]
+STOP_WORDS = [
+    "it", "its", "they", "their", "that", "this", "which", "is", "are", "were", "be", "to",
+    "a", "an", "the", "some", "as", "and", "also",
+]
+#: ASCII punctuation (fixed values).
+PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
+#: Characters of a thought beyond which it counts as overlong (fixed value).
+LONGEST_THOUGHT = 4000
 
 
 def tagged(text: Column, tag: str) -> Column:
@@ -62,36 +69,65 @@ def tagged(text: Column, tag: str) -> Column:
 
 
 def answer_words(text: Column) -> Column:
-    """Distinct lower-case words without punctuation and stop words."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]+", ""), r"\s+")
+    """Distinct lower-case words without ASCII punctuation and stop words."""
+    words = F.split(F.regexp_replace(F.lower(text), PUNCTUATION, ""), r"(?U)\s+")
     return F.array_except(F.array_distinct(F.filter(words, lambda w: w != "")), F.array(*map(F.lit, STOP_WORDS)))
 
 
 def word_overlap(answer: Column, target: Column) -> Column:
-    """Share of the target's words that the answer has; 0 without target words."""
-    a, t = answer_words(answer), answer_words(target)
+    """Share of the target's words that the answer has; 0 without target words. The answer is
+    what its answer tags enclose, or the whole text."""
+    said = tagged(answer, "answer")
+    a, t = answer_words(F.when(said != "", said).otherwise(answer)), answer_words(target)
     return safe_divide(F.size(F.array_intersect(a, t)).cast("double"), F.size(t))
 
 
 def format_score(text: Column) -> Column:
-    """Shape of a tagged answer: 0.4 both pairs, 0.2 thought first, 0.2 one pair of each,
-    0.1 neither empty, 0.1 nothing outside, -0.2 for over 4000 characters; within [-1, 1]."""
-    pair = lambda t: text.rlike(rf"(?s)<{t}>.*?</{t}>")
-    both = pair("think") & pair("answer")
-    ordered = text.rlike(r"(?s)<think>.*?</think>.*<answer>.*?</answer>")
-    single = (F.regexp_count(text, F.lit("<think>")) == 1) & (F.regexp_count(text, F.lit("<answer>")) == 1)
-    filled = (tagged(text, "think") != "") & (tagged(text, "answer") != "")
-    outside = F.trim(F.regexp_replace(text, r"(?s)<(think|answer)>.*?</\1>", ""))
+    """Shape of a tagged answer: 0.4 a pair of each tag; and if there is exactly one of each
+    0.2 for that, 0.2 thought first, 0.1 neither empty, 0.1 nothing before and after but some
+    text between, -0.2 for an overlong thought; within [-1, 1]."""
+    pairs = lambda t: F.regexp_count(text, F.lit(rf"(?s)<{t}>.*?</{t}>"))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    inside = lambda t: F.regexp_extract(text, rf"(?s)<{t}>(.*?)</{t}>", 1)
+    single = (pairs("think") == 1) & (pairs("answer") == 1)
+    # offsets of the first pairs: what stands before the thought, up to the answer, and after it
+    before_think = F.length(F.regexp_extract(text, r"(?s)^(.*?)<think>.*?</think>", 1))
+    before_answer = F.length(F.regexp_extract(text, r"(?s)^(.*?)<answer>.*?</answer>", 1))
+    think_end = before_think + F.length(inside("think")) + len("<think></think>")
+    answer_end = before_answer + F.length(inside("answer")) + len("<answer></answer>")
+    part = lambda start, length: bare(F.substring(text, start + 1, F.greatest(length, F.lit(0))))
+    framed = (part(F.lit(0), before_think) == "") & (part(answer_end, F.length(text)) == "") & (part(think_end, before_answer - think_end) != "")
+    points = lambda ok, p: F.when(ok, p).otherwise(0.0)
     score = (
-        F.when(both, 0.4).otherwise(0.0) + F.when(ordered, 0.2).otherwise(0.0) + F.when(both & single, 0.2).otherwise(0.0)
-        + F.when(filled, 0.1).otherwise(0.0) + F.when(both & (outside == ""), 0.1).otherwise(0.0) - F.when(F.length(text) > 4000, 0.2).otherwise(0.0)
+        points((pairs("think") > 0) & (pairs("answer") > 0), 0.4) + points(single & (before_think < before_answer), 0.2) + points(single, 0.2)
+        + points(single & (bare(inside("think")) != "") & (bare(inside("answer")) != ""), 0.1) + points(single & framed, 0.1)
+        - points(single & (F.length(inside("think")) > LONGEST_THOUGHT), 0.2)
     )
     return F.greatest(F.least(score, F.lit(1.0)), F.lit(-1.0))
 
 
+def add_count(n: Column, difficulty: Column) -> Column:
+    """Items to add as noise: 1, a fifth or a third of n (rounded half to even), at least 1 (2 when hard)."""
+    return (
+        F.when(difficulty == "easy", F.lit(1))
+        .when(difficulty == "medium", F.greatest(F.lit(1), F.bround(n * 0.2)))
+        .otherwise(F.greatest(F.lit(2), F.bround(n * 0.33)))
+    ).cast("int")
+
+
+def audit_bin(n: Column) -> Column:
+    """Size bins of reports: small 5 to 10, medium 11 to 15, large from 16, else other; unknown for null."""
+    return F.when(n.isNull(), "unknown").when(n.between(5, 10), "small").when(n.between(11, 15), "medium").when(n >= 16, "large").otherwise("other")
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """One object with its keys in order and no blanks: equal fields give equal texts."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
 def list_field(text: Column, sep: str = ";") -> Column:
     """Parts of a separated text, trimmed, blanks left out; empty for null."""
-    return F.coalesce(F.filter(F.transform(F.split(text, sep), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(text, sep), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def aligned(parts: Column, n: Column) -> Column:

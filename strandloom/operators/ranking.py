@@ -59,11 +59,27 @@ def rank_difficulty(df: DataFrame, groups: list[str], order: list[Column], singl
     return df.withColumn("difficulty", F.when(n == 1, single).when(at == 1, "easy").when(at == n, "hard").otherwise("medium"))
 
 
-def round_robin(df: DataFrame, buckets: list[str], order: list[Column]) -> DataFrame:
+def round_robin(df: DataFrame, buckets: list[str], order: list[Column], priority: Column | None = None, n: int | None = None) -> DataFrame:
     """Rows in passes over the buckets: ``turn`` counts a bucket's rows, and the result is
-    ordered by turn, then bucket."""
+    ordered by turn, then by the bucket's ``priority`` (smallest first) if given, then bucket;
+    it ends after ``n`` rows if given."""
     turned = df.withColumn("turn", F.row_number().over(_by(buckets, *order)))
-    return turned.orderBy("turn", *buckets)
+    rows = turned.orderBy("turn", *([priority] if priority is not None else []), *buckets)
+    return rows if n is None else rows.limit(n)
+
+
+def stratified_split(df: DataFrame, strata: list[str], order: list[Column], share: float = 0.1) -> DataFrame:
+    """``split`` (train, val, test) by position in the stratum: val and test have ``share`` of
+    it each, rounded half to even, train has the rest and comes first. If nothing would be left
+    for train, test and then val give up a row."""
+    n = F.count("*").over(Window.partitionBy(*strata))
+    at = F.row_number().over(_by(strata, *order)) - 1
+    wanted = F.bround(n * share)
+    lack = F.greatest(1 - (n - 2 * wanted), F.lit(0))
+    test = F.greatest(wanted - lack, F.lit(0))
+    val = F.greatest(wanted - F.greatest(lack - wanted, F.lit(0)), F.lit(0))
+    train = n - val - test
+    return df.withColumn("split", F.when(at < train, "train").when(at < train + val, "val").otherwise("test"))
 
 
 def split_by_position(df: DataFrame, strata: list[str], order: list[Column], shares: list[tuple[str, float]]) -> DataFrame:

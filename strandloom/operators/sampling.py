@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.scalar import stable_key
+from strandloom.runtime import materialize
 
 
 def subset(df: DataFrame, groups: list[str], value: str, n: Column | int, salt: str) -> DataFrame:
@@ -40,8 +41,10 @@ def capped_fill(df: DataFrame, weak: Column, key: str, target: int, share: float
 
 
 def shard(df: DataFrame, key: Column, shards: int) -> DataFrame:
-    """``shard`` from the first 15 hex digits of the key's SHA-256 (they fit a signed long)."""
-    return df.withColumn("shard", F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("bigint"), F.lit(shards)).cast("int"))
+    """``shard``: the first 16 hex digits of the key's SHA-256, modulo ``shards`` (below 2^31)."""
+    part = lambda at: F.conv(F.substring(F.sha2(key, 256), at, 8), 16, 10).cast("bigint")
+    # 64 unsigned bits do not fit a long: the upper half is reduced first
+    return df.withColumn("shard", F.pmod(F.pmod(part(1), F.lit(shards)) * F.lit((1 << 32) % shards) + part(9), F.lit(shards)).cast("int"))
 
 
 def leave_one_out_sets(df: DataFrame, group: str, item: str) -> DataFrame:
@@ -68,7 +71,23 @@ def disjoint_panels(df: DataFrame, component: str, sizes: list[tuple[str, int]])
     return df.join(unique.select(component, name.alias("panel")), component)
 
 
-def conflict_free(df: DataFrame, group: str, item: str, member: str, n: int) -> DataFrame:
+def conflict_free_exactly(df: DataFrame, group: str, item: str, member: str, n: int, attempts: int = 32) -> DataFrame:
+    """As :func:`conflict_free`, but with exactly ``n`` items for every group: groups that come
+    out short are drawn again in another order, up to ``attempts`` times; one that never
+    reaches ``n`` is an error."""
+    left, out = df, None
+    for attempt in range(attempts):
+        picked = materialize(conflict_free(left, group, item, member, n, salt=f"conflict{attempt or ''}"), "picked")
+        full = picked.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(group)
+        done = picked.join(full, group, "left_semi")
+        out = done if out is None else out.unionByName(done)
+        left = left.join(full, group, "left_anti")
+        if left.isEmpty():
+            return out
+    raise ValueError(f"{left.select(group).distinct().count()} groups have no {n} items without conflicts")
+
+
+def conflict_free(df: DataFrame, group: str, item: str, member: str, n: int, salt: str = "conflict") -> DataFrame:
     """Greedy choice of up to ``n`` items per group, in hash order, none sharing a ``member``
     with an earlier one.
 
@@ -76,7 +95,7 @@ def conflict_free(df: DataFrame, group: str, item: str, member: str, n: int) ->
     task; groups are bounded by the caller's candidates per group.
     """
     schema = f"{group} {dict(df.dtypes)[group]}, {item} {dict(df.dtypes)[item]}, place int"
-    ordered = df.select(group, item, member, stable_key(F.lit("conflict"), F.col(item)).alias("_k"))
+    ordered = df.select(group, item, member, stable_key(F.lit(salt), F.col(item)).alias("_k"))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, used, taken = None, set(), 0

@@ -64,8 +64,7 @@ def round_robin(spark, d):
 
 def stratified_split(spark, d):
     o = table(spark, d, "orders")
-    shares = [("train", 0.8), ("val", 0.1), ("test", 0.1)]
-    return rk.split_by_position(o, ["o_orderpriority"], [sc.stable_key(F.col("o_orderkey"))], shares).select("o_orderkey", "split")
+    return rk.stratified_split(o, ["o_orderpriority"], [sc.stable_key(F.col("o_orderkey"))]).select("o_orderkey", "split")
 
 
 def cyclic_difficulty(spark, d):
@@ -103,7 +102,7 @@ def capped_fill(spark, d):
 
 
 def hash_shards(spark, d):
-    return sa.shard(table(spark, d, "orders"), F.col("o_orderkey").cast("string"), 16).groupBy("shard").agg(F.count("*").alias("n"))
+    return sa.shard(table(spark, d, "orders"), F.col("o_orderkey").cast("string"), 12).groupBy("shard").agg(F.count("*").alias("n"))
 
 
 def leave_one_out(spark, d):
@@ -253,10 +252,14 @@ def size_bins(spark, d):
 
 
 def document_word_overlap(spark, d):
-    """How far each document covers the first item of the benchmark."""
-    item = table(spark, d, "benchmark_items").orderBy("item_id").limit(1).select(F.col("text").alias("target"))
-    docs = table(spark, d, "documents").crossJoin(F.broadcast(item))  # one row
-    return docs.select("doc_id", F.round(sc.word_overlap(F.col("text"), F.col("target")), 6).alias("overlap"))
+    """Benchmark items of whose words a document has half or more, for the documents of the
+    stated query set (ids divisible by 100) against all items."""
+    words = lambda df, key: df.where("text is not null").select(key, F.explode(sc.answer_words(F.col("text"))).alias("w"))
+    item = words(table(spark, d, "benchmark_items"), "item_id")
+    n = item.groupBy("item_id").agg(F.count("*").alias("n"))
+    docs = words(table(spark, d, "documents").where("doc_id % 100 = 0").select("doc_id", "text").distinct(), "doc_id")
+    both = docs.join(item, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("k")).join(n, "item_id")
+    return both.where("k / n >= 0.5").select("doc_id", "item_id", F.round(F.col("k") / F.col("n"), 6).alias("overlap"))
 
 
 QUERIES = {
@@ -274,7 +277,7 @@ QUERIES = {
 _I = "i AS (SELECT *, round(l_extendedprice * (1 - l_discount), 4) AS score FROM lineitem)"
 _KEY = "sha256(CAST(o_orderkey AS VARCHAR))"
 _SETS = "sets AS (SELECT l_orderkey, list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))) AS parts FROM lineitem GROUP BY l_orderkey)"
-_SPLIT = f"""sp AS (SELECT o_orderkey, o_orderstatus, CASE WHEN p < round_even(n * 0.8, 0) THEN 'train' WHEN p < round_even(n * (0.8 + 0.1), 0) THEN 'val' ELSE 'test' END AS split FROM (
+_SPLIT = f"""sp AS (SELECT o_orderkey, o_orderstatus, CASE WHEN p < n - 2 * round_even(n * 0.1, 0) THEN 'train' WHEN p < n - round_even(n * 0.1, 0) THEN 'val' ELSE 'test' END AS split FROM (
   SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_KEY}) - 1 AS p, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders))"""
 _NEXT = f"""{_SETS}, sp AS (SELECT o_orderkey, parts, lead(parts) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS target FROM sets JOIN orders ON l_orderkey = o_orderkey),
 m AS (SELECT o_orderkey, len(list_intersect(parts, coalesce(target, []))) AS o, len(parts) AS p, len(coalesce(target, [])) AS t FROM sp),
@@ -287,6 +290,8 @@ rates AS (SELECT l_linestatus, flag, n, hits, round(p, 6) AS rate,
 _PART = lambda order: f"PARTITION BY l_orderkey ORDER BY {order}"
 _BEST = _PART("score DESC, l_linenumber")
 
+_WORDS = f"""list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '{sc.PUNCTUATION.replace("'", "''")}', '', 'g'), '[\\s\\x{{0085}}\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '' AND NOT list_contains({sc.STOP_WORDS}, x)))"""
+
 ORACLE = {
     "rank_min": f"WITH {_I} SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC NULLS LAST) AS rank FROM i",
     "rank_average": f"WITH {_I} SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC NULLS LAST) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS rank FROM i",
@@ -315,7 +320,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus O
 SELECT o_orderkey FROM r JOIN l USING (o_orderpriority) WHERE p <= least""",
     "capped_fill": """WITH r AS (SELECT *, sha256('fill|' || o_orderkey) AS k, row_number() OVER (PARTITION BY o_orderstatus = 'P' ORDER BY sha256('fill|' || o_orderkey), o_orderkey) AS w FROM orders)
 SELECT o_orderkey FROM r ORDER BY (o_orderstatus = 'P' AND w > 200), k, o_orderkey LIMIT 1000""",
-    "hash_shards": "SELECT CAST(('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT % 16 AS INT) AS shard, count(*) AS n FROM orders GROUP BY ALL",
+    "hash_shards": "SELECT CAST(('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16))::UBIGINT % 12 AS INT) AS shard, count(*) AS n FROM orders GROUP BY ALL",
     "leave_one_out": "SELECT a.n_regionkey, a.n_name AS left_out, b.n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name",
     "first_of_equal": "SELECT p_name, min(p_partkey) AS p_partkey, arg_min(p_brand, p_partkey) AS p_brand FROM part GROUP BY p_name",
     "disjoint_panels": """WITH u AS (SELECT p_name, row_number() OVER (ORDER BY sha256('panel|' || p_name), p_name) AS p FROM (SELECT DISTINCT p_name FROM part))
@@ -355,7 +360,7 @@ SELECT anc AS node_id, count(DISTINCT item) AS n FROM up JOIN leaf USING (node_i
     "fact_ids": "SELECT p_partkey AS id, 'fact_' || substr(sha256(p_partkey || '|' || p_name || '/' || p_brand || '/' || p_size), 1, 24) AS fact FROM part",
     "size_bins": f"""WITH {_SETS}, n AS (SELECT l_orderkey, len(parts) AS n FROM sets) SELECT l_orderkey, CASE WHEN n <= 2 THEN '2' WHEN n = 3 THEN '3' WHEN n <= 5 THEN '4-5' ELSE '6+' END AS bin,
 CAST(least(greatest(1, round_even(n * 0.2, 0)), greatest(1, n - 2)) AS INT) AS drops FROM n""",
-    "document_word_overlap": f"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]+', '', 'g'), '\\s+'), lambda x: x <> '' AND NOT list_contains({sc.STOP_WORDS}, x))) AS a FROM documents),
-t AS (SELECT list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]+', '', 'g'), '\\s+'), lambda x: x <> '' AND NOT list_contains({sc.STOP_WORDS}, x))) AS b FROM benchmark_items ORDER BY item_id LIMIT 1)
-SELECT doc_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(b), 0), 0), 6) AS overlap FROM w, t""",
+    "document_word_overlap": f"""WITH i AS (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark_items WHERE text IS NOT NULL), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+d AS (SELECT doc_id, unnest({_WORDS}) AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id % 100 = 0)), c AS (SELECT doc_id, item_id, count(*) AS k FROM d JOIN i USING (w) GROUP BY ALL)
+SELECT doc_id, item_id, round(k / n, 6) AS overlap FROM c JOIN n USING (item_id) WHERE k / n >= 0.5""",
 }

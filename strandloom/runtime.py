@@ -20,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, from ``spark.checkpoint.dir``.
 
-    Only when neither that setting nor a checkpoint folder of the context exists
-    (local tests) is a temporary folder made and set.
+    Where neither that setting nor a checkpoint folder of the context exists, a session in
+    one process (local tests) makes a temporary folder; any other raises, since a folder of
+    one machine is no shared one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return str(known.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
     made = tempfile.mkdtemp(prefix="strandloom-")
     spark.sparkContext.setCheckpointDir(made)
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
@@ -72,8 +75,8 @@ def task_count(spark: SparkSession, rows: int, rows_per_task: int = ROWS_PER_TAS
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of too few pieces for the cores at hand, dealt out to all of them; a scan with
-    enough pieces, as any large table has, is returned as it is."""
+    """The rows of a scan of fewer pieces than cores, dealt out to all cores; other scans are
+    returned as they are. The result is the same either way."""
     cores = min(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

@@ -43,16 +43,50 @@ def edge_list(spark: SparkSession, path: str, layer: str, self_loops: bool = Fal
     return edges if self_loops else edges.where("src <> dst")
 
 
-def multiplex(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """All layers of a layer list as one edge table; relative paths start at the list's folder."""
+def multiplex(spark: SparkSession, path: str, limit: int | None = None, overwrite: bool = False) -> DataFrame:
+    """All layers of a layer list as one edge table; relative paths start at the list's folder.
+
+    By default loops are left out and repeated edges kept (the store merges them). With
+    ``overwrite`` loops stay and of a repeated edge the last line counts (see :func:`last_edges`)."""
     out = None
     for where, layer in layer_list(spark, path, limit):
         full = where if os.path.isabs(where) or "://" in where else os.path.join(os.path.dirname(path), where)
-        part = edge_list(spark, full, layer)
+        part = last_edges(spark, full, layer) if overwrite else edge_list(spark, full, layer)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def last_edges(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    """(layer, src, dst, weight) of an edge list as a graph would hold it: loops stay, and of
+    lines for one undirected edge the last counts, by the order of files and lines."""
+    cells = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("c"), F.trim("value").alias("v"), F.monotonically_increasing_id().alias("at")).where(
+        "v <> '' and not startswith(v, '#')"
+    )
+    a, b = F.col("c")[0], F.col("c")[1]
+    weight = F.coalesce(F.expr("try_cast(try_element_at(c, 3) as double)"), F.lit(1.0))
+    rows = cells.where(F.size("c") >= 2).select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), weight.alias("weight"), "at")
+    return rows.groupBy("src", "dst").agg(F.max_by("weight", "at").alias("weight")).select(F.lit(layer).alias("layer"), "src", "dst", "weight")
+
+
+def labels(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Text columns of a table of labels: comma-separated with a header if the name ends in
+    .csv, else JSON lines; a missing column is null."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    if path.endswith(".csv"):
+        df = spark.read.option("header", True).csv(path)
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in columns])
+    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+
+
+def task_rows(df: DataFrame, key, position: str, shards: int, shard_no: int, most: int | None = None) -> DataFrame:
+    """The rows of one hash shard (see :func:`strandloom.operators.sampling.shard`), of these the
+    first ``most`` by ``position``."""
+    from strandloom.operators.sampling import shard
+
+    own = shard(df, key, shards).where(F.col("shard") == shard_no).drop("shard")
+    return own if most is None else own.orderBy(position).limit(most)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """JSON objects, one a line; strict reading fails on a bad row, tolerant reading drops it."""
     return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
@@ -65,14 +99,24 @@ def labelled_matrix(spark: SparkSession, path: str) -> DataFrame:
     if not head:
         raise ValueError("matrix without INDEX header")
     names = F.array(*[F.lit(x) for x in head[0][0][1:]])
-    body = lines.where(F.col("c")[0] != "INDEX").select(F.col("c")[0].alias("row_label"), F.posexplode(F.slice("c", 2, 1_000_000)).alias("k", "v"))
+    body = lines.where(F.col("c")[0] != "INDEX").select(F.col("c")[0].alias("row_label"), F.posexplode(F.slice("c", F.lit(2), F.size("c"))).alias("k", "v"))
     return body.select("row_label", F.try_element_at(names, F.col("k") + 1).alias("col_label"), F.expr("try_cast(v as double)").alias("value"))
 
 
 def distance_pairs(matrix: DataFrame) -> DataFrame:
-    """(a, b, value) with a < b of a symmetric, upper or lower matrix: one value per pair."""
+    """(a, b, value) with a < b of a square symmetric, upper or lower matrix: one value per
+    pair. Rows and columns of other labels, and halves that disagree, are an error."""
+    rows, cols = matrix.select("row_label").distinct(), matrix.select("col_label").distinct()
+    odd = rows.join(cols, F.col("row_label") == F.col("col_label"), "full").where("row_label is null or col_label is null")
+    if not odd.isEmpty():
+        raise ValueError("row and column labels of a distance matrix must be the same")
     ok = matrix.where("value is not null and row_label <> col_label")
-    return ok.groupBy(F.least("row_label", "col_label").alias("a"), F.greatest("row_label", "col_label").alias("b")).agg(F.max("value").alias("value"))
+    pairs = ok.groupBy(F.least("row_label", "col_label").alias("a"), F.greatest("row_label", "col_label").alias("b")).agg(
+        F.max("value").alias("value"), F.min("value").alias("least")
+    )
+    if not pairs.where(F.col("value") - F.col("least") > 1e-9 * F.greatest(F.abs("value"), F.lit(1.0))).isEmpty():
+        raise ValueError("the halves of a distance matrix disagree")
+    return pairs.drop("least")
 
 
 def seed_sets(spark: SparkSession, path: str, skip_first: bool = False, sep: str = "\t") -> DataFrame:
@@ -83,7 +127,7 @@ def seed_sets(spark: SparkSession, path: str, skip_first: bool = False, sep: str
         short = lines.where(F.size("c") < 2).limit(1).collect()
         if short:
             raise ValueError(f"seed line without nodes: {short[0][1]!r}")
-        return lines.select(F.col("c")[0].alias("set_id"), F.explode(F.slice("c", 2, 1_000_000)).alias("node")).where("node <> ''").distinct()
+        return lines.select(F.col("c")[0].alias("set_id"), F.explode(F.slice("c", F.lit(2), F.size("c"))).alias("node")).where("node <> ''").distinct()
     return lines.select(F.col("value").alias("set_id"), F.explode("c").alias("node")).where("node <> ''").distinct()
 
 

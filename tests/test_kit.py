@@ -33,7 +33,7 @@ def test_wilson(spark):
 
 
 def test_format_score(spark):
-    df = spark.createDataFrame([("<think>a</think><answer>b</answer>",), ("none",), ("",)], "t string")
+    df = spark.createDataFrame([("<think>a</think> so <answer>b</answer>",), ("none",), ("",)], "t string")
     assert [round(r[0], 6) for r in df.select(sc.format_score(F.col("t"))).collect()] == [1.0, 0.0, 0.0]
 
 
