@@ -100,58 +100,38 @@ class ItemTable:
         return int((ends[min_words - 1 :] - np.r_[0, ends[:-min_words]]).min()) - 1
 
 
-def banded_runs(doc: list[str], item: list[str], band: range, max_edits: int) -> tuple[int, int, int, int]:
-    """The longest common passage of two word lists whose start lies on the diagonals of
-    ``band`` (document word - item word), with at most ``max_edits`` word edits.
+def banded_runs(doc: np.ndarray, item: np.ndarray, band: range, max_edits: int) -> tuple[int, int, int, int]:
+    """The longest common passage of two lists of word numbers within the diagonals of ``band``
+    (document word - item word), with at most ``max_edits`` words changed, left out or put in.
 
-    Returns (words matched, edits, start in doc, start in item).
+    Returns (words matched, edits, start in doc, start in item). Alignment by rows of the
+    document: for every number of edits the words matched by the best passage that ends at each
+    cell of the row, and where it began; a passage begins with a match.
     """
     best = (0, 0, 0, 0)
-    if max_edits == 0:
-        for d in band:
-            i, j, run = max(0, d), max(0, -d), 0
-            while i < len(doc) and j < len(item):
-                run = run + 1 if doc[i] == item[j] else 0
-                i, j = i + 1, j + 1
-                if run > best[0]:
-                    best = (run, 0, i - run, j - run)
-        return best
-    # Rows of (edits -> (words matched, start)) along the band; edits are substitutions or gaps.
-    low, width = band.start, len(band)
-    empty = {0: (0, None)}
-    last: list[dict] = [dict(empty) for _ in range(width)]
-    for i in range(len(doc)):
-        row: list[dict] = []
-        for b in range(width):
-            # diagonal low + b is i - j
-            j = i - (low + b)
-            cell: dict[int, tuple] = {}
-
-            def offer(e: int, n: int, at) -> None:
-                if e <= max_edits and (e not in cell or n > cell[e][0]):
-                    cell[e] = (n, at)
-
-            if 0 <= j < len(item):
-                same = doc[i] == item[j]
-                for e, (n, at) in last[b].items():
-                    if same:
-                        offer(e, n + 1, at if at is not None else (i, j))
-                    elif at is not None:
-                        offer(e + 1, n, at)
-                if b > 0:
-                    for e, (n, at) in row[b - 1].items():
-                        if at is not None:
-                            offer(e + 1, n, at)
-                if b + 1 < width:
-                    for e, (n, at) in last[b + 1].items():
-                        if at is not None:
-                            offer(e + 1, n, at)
-                for e, (n, at) in cell.items():
-                    if at is not None and (n, -e) > (best[0], -best[1]):
-                        best = (n, e, at[0], at[1])
-            cell.setdefault(0, (0, None))
-            row.append(cell)
-        last = row
+    m = len(item)
+    first, last = max(0, band.start), min(len(doc), m + band.stop - 1)
+    places = np.arange(m)
+    # one guard cell on the left: cell j + 1 is item word j
+    count = np.zeros((max_edits + 1, m + 1), np.int64)
+    begun = np.full((max_edits + 1, m + 1), -1, np.int64)  # doc start * m + item start
+    for i in range(first, last):
+        inside = (i - places >= band.start) & (i - places < band.stop)
+        same = (item == doc[i]) & inside
+        fresh_count, fresh_begun = np.zeros_like(count), np.full_like(begun, -1)
+        for e in range(max_edits + 1):
+            n = np.where(same, count[e, :-1] + 1, 0)
+            at = np.where(same, np.where(count[e, :-1] > 0, begun[e, :-1], i * m + places), -1)
+            if e:
+                # a word changed, one of the document put in, one of the item left out
+                for other, start in ((count[e - 1, :-1], begun[e - 1, :-1]), (count[e - 1, 1:], begun[e - 1, 1:]), (fresh_count[e - 1, :-1], fresh_begun[e - 1, :-1])):
+                    better = (other > n) & inside
+                    n, at = np.where(better, other, n), np.where(better, start, at)
+            fresh_count[e, 1:], fresh_begun[e, 1:] = n, at
+            top = int(n.argmax())
+            if (int(n[top]), -e) > (best[0], -best[1]):
+                best = (int(n[top]), e, *divmod(int(at[top]), m))
+        count, begun = fresh_count, fresh_begun
     return best
 
 
@@ -251,8 +231,22 @@ def _verify(words: list[str], item: list[str], low: int, width: int, max_edits:
     if not diagonals:
         return (0, 0, 0, 0)
     if max_edits == 0:
-        return max(banded_runs(words, item, range(d, d + 1), 0) for d in diagonals)
-    return banded_runs(words, item, range(min(diagonals) - max_edits, max(diagonals) + max_edits + 1), max_edits)
+        return max(_exact_run(words, item, d) for d in diagonals)
+    numbers: dict[str, int] = {}
+    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64) for ws in (words, item)]
+    return banded_runs(*coded, range(min(diagonals) - max_edits, max(diagonals) + max_edits + 1), max_edits)
+
+
+def _exact_run(doc: list[str], item: list[str], diagonal: int) -> tuple[int, int, int, int]:
+    """The longest run of equal words on one diagonal, as :func:`banded_runs` gives it."""
+    best = (0, 0, 0, 0)
+    i, j, run = max(0, diagonal), max(0, -diagonal), 0
+    while i < len(doc) and j < len(item):
+        run = run + 1 if doc[i] == item[j] else 0
+        i, j = i + 1, j + 1
+        if run > best[0]:
+            best = (run, 0, i - run, j - run)
+    return best
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_edits: int = 0) -> DataFrame:

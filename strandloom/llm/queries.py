@@ -47,7 +47,8 @@ def _sample(spark: SparkSession, d: str) -> quota.QuotaSample:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _sample(spark, d).report().where("not reachable").select("dimension", "category")
+    """Targets whose quota the sample misses although it holds every row of the category."""
+    return _sample(spark, d).report().where("gap > 0 and sampled = available").select("dimension", "category")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
@@ -67,8 +68,9 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    plan = mixing.plan(mixing.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
-    return plan.where("not met").select("source")
+    """Sources whose documents in the mixture, used as often as allowed, stay below their demand."""
+    shares = mixing.shares(mixing.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    return shares.where("taken < wanted").select("source")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -159,6 +161,16 @@ dw AS (SELECT doc_id, string_split(trim(t), ' ') AS ws FROM d),
 dr AS (SELECT doc_id, ' ' || array_to_string(ws[k + 1:k + 15], ' ') || ' ' AS run
        FROM (SELECT doc_id, ws, unnest(range(len(ws) - 14)) AS k FROM dw WHERE len(ws) >= 15))
 SELECT DISTINCT item_id, doc_id FROM runs JOIN dr USING (run)
+""",
+    "p7_report": r"""
+WITH w AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM (SELECT DISTINCT ON (item_id) * FROM benchmark_items)),
+ir AS (SELECT item_id, k, array_to_string(ws[k + 1:k + 15], ' ') AS run FROM (SELECT item_id, ws, unnest(range(len(ws) - 14)) AS k FROM w WHERE len(ws) >= 15)),
+d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM documents WHERE text IS NOT NULL),
+dr AS (SELECT doc_id, p, array_to_string(ws[p + 1:p + 15], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(len(ws) - 14)) AS p FROM d WHERE len(ws) >= 15)),
+hit AS (SELECT DISTINCT item_id, doc_id, k, p - k AS g FROM ir JOIN dr USING (run)),
+isl AS (SELECT *, k - row_number() OVER (PARTITION BY item_id, doc_id, g ORDER BY k) AS part FROM hit),
+runs AS (SELECT item_id, doc_id, count(*) + 14 AS n FROM isl GROUP BY item_id, doc_id, g, part)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n)::INT AS longest FROM runs GROUP BY item_id
 """,
     "p8_found": r"""
 WITH d AS (SELECT lower(trim(source)) AS source, coalesce(len(string_split_regex(trim(text), '\s+')), 0) AS n FROM documents WHERE trim(source) <> ''),

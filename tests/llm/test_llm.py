@@ -209,6 +209,37 @@ def test_leak_with_an_edit(spark):
     assert [r.edits for r in leaks.leaked_passages(docs, items, 15, 1).collect()] == [1]
 
 
+def test_near_passages_match_brute_force(spark):
+    """Every passage of 15 words with one word changed, left out or put in is found, and only such."""
+    rng = random.Random(8)
+    vocabulary = [f"word{k}" for k in range(200)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=30))) for k in range(12)]
+    docs, want = [], {}
+    for k in range(120):
+        item, text = items[k % 12]
+        n = rng.choice([12, 13, 16, 20])
+        at = rng.randrange(30 - n)
+        part = text.split()[at : at + n]
+        kind = rng.choice(["none", "change", "drop", "add", "two"])
+        mid = n // 2
+        if kind == "change":
+            part[mid] = "other"
+        elif kind == "drop":
+            del part[mid]
+        elif kind == "add":
+            part.insert(mid, "other")
+        elif kind == "two":
+            part[n // 3], part[2 * n // 3] = "other", "another"
+        matched = {"none": n, "change": n - 1, "drop": n - 1, "add": n, "two": max(n - 2 - n // 3, 2 * n // 3 - 1)}[kind]
+        edits = 0 if kind == "none" else 1
+        if matched + edits >= 15:
+            want[item, k] = (matched, edits)
+        docs.append((k, " ".join(rng.choices(["x1", "x2", "x3"], k=20)) + " " + " ".join(part) + " y1 y2"))
+    D, I = "doc_id bigint, text string", "item_id bigint, text string"  # noqa: E741
+    out = leaks.leaked_passages(spark.createDataFrame(docs, D), spark.createDataFrame(items, I), 15, 1).collect()
+    assert {(r.item_id, r.doc_id): (r.words, r.edits) for r in out} == want
+
+
 DOCS = "doc_id bigint, text string, lang string, source string, ingested_at timestamp, tokens int"
 
 
