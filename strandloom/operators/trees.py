@@ -1,4 +1,4 @@
-"""Gene sets of trees. Trees come as (node_id, root_id, depth, path) from ``hierarchy``."""
+"""Gene sets of trees. Trees come as (node_id, root_id, depth, path) from ``hierarchy`` with ``paths=True``."""
 
 from __future__ import annotations
 

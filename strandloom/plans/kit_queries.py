@@ -226,7 +226,7 @@ def label_matches(spark, d):
 
 def _dendrogram(spark, d):
     dn = table(spark, d, "dendrogram_nodes")
-    tree = materialize(hi.hierarchy(hi.child_links(dn, table(spark, d, "parent_index"))), "dendrogram")
+    tree = materialize(hi.hierarchy(hi.child_links(dn, table(spark, d, "parent_index")), paths=True), "dendrogram")
     rows = hi.latest_rows(dn, "node_id", "exported_at", ["height", "label"])
     leaves = rows.select("node_id", F.regexp_extract("label", r"(?i)(ENSG[0-9]+)", 1).alias("item")).where("item <> ''").withColumn("item", F.upper("item"))
     return tree, leaves, rows.select("node_id", "height")

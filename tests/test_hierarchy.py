@@ -112,3 +112,11 @@ def test_numbers_are_a_pre_order(spark, limit):
         if v in parent and v - 50 != rows[v - 50].root_id:
             up, r = rows[parent[v] - 50], rows[v - 50]
             assert up.pre < r.pre and r.pre + r.n_descendants <= up.pre + up.n_descendants
+
+
+def test_subtree_items_come_from_paths(spark):
+    from strandloom.operators import trees
+
+    tree = hi.hierarchy(spark.createDataFrame([(1, None), (2, 1), (3, 1)], "node_id bigint, parent bigint"), paths=True)
+    leaves = spark.createDataFrame([(2, "A"), (3, "B")], "node_id bigint, item string")
+    assert {tuple(r) for r in trees.subtree_items(tree, leaves).collect()} == {(1, "A"), (1, "B"), (2, "A"), (3, "B")}
