@@ -1,16 +1,18 @@
 """All similar pairs between set-valued records.
 
-Method: multi-index binary sketches. Every distinct set gets a packed code of one-bit
-minhashes, which is cut into m segments of k bits; each segment is an index of its own, and
-sets are joined on (segment number, segment bits). By the pigeonhole principle a pair whose
-codes differ in fewer than m bits agrees on a segment and cannot be missed. At the threshold
-itself a pair differs in (1 - t) / 2 of all bits, more than any number of segments long
-enough to select could cover, so there m is calibrated: it is the number of segments at
-which such a pair agrees on one with probability ``recall``; more similar pairs are found
-more surely, and from a similarity of 1 - 2 (m - 1) / (k m) on for certain. k follows the
-number of sets (2^k of the order of that number, so chance matches grow no faster than the
-table). Matches outside a Hamming radius of the code's first word (calibrated to lose one
-pair in ten thousand) are dropped, the rest are verified on the original sets.
+Method: multi-index binary sketches. Every distinct set gets a packed code of minhashes,
+:data:`DIGIT` bits of each, which is cut into m segments of k minhashes; each segment is an
+index of its own, and sets are joined on (segment number, segment bits). By the pigeonhole
+principle a pair whose codes differ in fewer than m minhashes agrees on a segment and cannot
+be missed. At the threshold itself a pair differs in more minhashes than any number of
+segments long enough to select could cover, so there m is calibrated: it is the number of
+segments at which such a pair agrees on one with probability ``recall``; more similar pairs
+are found more surely. k follows the number of sets (2 ^ (DIGIT * k) of the order of that
+number, so chance matches grow no faster than the table). Several bits of a minhash select
+far better than one: unlike sets agree on one bit in half of all cases, on four in a
+sixteenth, and like ones nearly as often. Matches outside a Hamming radius of a word of
+one-bit minhashes (calibrated to lose one pair in ten thousand) are dropped, the rest are
+verified on the original sets.
 
 Segments are joined by one shuffle and one sort, in passes that bound what lies on disk. A
 segment value of more than :data:`BLOCK` sets is set aside and joined in blocks of that
@@ -39,17 +41,19 @@ from strandloom.llm import genesets as gs
 from strandloom.runtime import materialize, release, task_count
 
 WORD_BITS = 64
-#: Segment rows of one pass; of more sets than that, one segment a pass.
-PASS_ROWS = 60_000_000
+#: Bits of each minhash in a segment.
+DIGIT = 4
+#: Segment rows of one pass, and segments of a pass if there are so many sets that it holds more rows.
+PASS_ROWS, PASS_SEGMENTS = 60_000_000, 12
 #: Sets of one segment value that one task joins with each other.
 BLOCK = 4_096
 
 
 def segment_plan(n_sets: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(bits per segment, number of segments)."""
-    bits = min(40, max(10, round(math.log2(max(2, n_sets)))))
-    hit = ((1 + threshold) / 2) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log1p(-hit))
+    """(minhashes per segment, number of segments)."""
+    digits = min(10, max(3, math.ceil(math.log2(max(2, n_sets)) / DIGIT)))
+    hit = (threshold + (1 - threshold) / 2**DIGIT) ** digits
+    return digits, math.ceil(math.log(1 - recall) / math.log1p(-hit))
 
 
 def hamming_radius(threshold: float, loss: float = 1e-4) -> int:
@@ -72,57 +76,74 @@ class Sketcher:
         at = first_bit - words[0] * WORD_BITS
         held = np.concatenate(drawn, axis=1)[:, at : at + n_bits]
         self.mult, self.add = np.ascontiguousarray(held[0] | np.uint32(1)), np.ascontiguousarray(held[1])
-        self.room = np.empty(n_bits, np.uint32)
 
     def bits(self, syms: np.ndarray) -> np.ndarray:
-        least, room = syms[0] * self.mult, self.room
-        least += self.add
-        for s in syms[1:]:
-            np.multiply(self.mult, s, out=room)
-            room += self.add
-            np.minimum(least, room, out=least)
-        least ^= least >> np.uint32(15)
-        least *= np.uint32(0x2C1B3C6D)
-        least ^= least >> np.uint32(12)
-        least *= np.uint32(0x297A2D39)
-        return least >> np.uint32(31)
+        return self.digits(syms, np.zeros(1, np.int64), 1)[0]
+
+    def digits(self, syms: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        """(sets, minhashes): ``width`` bits of each minhash of many sets, whose symbols begin at ``starts``."""
+        out = np.empty((len(starts), len(self.mult)), np.uint8)
+        room = np.empty(len(syms), np.uint32)
+        for k, (mult, add) in enumerate(zip(self.mult, self.add)):
+            np.multiply(syms, mult, out=room)
+            np.add(room, add, out=room)
+            least = np.minimum.reduceat(room, starts)
+            least ^= least >> np.uint32(15)
+            least *= np.uint32(0x2C1B3C6D)
+            least ^= least >> np.uint32(12)
+            least *= np.uint32(0x297A2D39)
+            out[:, k] = least >> np.uint32(32 - width)
+        return out
+
+
+#: Sets that are sketched together; their symbols stay in the processor's cache.
+CHUNK = 1_000
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, symbols, starts) of pieces of batches with ``syms``."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, CHUNK):
+            batch = whole.slice(lo, CHUNK)
+            lists = batch.column("syms")
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+            yield batch, (values ^ values >> np.uint64(32)).astype(np.uint32), np.cumsum(sizes) - sizes
+
+
+def _codes(seed: int):
+    """Arrow function: (cls_no, syms) with a word of one-bit minhashes and the size of each set."""
+    word = Sketcher(0, WORD_BITS, seed)
+    place = np.uint64(1) << np.arange(WORD_BITS, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, syms, starts in _sketched(batches):
+            code = (word.digits(syms, starts, 1).astype(np.uint64) * place).sum(axis=1, dtype=np.uint64)
+            sizes = np.diff(np.r_[starts, len(syms)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls_no"), batch.column("syms"), pa.array(code.view(np.int64)), pa.array(sizes)], names=["cls_no", "syms", "code", "n"]
+            )
+
+    return run
 
 
 SEGMENT_SCHEMA = "seg bigint, cls_no bigint, code bigint, n int"
 
 
-def _segments(bits: int, first: int, segments: int, seed: int):
-    """Arrow function: (cls_no, syms) -> one row (segment value, cls_no, first word of the
-    code, size) for each of the segments from ``first`` on."""
-    word, own = Sketcher(0, WORD_BITS, seed), Sketcher(first * bits, segments * bits, seed)
-    word_place = np.uint64(1) << np.arange(WORD_BITS, dtype=np.uint64)
+def _segments(digits: int, first: int, segments: int, seed: int):
+    """Arrow function: (cls_no, syms, code, n) -> one row (segment value, cls_no, code, size)
+    for each of the segments from ``first`` on."""
+    own = Sketcher(first * digits, segments * digits, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("cls_no").to_numpy(zero_copy_only=False)
-            lists = batch.column("syms")
-            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            values = (values ^ values >> np.uint64(32)).astype(np.uint32)
-            ends = np.cumsum(np.asarray(lists.value_lengths()))
-            starts = ends - np.asarray(lists.value_lengths())
-            for lo in range(0, len(ids), 500):
-                hi = min(len(ids), lo + 500)
-                sets = [values[a:b] for a, b in zip(starts[lo:hi], ends[lo:hi])]
-                with np.errstate(over="ignore"):
-                    code = (np.stack([word.bits(x) for x in sets]).astype(np.uint64) * word_place).sum(axis=1, dtype=np.uint64)
-                    rows = np.stack([own.bits(x) for x in sets]).astype(np.uint8).reshape(hi - lo, segments, bits)
-                packed = np.zeros((hi - lo, segments, 8), np.uint8)
-                packed[:, :, : -(-bits // 8)] = np.packbits(rows, axis=2, bitorder="little")
-                keys = packed.view("<u8")[:, :, 0] * np.uint64(segments) + np.arange(segments, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys.ravel().view(np.int64)),
-                        pa.array(np.repeat(ids[lo:hi], segments)),
-                        pa.array(np.repeat(code.view(np.int64), segments)),
-                        pa.array(np.repeat((ends - starts)[lo:hi].astype(np.int32), segments)),
-                    ],
-                    names=["seg", "cls_no", "code", "n"],
-                )
+        for batch, syms, starts in _sketched(batches):
+            rows = own.digits(syms, starts, DIGIT).reshape(len(starts), segments, digits)
+            keys = np.zeros((len(starts), segments), np.uint64)
+            for k in range(digits):
+                keys = keys << np.uint64(DIGIT) | rows[:, :, k]
+            keys = keys * np.uint64(segments) + np.arange(segments, dtype=np.uint64)
+            held = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), segments) for c in ("cls_no", "code", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *map(pa.array, held)], names=["seg", "cls_no", "code", "n"])
 
     return run
 
@@ -240,17 +261,18 @@ def similar_classes(sets: DataFrame, threshold: float, recall: float, seed: int
     """
     spark = sets.sparkSession
     n = sets.count()
-    bits, segments = segment_plan(n, threshold, recall)
+    digits, segments = segment_plan(n, threshold, recall)
     radius = hamming_radius(threshold)
-    width = min(segments, max(1, PASS_ROWS // max(1, n)))
+    width = min(segments, max(PASS_SEGMENTS, PASS_ROWS // max(1, n)))
     # Mixed symbols: the multiply-add minhashes need well-spread input.
-    symbols = materialize(sets.select("cls_no", F.transform("items", lambda x: F.xxhash64(x)).alias("syms")), "symbols")
+    mixed = sets.select("cls_no", F.transform("items", lambda x: F.xxhash64(x)).alias("syms"))
+    symbols = materialize(mixed.mapInArrow(_codes(seed), "cls_no bigint, syms array<bigint>, code bigint, n int"), "symbols")
     found: list[DataFrame] = []
     for first in range(0, segments, width):
         own = min(width, segments - first)
         joined = materialize(
             symbols.repartition(task_count(spark, n * own, 4_000_000))
-            .mapInArrow(_segments(bits, first, own, seed), SEGMENT_SCHEMA)
+            .mapInArrow(_segments(digits, first, own, seed), SEGMENT_SCHEMA)
             .repartition(task_count(spark, n * own, 1_000_000), "seg")
             .sortWithinPartitions("seg")
             .mapInArrow(_join(threshold, radius, block), PAIR_SCHEMA),
@@ -303,7 +325,7 @@ def linked(groups: DataFrame, records: DataFrame, threshold: float, recall: floa
     return members.select("set_no", "wanted", "cls"), links
 
 
-def similar_pairs(groups: DataFrame, records: DataFrame, threshold: float = 0.6, recall: float = 0.995) -> DataFrame:
+def similar_pairs(groups: DataFrame, records: DataFrame, threshold: float = 0.6, recall: float = 0.9999) -> DataFrame:
     """(set_no_a, set_no_b, jaccard), a < b: all pairs with at least one group."""
     who, links = linked(groups, records, threshold, recall)
     a = who.select(F.col("cls").alias("cls_a"), F.col("set_no").alias("no_a"), F.col("wanted").alias("wanted_a"))
@@ -321,7 +343,7 @@ def similar_pairs(groups: DataFrame, records: DataFrame, threshold: float = 0.6,
     )
 
 
-def similar_records(groups: DataFrame, records: DataFrame, threshold: float = 0.6, recall: float = 0.995) -> DataFrame:
+def similar_records(groups: DataFrame, records: DataFrame, threshold: float = 0.6, recall: float = 0.9999) -> DataFrame:
     """(set_no, class_no, copies, links): one row per record with a set; ``class_no`` is the
     smallest number of the records with the same set, ``copies`` how many they are, ``links``
     the number of different similar sets (of a pair at least one is a group's)."""
