@@ -13,9 +13,11 @@ A number of ``iterations`` given by the caller is run instead, as the registered
 its scores are rounded to 12 digits in each step, so that the order of sums does not show,
 and nodes farther from the seeds than that number have no score.
 
-State is a long table keyed by (set_id, layer, node); all seed sets advance in one loop. A
-network of up to :data:`MAX_LOCAL_MOVES` moves is co-located with batches of seed sets
-instead, and each batch is iterated in one task; the results agree within the tolerance.
+A network of up to :data:`MAX_LOCAL_MOVES` moves is co-located with batches of seed sets, and
+each batch is iterated in one task; a larger one is stored in blocks (:mod:`blocks`), and all
+seed sets advance in one loop. The results agree within the tolerance. Walks of a number of
+``iterations``, or with other weights between layers, have a long table keyed by (set_id,
+layer, node) as their state.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.blocks import Network
 from strandloom.operators.edges import symmetric
 from strandloom.runtime import materialize, release, shuffle_width
 
@@ -154,6 +157,12 @@ def _rank_target(restart: float, tolerance: float, rounds: int, layers: int) ->
     return run
 
 
+def stored_blocks(edges: DataFrame, max_local_moves: int) -> Network | None:
+    """The network in blocks if it is too large for one task."""
+    n = edges.count()
+    return Network(edges, n) if 2 * n > max_local_moves else None
+
+
 def transitions(edges: DataFrame, scale: float = 1.0) -> DataFrame:
     """(layer, src, dst, p): the chance of each step from src, times ``scale``."""
     both = symmetric(edges)
@@ -188,6 +197,11 @@ def layer_walks(
     max_local_moves: int = MAX_LOCAL_MOVES,
 ) -> DataFrame:
     """(set_id, layer, node, score): a walk in each layer that has an active seed."""
+    net = stored_blocks(edges, max_local_moves) if iterations is None else None
+    if net is not None:
+        found = net.walk(seeds, restart, tolerance, most_rounds(restart, tolerance))
+        net.release()
+        return found
     step = materialize(transitions(edges), "steps")
     at = symmetric(edges).select("layer", F.col("src").alias("node")).distinct()
     active = seeds.select("set_id", "node").distinct().join(at, "node")
