@@ -401,17 +401,33 @@ def essentiality(edges: DataFrame, seeds: DataFrame, null_sets: DataFrame, resta
     )
 
 
-def ablation(edges: DataFrame, seeds: DataFrame, restart: float = 0.7, delta: float = 0.5, iterations: int | None = None, tolerance: float = MULTIPLEX_TOLERANCE) -> DataFrame:
+def ablation(
+    edges: DataFrame,
+    seeds: DataFrame,
+    restart: float = 0.7,
+    delta: float = 0.5,
+    iterations: int | None = None,
+    tolerance: float = MULTIPLEX_TOLERANCE,
+    max_local_moves: int = MAX_LOCAL_MOVES,
+) -> DataFrame:
     """(layer, set_id, node, score, base): vectors after dropping each layer, beside the full ones."""
-    full = reduced(multiplex_walks(edges, seeds, restart, delta, iterations, tolerance=tolerance), edges, "arithmetic").withColumnRenamed("score", "base")
-    full = materialize(full, "base")
+    net = stored_blocks(edges, max_local_moves) if iterations is None else None
+    rounds = most_rounds(restart, tolerance)
+
+    def scores(rest: DataFrame, without: str | None = None) -> DataFrame:
+        if net is None:
+            return multiplex_walks(rest, seeds, restart, delta, iterations, tolerance=tolerance, max_local_moves=max_local_moves)
+        return net.walk(seeds, restart, tolerance, rounds, delta, without_layer=without)
+
+    full = materialize(reduced(scores(edges), edges, "arithmetic").withColumnRenamed("score", "base"), "base")
     out = None
     for layer in [r[0] for r in edges.select("layer").distinct().orderBy("layer").collect()]:  # one round per layer
         rest = edges.where(F.col("layer") != layer)
-        part = reduced(multiplex_walks(rest, seeds, restart, delta, iterations, tolerance=tolerance), rest, "arithmetic").select(
-            F.lit(layer).alias("layer"), "set_id", "node", "score"
-        )
+        part = reduced(scores(rest, layer), rest, "arithmetic").select(F.lit(layer).alias("layer"), "set_id", "node", "score")
         out = part if out is None else out.unionByName(part)
+    if net is not None:
+        out = materialize(out, "ablated")
+        net.release()
     names = out.select("layer").distinct()
     return F.broadcast(names).crossJoin(full).join(out, ["layer", "set_id", "node"], "left").select(
         "layer", "set_id", "node", F.coalesce("score", F.lit(0.0)).alias("score"), "base"

@@ -43,6 +43,13 @@ def test_blocks_agree_with_one_task(spark, monkeypatch, whole):
     assert same(few, many) and few
 
 
+def test_ablation_in_blocks(spark):
+    edges, seeds = frames(spark)
+    key = ("layer", "set_id", "node")
+    few, many = (walks.ablation(edges, seeds, max_local_moves=m) for m in (0, 10**6))
+    assert same(values(few, key, "score"), values(many, key, "score")) and same(values(few, key, "base"), values(many, key, "base"))
+
+
 @pytest.mark.parametrize("links", [0, 10**6])
 def test_tables_of_links_and_blocks_read_again_agree(spark, monkeypatch, links):
     """Of four seed sets in a task, also where it does not hold the links."""
