@@ -434,15 +434,31 @@ def ablation(
     )
 
 
-def perturbation(edges: DataFrame, seeds: DataFrame, node: str, restart: float = 0.7, delta: float = 0.5, iterations: int | None = None, tolerance: float = MULTIPLEX_TOLERANCE) -> DataFrame:
+def perturbation(
+    edges: DataFrame,
+    seeds: DataFrame,
+    node: str,
+    restart: float = 0.7,
+    delta: float = 0.5,
+    iterations: int | None = None,
+    tolerance: float = MULTIPLEX_TOLERANCE,
+    max_local_moves: int = MAX_LOCAL_MOVES,
+) -> DataFrame:
     """(set_id, node, score, base): vectors after taking a node's edges away. The weights
     between layers stay those of the full network."""
-    at = symmetric(edges).select("layer", F.col("src").alias("node")).distinct()
-    held = at.groupBy("node").agg(F.count("*").alias("n"))
-    inter = at.join(held, "node").select("layer", "node", F.when(F.col("n") > 1, delta / (F.col("n") - 1)).otherwise(0.0).alias("d"))
-    full = reduced(multiplex_walks(edges, seeds, restart, delta, iterations, tolerance=tolerance), edges, "arithmetic").withColumnRenamed("score", "base")
-    cut = edges.where((F.col("src") != node) & (F.col("dst") != node))
-    changed = reduced(multiplex_walks(cut, seeds, restart, delta, iterations, inter=inter, tolerance=tolerance), edges, "arithmetic")
+    net = stored_blocks(edges, max_local_moves) if iterations is None else None
+    if net is not None:
+        rounds = most_rounds(restart, tolerance)
+        whole, less = (net.walk(seeds, restart, tolerance, rounds, delta, without_node=x) for x in (None, node))
+        net.release()
+    else:
+        at = symmetric(edges).select("layer", F.col("src").alias("node")).distinct()
+        held = at.groupBy("node").agg(F.count("*").alias("n"))
+        inter = at.join(held, "node").select("layer", "node", F.when(F.col("n") > 1, delta / (F.col("n") - 1)).otherwise(0.0).alias("d"))
+        cut = edges.where((F.col("src") != node) & (F.col("dst") != node))
+        whole = multiplex_walks(edges, seeds, restart, delta, iterations, tolerance=tolerance, max_local_moves=max_local_moves)
+        less = multiplex_walks(cut, seeds, restart, delta, iterations, inter=inter, tolerance=tolerance, max_local_moves=max_local_moves)
+    full, changed = reduced(whole, edges, "arithmetic").withColumnRenamed("score", "base"), reduced(less, edges, "arithmetic")
     return full.join(changed, ["set_id", "node"], "full").select(
         "set_id", "node", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("base", F.lit(0.0)).alias("base")
     )

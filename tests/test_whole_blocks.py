@@ -43,6 +43,14 @@ def test_blocks_agree_with_one_task(spark, monkeypatch, whole):
     assert same(few, many) and few
 
 
+@pytest.mark.parametrize("node", ["n5", "x", "lone", "nobody"])
+def test_perturbation_in_blocks(spark, node):
+    edges, seeds = frames(spark)
+    key = ("set_id", "node")
+    few, many = (walks.perturbation(edges, seeds, node, max_local_moves=m) for m in (0, 10**6))
+    assert same(values(few, key, "score"), values(many, key, "score")) and same(values(few, key, "base"), values(many, key, "base"))
+
+
 def test_ablation_in_blocks(spark):
     edges, seeds = frames(spark)
     key = ("layer", "set_id", "node")
