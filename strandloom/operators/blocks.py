@@ -142,24 +142,28 @@ class Whole:
             active &= there
             if (active == before).all():
                 break
+            if 2 * active.sum() > there.sum():
+                active = there.copy()
+                break
+        lengths = [(get(root, f"first{k}"), get(root, f"to{k}"), len(get(root, f"w{k}")), k * self.size) for k in self.held]
+        size = sum(int(np.diff(np.r_[f, m])[active[lo + t.astype(np.int64)]].sum()) for f, t, m, lo in lengths)
+        if size > WHOLE_LINKS:  # the links stay where they are, and all slots are numbered as stored
+            active = np.ones(len(there), bool)
         #: The slots that can be reached, by which all else is numbered.
         self.slots = np.flatnonzero(active)
         self.place = np.cumsum(active) - 1
         self.active = active
-        total = load("total")[self.slots]
-        self.total = np.where(total == 0, np.nan, total)[:, None]
+        total, self.there = load("total")[self.slots], there[self.slots][:, None]
+        self.total = np.where(total == 0, np.where(self.there[:, 0], np.nan, 1.0), total)[:, None]
         who = self.slots // n_layers
         self.first_of_node = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
         self.node_of = np.cumsum(np.r_[False, who[1:] != who[:-1]]) if len(who) else who
         n_of = many[who]
         self.chance = np.where(n_of > 1, change / np.maximum(n_of - 1, 1), 0.0)[:, None] if change else None
         self.links = self.squares = None
-        size, few = 0, []
-        for k in self.held:
-            few.append(self._few(k))
-            size += len(few[-1][0])
-            if size > WHOLE_LINKS:
-                return  # read again in each step
+        if size > WHOLE_LINKS:
+            return  # read again in each step
+        few = [self._few(k) for k in self.held]
         a, w, to = (np.concatenate([f[c] for f in few]) if few else np.zeros(0, np.int64) for c in (0, 1, 3))
         first = np.cumsum(np.r_[0, [len(f[0]) for f in few]])
         self.links = a, w, np.concatenate([f[2] + o for f, o in zip(few, first)]) if few else first[:0], to
@@ -207,6 +211,7 @@ class Whole:
         if self.chance is not None and len(now):
             across = now * self.chance
             out += np.add.reduceat(across, self.first_of_node, axis=0)[self.node_of] - across
+        out *= self.there
         return out
 
     def walk(self, p0: np.ndarray, restart: float, tolerance: float, rounds: int, failure: type) -> np.ndarray:

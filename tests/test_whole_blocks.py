@@ -43,8 +43,9 @@ def test_blocks_agree_with_one_task(spark, monkeypatch, whole):
     assert same(few, many) and few
 
 
-@pytest.mark.parametrize("node", ["n5", "x", "lone", "nobody"])
-def test_perturbation_in_blocks(spark, node):
+@pytest.mark.parametrize("node, links", [("n5", 10**6), ("n5", 0), ("x", 0), ("lone", 10**6), ("nobody", 0)])
+def test_perturbation_in_blocks(spark, monkeypatch, node, links):
+    monkeypatch.setattr(blocks, "WHOLE_LINKS", links)
     edges, seeds = frames(spark)
     key = ("set_id", "node")
     few, many = (walks.perturbation(edges, seeds, node, max_local_moves=m) for m in (0, 10**6))
