@@ -4,8 +4,8 @@ Method: for every defect several noisy labelling functions vote (yes, no, no opi
 each reply. The votes are counted by pattern over all replies, and an expectation-
 maximization label model per defect learns how reliable each function is and how frequent
 the defect; its posterior is attached to every reply. A defect is kept when its posterior
-exceeds a cutoff validated on labelled replies: a bounded sample (:data:`SAMPLE`) of sound
-replies, broken on purpose in each way, beside the same replies as they were. For refusals,
+exceeds a cutoff validated on labelled replies: all sound replies, broken on purpose in each
+way, beside the same replies as they were; their votes are counted by pattern. For refusals,
 which cannot be made, the labels are replies that make a tool call (sound) and replies on
 which functions of different evidence agree (refusals). A reply may keep several labels;
 :func:`defects` returns the likeliest one. ``truncated`` has two models, one for answers
@@ -29,7 +29,8 @@ import json
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -38,13 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.genesets import latest
-from strandloom.runtime import materialize, release
+from strandloom.runtime import materialize, release, shuffle_width
 
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 #: Models by defect: the two ways to be truncated are learnt apart.
 MODELS = {"empty": "empty", "copy": "copy", "refusal": "refusal", "language": "language", "cut_text": "truncated", "cut_json": "truncated"}
-#: Replies of the validation sample.
-SAMPLE = 3_000
 
 # ---- fixed values: words the labelling functions look for ----
 PLACEHOLDERS = {"n/a", "na", "none", "null", "nil", "nan", "undefined", "tbd", "todo", "empty", "no answer", "placeholder", "..."}
@@ -510,14 +509,17 @@ class LabelModel:
         return self._posterior(np.array(patterns, np.int64).reshape(len(patterns), -1) + 1)
 
 
-def validated_cutoff(bad: np.ndarray, good: np.ndarray, share: float) -> float:
+def validated_cutoff(bad: np.ndarray, good: np.ndarray, share: float, n_bad: np.ndarray | None = None, n_good: np.ndarray | None = None) -> float:
     """The cutoff with the fewest expected errors: defects (posteriors ``bad``) not kept and
-    sound replies (``good``) kept, weighted by the share of the defect; the middle of the best."""
-    if not len(bad) or not len(good):
+    sound replies (``good``) kept, weighted by the share of the defect; the middle of the best.
+    ``n_bad`` and ``n_good`` say for how many replies each posterior stands (one by default)."""
+    n_bad = np.ones(len(bad)) if n_bad is None else n_bad
+    n_good = np.ones(len(good)) if n_good is None else n_good
+    if not n_bad.sum() or not n_good.sum():
         return 0.5
     grid = np.linspace(0.02, 0.98, 97)
     share = min(max(share, 0.01), 0.5)
-    errors = np.array([share * (bad <= c).mean() + (1 - share) * (good > c).mean() for c in grid])
+    errors = np.array([share * n_bad[bad <= c].sum() / n_bad.sum() + (1 - share) * n_good[good > c].sum() / n_good.sum() for c in grid])
     return float(np.median(grid[errors <= errors.min() + 1e-12]))
 
 
@@ -551,23 +553,51 @@ def broken(sound: list[tuple], seed: int = 5) -> dict[str, list[tuple]]:
     return out
 
 
-def cutoffs(models: dict[str, LabelModel], sample: list[tuple], language: LanguageModel, wording: WordingModel) -> dict[str, float]:
-    """The validated cutoff of each model; ``sample`` are replies as :func:`read_reply` gives them."""
-    own = votes_of(sample, language, wording)
-    posts = {m: models[m].posterior([v[m] for v in own]) if own else np.zeros(0) for m in models}
-    sound = [k for k in range(len(sample)) if sample[k][1] and all(posts[m][k] < 0.02 for m in models)]
-    made = broken([(sample[k][0], sample[k][1]) for k in sound])
+CHECK_SCHEMA = "model string, pattern string, bad boolean, n bigint"
+
+
+def _check(shared) -> Callable:
+    """Counts of the vote patterns of labelled replies, by model: all sound replies as they are
+    (not bad) and broken on purpose (bad). Rows are replies with their votes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        language, wording, posterior = shared.value
+        counts: Counter = Counter()
+        for pdf in batches:
+            sound = np.ones(len(pdf), bool)
+            for m in MODELS:
+                sound &= pdf[m].map(posterior[m]).to_numpy() < 0.02
+            sound &= (pdf["answer"] != "").to_numpy()
+            for m in MODELS:
+                if m == "refusal":
+                    # Labels by evidence other than the vote in question: a tool call, or what is said and how it is worded.
+                    tool = pdf["has_tool"].to_numpy(bool)
+                    agreed = ~tool & pdf[m].str.startswith("1,1,").to_numpy()
+                    for label, rows in ((False, tool), (True, agreed)):
+                        counts.update((m, p, label) for p in pdf[m][rows])
+                else:
+                    counts.update((m, p, False) for p in pdf[m][sound])
+            own = pdf[sound]
+            for lo in range(0, len(own), 2_000):
+                part = own.iloc[lo : lo + 2_000]
+                for m, replies in broken(list(zip(part["query"], part["answer"]))).items():
+                    for v in votes_of([read_reply(*r) for r in replies], language, wording):
+                        counts[m, ",".join(map(str, v[m])), True] += 1
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["model", "pattern", "bad", "n"])
+
+    return run
+
+
+def cutoffs(models: dict[str, LabelModel], checked: list[tuple]) -> dict[str, float]:
+    """The validated cutoff of each model; ``checked`` has (model, pattern, bad, replies)."""
     out = {}
     for m, model in models.items():
-        if m == "refusal":
-            # Labels by evidence other than the vote in question: a tool call, or what is said and how it is worded.
-            good = [k for k in range(len(sample)) if sample[k][3]]
-            bad = [k for k, v in enumerate(own) if not sample[k][3] and v[m][0] == 1 and v[m][1] == 1]
-            out[m] = validated_cutoff(posts[m][bad], posts[m][good], model.share)
-            continue
-        spoiled = [read_reply(*r) for r in made[m]]
-        bad_votes = [v[m] for v in votes_of(spoiled, language, wording)] if spoiled else []
-        out[m] = validated_cutoff(model.posterior(bad_votes) if bad_votes else np.zeros(0), posts[m][sound], model.share)
+        sides = []
+        for bad in (True, False):
+            own = [(tuple(map(int, p.split(","))), n) for name, p, b, n in checked if name == m and b == bad]
+            sides.append((model.posterior([p for p, _ in own]) if own else np.zeros(0), np.array([n for _, n in own], float)))
+        (bad, n_bad), (good, n_good) = sides
+        out[m] = validated_cutoff(bad, good, model.share, n_bad, n_good)
     return out
 
 
@@ -586,7 +616,7 @@ def _vote(shared):
     return run
 
 
-def posteriors(candidates: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def posteriors(candidates: DataFrame) -> DataFrame:
     """(candidate_id, defect, posterior, kept): one row per reply and defect that some
     function voted for."""
     spark = candidates.sparkSession
@@ -602,15 +632,20 @@ def posteriors(candidates: DataFrame, sample: int = SAMPLE) -> DataFrame:
     language, wording = LanguageModel(held), WordingModel(held)
     schema = "candidate_id bigint, " + ", ".join(f"{m} string" for m in MODELS)
     voted = materialize(replies.mapInPandas(_vote(spark.sparkContext.broadcast((language, wording))), schema), "votes")
-    drawn = replies.orderBy(F.xxhash64("candidate_id"), "candidate_id").limit(sample).drop("candidate_id").collect()
-    release(replies)
     long = voted.select(
         "candidate_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pattern")) for m in MODELS])).alias("v")
     ).select("candidate_id", "v.*")
     seen = long.groupBy("model", "pattern").agg(F.count("*").alias("n")).collect()  # at most the vote patterns
     patterns = {m: [(tuple(map(int, r["pattern"].split(","))), r["n"], r["pattern"]) for r in seen if r["model"] == m] for m in MODELS}
     models = {m: LabelModel([p[0] for p in held], np.array([p[1] for p in held], float), PRIOR[m]) for m, held in patterns.items() if held}
-    limits = cutoffs(models, [tuple(r) for r in drawn], language, wording)
+    known = {m: dict(zip([p[2] for p in patterns[m]], model.posterior([p[0] for p in patterns[m]]).tolist())) for m, model in models.items()}
+    labelled = replies.select("candidate_id", "query", "answer", "has_tool").join(voted, "candidate_id")
+    # Replies are broken by chance in their order: the same in every run.
+    labelled = labelled.repartition(shuffle_width(spark), "candidate_id").sortWithinPartitions("candidate_id")
+    checked = labelled.mapInPandas(_check(spark.sparkContext.broadcast((language, wording, known))), CHECK_SCHEMA)
+    checked = checked.groupBy("model", "pattern", "bad").agg(F.sum("n")).collect() if models else []  # at most the vote patterns
+    limits = cutoffs(models, [tuple(r) for r in checked])
+    release(replies)
     table = []
     for m, model in models.items():
         for (pattern, _, text), p in zip(patterns[m], model.posterior([x[0] for x in patterns[m]])):
