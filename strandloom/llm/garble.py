@@ -4,7 +4,7 @@ Method: smoothed character n-gram models are trained on the clean segments of al
 documents; then every candidate encode-decode chain is applied to every segment with
 non-ASCII characters, each candidate is scored with the model, and the likeliest is
 accepted if it beats the text as it stands by more than a margin. The margin is validated
-on clean segments of a bounded sample, garbled on purpose by each chain. Chains are applied
+on all clean segments, as they are and garbled on purpose by each chain. Chains are applied
 again to their own result, which undoes double garbling.
 
 A segment is a sentence or line. A segment is clean for training if no chain to UTF-8
@@ -23,6 +23,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from strandloom.runtime import spread
 
 #: Buckets of the hashed bigram and trigram counts.
 TABLE = 1 << 20
-#: Documents and clean segments of the validation sample; its texts are whole.
-SAMPLE = 2_000
+#: Margins to choose from.
+GRID = np.arange(2.0, 30.0, 0.5)
 LOST = "�"
 
 #: Single-byte encodings in which UTF-8 may have been read (fixed values).
@@ -261,31 +262,77 @@ class Model:
         return out
 
 
-def validated_margins(model: Model, clean: list[str]) -> dict[bool, float]:
+def garbled(segments: list[str], written: str, read_as: str) -> list[tuple[int, str]]:
+    """(place, text) of the segments that change when they are read in the wrong encoding."""
+    chars = byte_chars(read_as) if read_as in READ_AS else None
+    out = []
+    for k, text in enumerate(segments):
+        try:
+            raw = text.encode(written)
+            other = "".join(chars[b] for b in raw) if chars else raw.decode(read_as)
+        except ValueError:
+            continue
+        if other != text:
+            out.append((k, other))
+    return out
+
+
+def _gained(shared):
+    """Counts of clean segments, as they are and garbled by each chain (``bad``), by the
+    number of margins that the largest gain exceeds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model: Model = shared.value
+        readers = sure_readers()
+        counts = np.zeros((2, 2, len(GRID) + 1), np.int64)
+
+        def add(kind: bool, bad: bool, gains: np.ndarray, n: np.ndarray) -> None:
+            counts[int(kind), int(bad)] += np.bincount(np.searchsorted(GRID, gains), n, len(GRID) + 1).astype(np.int64)
+
+        for pdf in batches:
+            held = Counter(s for t in pdf["text"] for s in segments_of(t)[::2] if s and not s.isascii() and not tell_tale(s, readers))
+            every, often = list(held), np.array(list(held.values()))
+            for lo in range(0, len(every), 2_000):
+                clean, n = every[lo : lo + 2_000], often[lo : lo + 2_000]
+                score = model.scores(clean)
+                for kind in (True, False):
+                    ways = {w: f for w, f in chains().items() if (w[0] == "utf_8") == kind}
+                    add(kind, False, model.gains(clean, ways), n)
+                    for name, way in ways.items():
+                        made = garbled(clean, *name)
+                        if not made:
+                            continue
+                        at, texts = np.array([k for k, _ in made]), [t for _, t in made]
+                        gains = score[at] - model.scores(texts)
+                        back = np.array([way(t) == clean[k] for k, t in made])
+                        # A gain over every margin is enough; else another chain may bring more.
+                        open_ = np.flatnonzero(~back | (gains <= GRID[-1]))
+                        gains[open_] = model.gains([texts[k] for k in open_], ways)
+                        add(kind, True, gains, n[at])
+        kind, bad, over = np.nonzero(counts)
+        yield pd.DataFrame({"kind": kind > 0, "bad": bad > 0, "over": over.astype(np.int32), "n": counts[kind, bad, over]})
+
+    return run
+
+
+def validated_margins(rows: list[tuple]) -> dict[bool, float]:
     """For each kind of chain the margin with the fewest errors on clean segments and on
-    the same segments garbled by every chain of the kind; the middle of equally good ones."""
+    the same segments garbled by every chain of the kind; the middle of equally good ones.
+    ``rows`` are (kind, bad, margins exceeded, segments)."""
     out = {}
     for kind in (True, False):
-        ways = {n: w for n, w in chains().items() if (n[0] == "utf_8") == kind}
-        bad: list[str] = []
-        for written, read_as in ways:
-            chars = byte_chars(read_as) if read_as in READ_AS else None
-            for text in clean[:: max(1, len(clean) // 200)]:
-                try:
-                    raw = text.encode(written)
-                    other = "".join(chars[b] for b in raw) if chars else raw.decode(read_as)
-                except ValueError:
-                    continue
-                if other != text:
-                    bad.append(other)
-        if not bad:
+        plain, found = np.zeros(len(GRID) + 1), np.zeros(len(GRID) + 1)
+        for k, bad, over, n in rows:
+            if k == kind:
+                (found if bad else plain)[over] += n
+        if not found.sum():
             out[kind] = 8.0
             continue
-        plain, found = model.gains(clean, ways), model.gains(bad, ways)
-        grid = np.arange(2.0, 30.0, 0.5)
+        at_most = np.cumsum(found)[:-1] / found.sum()
+        above = 1 - np.cumsum(plain)[:-1] / plain.sum()
         # A clean segment taken for garbled is the worse error: most segments are clean.
-        errors = np.array([4 * (plain > m).mean() + (found <= m).mean() for m in grid])
-        out[kind] = float(np.median(grid[errors <= errors.min() + 0.002]))
+        errors = 4 * above + at_most
+        out[kind] = float(np.median(GRID[errors <= errors.min() + 0.002]))
     return out
 
 
@@ -295,17 +342,9 @@ def train(documents: DataFrame) -> Model:
     rows = texts.select("text").mapInPandas(_count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
     held = rows.toPandas()  # at most 2 * TABLE rows
     model = Model(held["place"].to_numpy(np.int64), held["n"].to_numpy(np.float64))
-    sample = (
-        texts.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE)
-        .select("text").toPandas()
-    )
-    readers = sure_readers()
-    clean = [
-        s for t in sample["text"] for s in segments_of(t)[::2]
-        if s and not s.isascii() and not tell_tale(s, readers)
-    ]
-    if clean:
-        model.margins = validated_margins(model, clean[:SAMPLE])
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    gained = texts.select("text").mapInPandas(_gained(shared), "kind boolean, bad boolean, over int, n bigint")
+    model.margins = validated_margins([tuple(r) for r in gained.groupBy("kind", "bad", "over").agg(F.sum("n")).collect()])  # at most 4 rows a margin
     return model
 
 
