@@ -24,16 +24,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from strandloom.runtime import _filesystem, materialize, release, shared_dir
+from strandloom.runtime import _filesystem, materialize, shared_dir
 
+#: Moves of a network that one task may hold (about 0.3 GB of Python memory).
+MAX_LOCAL_MOVES = 3_000_000
 #: Links that one task holds on average.
 LINKS_PER_BLOCK = 3_000_000
 #: Slots of a network up to which one task runs whole walks, scores it then holds, and links it copies.
 WHOLE_SLOTS, WHOLE_SCORES, WHOLE_LINKS = 8_000_000, 16_000_000, 12_000_000
+#: A distance and its hops as one number: the bits of the hops, and what stands for no path.
+HOP_BITS, NO_PATH = 16, 2**62
+#: Rows that a task gives at a time.
+ROWS_PER_BATCH = 100_000
 #: Bytes of the stored scores of the sets that advance together.
 SCORE_BYTES = 1_000_000_000
 
@@ -59,61 +69,101 @@ def get(root: str, name: str) -> np.ndarray:
         return np.load(held)
 
 
+def piece(root: str, name: str, low: int, high: int) -> np.ndarray:
+    """Rows ``low`` to ``high`` of a stored array, without the others."""
+    fs, path = _opened(root)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.array(np.load(f"{path}/{name}.npy", mmap_mode="r")[low:high])
+    with fs.open_input_file(f"{path}/{name}.npy") as held:
+        np.lib.format.read_magic(held)
+        kind = np.lib.format.read_array_header_1_0(held)[2]
+        held.seek(held.tell() + low * kind.itemsize)
+        return np.frombuffer(held.read((high - low) * kind.itemsize), kind)
+
+
+def names_of(root: str) -> pa.Array:
+    """The names of all nodes by their number."""
+    fs, path = _opened(root)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return pa.ipc.open_file(pa.memory_map(f"{path}/names.arrow")).read_all()["node"].combine_chunks()
+    with fs.open_input_file(f"{path}/names.arrow") as held:
+        return pa.ipc.open_file(held).read_all()["node"].combine_chunks()
+
+
 def _number(root: str) -> Callable:
-    """Writes the sorted hashes of all nodes: a node's place among them is its number."""
+    """Writes the sorted hashes of all nodes, and their names in this order: a node's place is its number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b["h"].to_numpy() for b in batches]
-        every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches))
+        h = held["h"].to_numpy() if len(held) else np.zeros(0, np.int64)
+        order = np.argsort(h)
+        every = h[order]
         put(root, "nodes", every)
-        yield pd.DataFrame({"n": [len(every)]})
+        fs, path = _opened(root)
+        made = f"{path}/names-{uuid.uuid4().hex}"
+        named = pa.table({"node": held["node"].take(pa.array(order)).combine_chunks()}) if len(held) else pa.table({"node": pa.array([], pa.string())})
+        with fs.open_output_stream(made) as out, pa.ipc.new_file(out, named.schema) as file:
+            file.write_table(named)
+        fs.move(made, f"{path}/names.arrow")
+        differ = len(every) == 0 or bool((every[1:] != every[:-1]).all())
+        yield pa.RecordBatch.from_pydict({"n": [len(every)], "differ": [differ]})
 
     return run
 
 
-def _placed(root: str, layers: int, width: int) -> Callable:
-    """Arrow batches (l, x, y, weight) of links by hashes -> both directions as (block, a, b, w)."""
+def _placed(root: str, layers: int, width: int, n_blocks: int, kind: str) -> Callable:
+    """Arrow batches (l, x, y, weight) of links by hashes -> both directions in stored parts, by block.
+
+    A part is named by what wrote it and counts only if its task came to the end."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def stored(held: list) -> pa.RecordBatch:
+        a, b, w = (np.concatenate(x) for x in zip(*held))
+        block = b // (layers * width)
+        order = np.argsort(block.astype(np.uint16) if n_blocks < 2**16 else block, kind="stable")  # of 16 bits in linear time
+        part = uuid.uuid4().hex
+        put(root, f"part-{part}-a", a[order].astype(kind))
+        put(root, f"part-{part}-b", b[order].astype(kind))
+        put(root, f"part-{part}-w", w[order])
+        ends = np.cumsum(np.bincount(block, minlength=n_blocks)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([ends], pa.list_(pa.int64()))], names=["part", "ends"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = np.array(get(root, "nodes"))
+        held, size = [], 0
         for batch in batches:
             column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
             x, y, layer = np.searchsorted(nodes, column("x")), np.searchsorted(nodes, column("y")), column("l").astype(np.int64)
             once = x != y
-            to = np.concatenate([y, x[once]])
-            a = np.concatenate([x, y[once]]) * layers + np.concatenate([layer, layer[once]])
-            b = to * layers + np.concatenate([layer, layer[once]])
-            w = column("weight")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((to // width).astype(np.int32)), pa.array(a), pa.array(b), pa.array(np.concatenate([w, w[once]]))], names=["block", "a", "b", "w"]
-            )
+            a, b, w = x * layers + layer, y * layers + layer, column("weight")
+            held.append((np.concatenate([a, b[once]]), np.concatenate([b, a[once]]), np.concatenate([w, w[once]])))
+            size += len(held[-1][0])
+            if size >= LINKS_PER_BLOCK:
+                yield stored(held)
+                held, size = [], 0
+        if size:
+            yield stored(held)
 
     return run
 
 
-def _sorted(root: str, layers: int, width: int, kind: str) -> Callable:
-    """Writes the links of each block, sorted by the slot they lead to."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "a", "b", "w")] for b in batches]
-        if not held:
-            return
-        block, a, b, w = (np.concatenate(x) for x in zip(*held))
-        del held
-        for k in np.unique(block).tolist():
-            own = np.flatnonzero(block == k)
-            own = own[np.lexsort((a[own], b[own]))]
-            to = b[own] - k * width * layers
-            first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            put(root, f"a{k}", a[own].astype(kind))
-            put(root, f"w{k}", w[own])
-            put(root, f"first{k}", first)
-            put(root, f"to{k}", to[first].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], names=["block"])
+def _sorted(root: str, layers: int, width: int, slots: int, kind: str, parts: list) -> Callable:
+    """Writes the links of a block, sorted by the slot they lead to."""
+
+    def run(k: int) -> list[tuple]:
+        spans = [(name, ends[k - 1] if k else 0, ends[k]) for name, ends in parts.value]
+        spans = [s for s in spans if s[1] < s[2]]
+        if not spans:
+            return []
+        a, b, w = (np.concatenate([piece(root, f"part-{name}-{x}", low, high) for name, low, high in spans]) for x in "abw")
+        to = b.astype(np.int64) - k * width * layers
+        order = np.argsort(to * slots + a) if width * layers * slots < 2**63 else np.lexsort((a, to))
+        to = to[order]
+        first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        put(root, f"a{k}", a[order].astype(kind))
+        put(root, f"w{k}", w[order])
+        put(root, f"first{k}", first)
+        put(root, f"to{k}", to[first].astype(np.int32))
+        return [(k,)]
 
     return run
 
@@ -153,6 +203,7 @@ class Whole:
         self.slots = np.flatnonzero(active)
         self.place = np.cumsum(active) - 1
         self.active = active
+        self.n_layers, self.exist = n_layers, there
         total, self.there = load("total")[self.slots], there[self.slots][:, None]
         self.total = np.where(total == 0, np.where(self.there[:, 0], np.nan, 1.0), total)[:, None]
         who = self.slots // n_layers
@@ -201,12 +252,14 @@ class Whole:
         sent, out = now / self.total, np.zeros_like(now)
         if self.squares is not None:
             for to, a, w in self.squares:
-                out[to] = np.matmul(w, sent[a])[:, 0]
+                out[to] = np.matmul(w, np.take(sent, a, axis=0, mode="clip"))[:, 0]  # places are in range; "clip" is the quickest
         else:
             for a, w, first, to in [self.links] if self.links is not None else map(self._few, self.held):
                 for s in range(now.shape[1] if len(a) else 0):
                     column = np.ascontiguousarray(sent[:, s])
-                    out[to, s] = np.add.reduceat(column[a] * w, first)
+                    moved = np.take(column, a, mode="clip")
+                    moved *= w
+                    out[to, s] = np.add.reduceat(moved, first)
         out *= self.scale
         if self.chance is not None and len(now):
             across = now * self.chance
@@ -215,40 +268,135 @@ class Whole:
         return out
 
     def walk(self, p0: np.ndarray, restart: float, tolerance: float, rounds: int, failure: type) -> np.ndarray:
-        """Converged scores (slots, sets) from the start scores of the same shape."""
-        now = p0
-        for _ in range(rounds):
+        """Converged scores (slots, sets) from the start scores of the same shape.
+
+        Chebyshev's iteration takes the steps; its change is that of a plain step, and a plain
+        step is the last. Where it falls behind the 1 - restart of plain steps, these go on.
+        A walk goes on while it reaches more slots, as far as plain steps might."""
+        c = 1 - restart
+        far = 2 + math.ceil(math.log(tolerance / 2) / math.log(c)) if c > 0 else 1
+        now, before, omega, plain, most, reached = p0, None, 2.0, False, None, -1
+        for r in range(2 * rounds):
             after = self.moved(now)
-            after *= 1 - restart
+            after *= c
             after += restart * p0
             off = np.abs(after - now).sum(axis=0).max(initial=0.0)
-            now = after
-            if off < tolerance:
-                return now
-        raise failure(f"a walk still changed by {off:g} after {rounds} rounds")
+            held, reached = reached, np.count_nonzero(after)
+            if off < tolerance and (reached == held or r + 1 >= far):
+                return after
+            most = off if most is None else most
+            if not plain and off > 10 * most * c**r + tolerance:
+                plain = True
+            if plain or before is None:
+                now, before = after, now
+                continue
+            omega = 1 / (1 - c * c * omega / 4)
+            now, before = before + omega * (after - before), now
+        raise failure(f"a walk still changed by {off:g} after {2 * rounds} rounds")
+
+    def reduced(self, scores: np.ndarray, how: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, values): the scores of one set over the layers of each node that has any.
+
+        "mean" is over the layers that have a score and hold the node, all else over ``n`` layers."""
+        if not len(scores):
+            return np.zeros(0, np.int64), np.zeros(0)
+        who, there = self.slots[self.first_of_node] // self.n_layers, scores != 0
+        some = np.logical_or.reduceat(there, self.first_of_node)
+        if how == "geometric":
+            whole = (np.add.reduceat(there.astype(np.int64), self.first_of_node) >= n) & (np.minimum.reduceat(scores, self.first_of_node) > 0)
+            value = np.where(whole, np.exp(np.add.reduceat(np.log(np.maximum(scores, 1e-300)), self.first_of_node) / n), 0.0)
+        else:
+            value = np.add.reduceat(scores, self.first_of_node)
+            if how == "arithmetic":
+                value /= n
+            elif how == "mean":
+                active = np.unique(self.slots[there] % self.n_layers)
+                value = value[some] / self.exist.reshape(-1, self.n_layers)[who[some]][:, active].sum(axis=1)
+                return who[some], value
+            elif how != "sum":
+                raise ValueError(f"unknown reduction: {how}")
+        return who[some], value[some]
+
+    def ranks(self, scores: np.ndarray, own: list[np.ndarray], targets: list[int], n: int, layers: int) -> list[float]:
+        """The rank of each set's target among all ``n`` nodes but the set's ``own``; a target below 0 is one more."""
+        who = self.slots[self.first_of_node] // self.n_layers
+        score = np.round(np.add.reduceat(scores, self.first_of_node, axis=0) / layers, 12) + 0.0
+        out = []
+        for s, (mine, target) in enumerate(zip(own, targets)):
+            column = np.ascontiguousarray(score[:, s])
+            at = np.searchsorted(who, target)
+            value = column[at] if target >= 0 and at < len(who) and who[at] == target else 0.0
+            column[np.searchsorted(who, mine)] = -1.0  # the set's own nodes have no rank
+            tied = (column == value).sum() + (target < 0) + (n - len(who) if value == 0 else 0)
+            out.append(float(1 + (column > value).sum() + (tied - 1) / 2))
+        return out
+
+
+def shortest(root: str, n: int, width: int, held: list[int], source: int, bits: int) -> np.ndarray | None:
+    """Of every node the shortest distance from ``source`` and its fewest hops, as one number
+    (units of length in the upper bits); None where that number is too small for them.
+
+    Only nodes that came nearer move on: along their own links if these are few, else all links are read."""
+    near = np.full(n, NO_PATH, np.int64)
+    near[source] = 0
+    parts = [(k * width, *(get(root, f"{x}{k}") for x in ("a", "w", "first", "to"))) for k in held]
+    links = sum(len(p[1]) for p in parts)
+    if any(len(p[2]) and p[2].max() >= 2 ** (61 - bits) for p in parts):
+        return None
+    changed, rounds = np.array([source]), 0
+    while len(changed):
+        rounds += 1
+        out, size = [], 0
+        for p in parts:
+            low, to, first = p[0], p[4], p[3]
+            mine = changed[(changed >= low) & (changed < low + width)]
+            at = np.searchsorted(to, mine - low)
+            there = at < len(to)
+            there[there] = to[at[there]] == mine[there] - low
+            at = at[there]
+            ends = np.append(first[1:], len(p[1]))[at]
+            out.append((mine[there], first[at], ends - first[at]))
+            size += int(out[-1][2].sum())
+        nearer = []
+        for (low, a, w, first, to), (mine, begins, many) in zip(parts, out):
+            if 4 * size > links:
+                found = np.take(near, a, mode="clip")
+                found += (w.astype(np.int64) << bits) + 1
+                found, at = np.minimum.reduceat(found, first), low + to.astype(np.int64)
+            else:
+                own = np.repeat(begins - np.cumsum(many) + many, many) + np.arange(many.sum())
+                found, at = np.repeat(near[mine], many) + (w[own].astype(np.int64) << bits) + 1, a[own].astype(np.int64)
+            better = found < near[at]
+            np.minimum.at(near, at[better], found[better])
+            nearer.append(at[better])
+        changed = np.unique(np.concatenate(nearer)) if nearer else changed[:0]
+        if rounds * (len(parts) + 1) >= 2**bits or len(changed) and near[changed].max() >= 2**61:
+            return None
+    return near
 
 
 class Network:
     """The stored form of layered edges (layer, src, dst, weight); :meth:`release` deletes it."""
 
-    def __init__(self, edges: DataFrame, n_edges: int | None = None) -> None:
+    def __init__(self, edges: DataFrame) -> None:
         self.spark = spark = edges.sparkSession
         self.root = f"{shared_dir(spark)}/strandloom/blocks-{uuid.uuid4().hex}"
         fs, target = _filesystem(spark, self.root)
         fs.mkdirs(target)
         fs.deleteOnExit(target)
+        counts = {r[0]: r[1] for r in edges.groupBy("layer").count().collect()}  # one row per layer
+        #: Distinct layers as a reduction counts them, with the null one.
+        self.n_layers = len(counts)
         edges = edges.where("layer is not null")
-        n_edges = edges.count() if n_edges is None else n_edges
-        self.layers = [r[0] for r in edges.select("layer").distinct().orderBy("layer").collect()]  # one row per layer
-        names = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        self.salt, self.nodes = 0, None
-        while self.nodes is None:  # until all hashes differ: once, but for one network in millions
-            names = materialize(names.select("node", F.xxhash64("node", F.lit(self.salt)).alias("h")), "nodes")
-            self.n = names.select("h").coalesce(1).mapInPandas(_number(self.root), "n bigint").first()[0]
-            if names.select("h").distinct().count() == self.n:
-                self.nodes = names
-            else:
-                self.salt += 1
+        self.layers = sorted(x for x in counts if x is not None)
+        n_edges = sum(counts[x] for x in self.layers)
+        names = edges.select(F.col("src").alias("node")).distinct().union(edges.select("dst").distinct()).distinct()
+        self.node_type = names.schema["node"].dataType.simpleString()
+        self.salt, differ = -1, False
+        while not differ:  # until all hashes differ: once, but for one network in millions
+            self.salt += 1
+            hashed = names.select("node", F.xxhash64("node", F.lit(self.salt)).alias("h"))
+            self.n, differ = hashed.repartition(1).mapInArrow(_number(self.root), "n bigint, differ boolean").first()
         n_layers = max(1, len(self.layers))
         self.slots = self.n * n_layers
         self.blocks = max(1, min(self.n, max(spark.sparkContext.defaultParallelism, math.ceil(2 * n_edges / LINKS_PER_BLOCK))))
@@ -259,15 +407,21 @@ class Network:
         links = edges.select(
             place.cast("int").alias("l"), *[F.xxhash64(c, F.lit(self.salt)).alias(x) for c, x in (("src", "x"), ("dst", "y"))], F.col("weight").cast("double").alias("weight")
         )
-        both = links.mapInArrow(_placed(self.root, n_layers, self.width), "block int, a bigint, b bigint, w double")
-        done = both.repartitionById(self.blocks, F.col("block")).mapInArrow(_sorted(self.root, n_layers, self.width, kind), "block int")
-        self.held = {r[0] for r in done.collect()}  # one row per block
+        parts = links.mapInArrow(_placed(self.root, n_layers, self.width, self.blocks, kind), "part string, ends array<bigint>").collect()  # one row per part
+        given = spark.sparkContext.broadcast([(r[0], r[1]) for r in parts])
+        done = self._jobs(_sorted(self.root, n_layers, self.width, self.slots, kind, given), "block int")
+        self.held = {r[0] for r in done}  # one row per block
+        self._drop("part-*")
 
     def release(self) -> None:
-        release(self.nodes)
         fs, target = _filesystem(self.spark, self.root)
         fs.delete(target, True)
 
+    def _drop(self, names: str) -> None:
+        fs, _ = _filesystem(self.spark, self.root)
+        for status in fs.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{names}")):
+            fs.delete(status.getPath(), True)
+
     def _jobs(self, work: Callable, schema: str) -> list:
         """One task for each block; ``work`` gives rows."""
         names = [f.split()[0] for f in schema.split(", ")]
@@ -278,17 +432,16 @@ class Network:
 
         return self.spark.range(0, self.blocks, 1, self.blocks).mapInPandas(run, schema).collect()
 
-    def walk(
-        self, seeds: DataFrame, restart: float, tolerance: float, rounds: int, delta: float | None = None,
-        taus: dict[str, float] | None = None, without_layer: str | None = None, without_node: str | None = None,
-    ) -> DataFrame:
-        """(set_id, layer, node, score) of converged walks from ``seeds`` (set_id, node): coupled
-        layers if there is a ``delta``, else one walk in each layer.
-
-        ``without_layer`` and ``without_node`` walk on the network without them; without a
-        node the weights between layers stay those of the full network."""
-        from strandloom.operators.walks import NotConverged
+    @property
+    def whole(self) -> bool:
+        """Whether one task runs whole walks."""
+        return self.slots <= WHOLE_SLOTS
 
+    def _started(
+        self, seeds: DataFrame, delta: float | None, taus: dict[str, float] | None = None, without_layer: str | None = None, without_node: str | None = None
+    ) -> tuple:
+        """(starts, names, tag, scale, change, numbers): start scores (set, slot, value) of the
+        named sets, and the totals and slots of the network as it is walked, stored under ``tag``."""
         spark, root, n_layers, width, n, n_blocks, held = self.spark, self.root, max(1, len(self.layers)), self.width, self.n, self.blocks, self.held
         seeds = seeds.where("set_id is not null and node is not null")
         numbers = self._numbers(seeds.select("node").distinct())
@@ -347,71 +500,182 @@ class Network:
             active = np.bincount([layer for _, layer in slots], minlength=n_layers)
             for who, layer in slots:
                 starts.append((k, who * n_layers + layer, 1 / active[layer] if share is None else share[self.layers[layer]] / len(sets[name])))
-        if self.slots <= WHOLE_SLOTS:
-            out = materialize(self._walk_whole(starts, names, tag, restart, scale, change, tolerance, rounds, NotConverged), "walk") if names else None
+        return starts, names, tag, scale, change, numbers
+
+    def walk(
+        self, seeds: DataFrame, restart: float, tolerance: float, rounds: int, delta: float | None = None, taus: dict[str, float] | None = None,
+        without_layer: str | None = None, without_node: str | None = None, reduce: str | None = None,
+    ) -> DataFrame:
+        """(set_id, layer, node, score) of converged walks from ``seeds`` (set_id, node): coupled
+        layers if there is a ``delta``, else one walk in each layer.
+
+        ``without_layer`` and ``without_node`` walk on the network without them; without a
+        node the weights between layers stay those of the full network. ``reduce`` gives
+        (set_id, node, score) over the layers, where one task runs :attr:`whole` walks."""
+        from strandloom.operators.walks import NotConverged
+
+        spark = self.spark
+        kind = seeds.schema["set_id"].dataType
+        starts, names, tag, scale, change, _ = self._started(seeds, delta, taus, without_layer, without_node)
+        out = None
+        if self.whole:
+            over = reduce and (reduce, self.n_layers - (without_layer is not None))
+            out = materialize(self._walk_whole(starts, names, tag, kind, restart, scale, change, tolerance, rounds, NotConverged, over), "walk") if names else None
             names = []
-        else:
-            out = None
         group = max(1, SCORE_BYTES // max(1, 32 * self.slots))
         for low in range(0, len(names), group):
             mine = [(k - low, slot, p) for k, slot, p in starts if low <= k < low + group]
-            part = materialize(self._converge(mine, names[low : low + group], f"{tag}-{low}", tag, restart, scale, change, tolerance, rounds, NotConverged), "walk")
+            part = materialize(self._converge(mine, names[low : low + group], kind, f"{tag}-{low}", tag, restart, scale, change, tolerance, rounds, NotConverged), "walk")
             out = part if out is None else out.unionByName(part)
         if out is None:
-            out = spark.createDataFrame([], f"set_id {seeds.schema['set_id'].dataType.simpleString()}, layer string, node string, score double")
-        fs, _ = _filesystem(spark, root)
-        for status in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{tag}-*")):
-            fs.delete(status.getPath(), True)
-        return out.select(F.col("set_id").cast(seeds.schema["set_id"].dataType), "layer", "node", "score")
+            out = spark.createDataFrame([], self._schema(kind, not reduce))
+        self._drop(f"{tag}-*")
+        return out
+
+    def ranks(self, sets: DataFrame, restart: float, tolerance: float, rounds: int, delta: float) -> DataFrame:
+        """(set_id, rank): the rank of ``left_out`` in the coupled walk from the nodes of its set
+        (set_id, left_out, node), of sets with a node in the network; for :attr:`whole` walks."""
+        from strandloom.operators.walks import NotConverged
+
+        kind = sets.schema["set_id"].dataType
+        starts, names, tag, scale, change, numbers = self._started(sets.select("set_id", "node"), delta)
+        left = dict(sets.select("set_id", "left_out").distinct().collect())  # one row per set
+        numbers |= self._numbers(sets.select(F.col("left_out").alias("node")).distinct())
+        targets = [numbers.get(left[x], -1) for x in names]
+        of = self._grouped(starts)
+        n, n_layers = self.n, max(1, self.n_layers)
+        schema = f"set_id {kind.simpleString()}, rank double"
+        given, arrow = self.spark.sparkContext.broadcast((names, targets)), to_arrow_type(kind)
+
+        def told(whole: Whole, mine: list[int], scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+            names, targets = given.value
+            own = [np.unique([slot // whole.n_layers for slot, _ in of.value[k]]) for k in mine]
+            found = whole.ranks(scores, own, [targets[k] for k in mine], n, n_layers)
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in mine], arrow), pa.array(found)], names=["set_id", "rank"])
+
+        cores = self.spark.sparkContext.defaultParallelism
+        group = max(1, min(16, math.ceil(len(names) / cores), WHOLE_SCORES // max(1, self.slots)))
+        work = self._whole_work(of, len(names), group, math.ceil(len(names) / group / cores), tag, restart, scale, change, tolerance, rounds, NotConverged, told)
+        out = materialize(work(schema), "ranks")
+        self._drop(f"{tag}-*")
+        return out
+
+    def distances(self, sources: DataFrame) -> DataFrame | None:
+        """(source, node, distance, hops) from each of ``sources`` (node) on a network whose
+        weights are lengths in units of 1e-9; None if distance and hops do not fit one number."""
+        spark, root, n, width, held, bits = self.spark, self.root, self.n, self.width, sorted(self.held), HOP_BITS
+        asked = sources.select("node").distinct()
+        numbers = self._numbers(asked)
+        alone = [(r[0], r[0], 0.0, 0) for r in asked.collect() if r[0] not in numbers]  # one row per source
+        given = spark.sparkContext.broadcast(sorted(numbers.values()))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = names_of(root)
+            for source in (given.value[k] for batch in batches for k in batch.column("id").to_pylist()):
+                near = shortest(root, n, width, held, source, bits)
+                at = np.flatnonzero(near < NO_PATH) if near is not None else np.array([source])
+                for low in range(0, len(at), ROWS_PER_BATCH):
+                    here = at[low : low + ROWS_PER_BATCH]
+                    length, hops = (near[here] >> bits, near[here] & (2**bits - 1)) if near is not None else (here, here * 0 - 1)
+                    columns = {"source": names.take(pa.array(np.full(len(here), source))), "node": names.take(pa.array(here)), "distance": pa.array(length / 1e9)}
+                    yield pa.RecordBatch.from_pydict(columns | {"hops": pa.array(hops.astype(np.int32))})
+
+        schema = f"source {self.node_type}, node {self.node_type}, distance double, hops int"
+        rows = spark.createDataFrame(alone, schema)
+        if numbers:
+            found = materialize(spark.range(0, len(numbers), 1, len(numbers)).mapInArrow(work, schema), "dist")
+            if not found.where("hops < 0").isEmpty():
+                return None
+            rows = found.unionByName(rows) if alone else found
+        return rows
+
+    def _schema(self, kind: DataType, layered: bool) -> str:
+        return f"set_id {kind.simpleString()}, " + "layer string, " * layered + f"node {self.node_type}, score double"
 
     def _numbers(self, asked: DataFrame) -> dict:
         """The numbers of some nodes (node) that the network has."""
-        known = asked.join(self.nodes, "node").collect()
-        if not known:
-            return {}
-        every = np.array(get(self.root, "nodes"))
-        return dict(zip([r["node"] for r in known], np.searchsorted(every, np.array([r["h"] for r in known], np.int64)).tolist()))
+        asked = asked.select("node", F.xxhash64(F.col("node").cast(self.node_type), F.lit(self.salt)).alias("h")).collect()
+        every, names = np.array(get(self.root, "nodes")), names_of(self.root)
+        at = np.searchsorted(every, np.array([r["h"] for r in asked], np.int64)).tolist()
+        found = zip(asked, at, names.take(pa.array(np.minimum(at, len(every) - 1).astype(np.int64))).to_pylist() if len(every) else [None] * len(at))
+        return {r["node"]: k for r, k, name in found if k < len(every) and every[k] == r["h"] and str(name) == str(r["node"])}
 
     def _groups(self, sets: int) -> int:
         """Seed sets that one task walks at a time."""
         cores = self.spark.sparkContext.defaultParallelism
         return max(1, min(16, math.ceil(sets / cores), WHOLE_SCORES // max(1, self.slots)))
 
-    def _walk_whole(self, starts: list, names: list, tag: str, restart: float, scale: float, change: float, tolerance: float, rounds: int, failure: type) -> DataFrame:
-        spark, root, n_layers, held = self.spark, self.root, max(1, len(self.layers)), self.held
-        shape = (self.n, n_layers, self.width, self.blocks)
+    def _grouped(self, starts: list):
+        """The start scores of each set, for all tasks."""
         by_set: dict[int, list] = {}
         for k, slot, value in starts:
             by_set.setdefault(k, []).append((slot, value))
-        given, group = spark.sparkContext.broadcast(by_set), self._groups(len(names))
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            every = np.array(get(root, "nodes"))
-            for g in (g for pdf in batches for g in pdf["id"].tolist()):
-                mine = [k for k in range(g * group, min((g + 1) * group, len(names))) if k in given.value]
-                if not mine:
+        return self.spark.sparkContext.broadcast(by_set)
+
+    def _whole_work(
+        self, of: Broadcast, n_sets: int, group: int, each: int, tag: str, restart: float, scale: float, change: float, tolerance: float, rounds: int,
+        failure: type, told: Callable,
+    ) -> Callable:
+        """Runs whole walks of ``group`` sets at a time, ``each`` times in a task on one copy of the
+        links, and gives what ``told`` makes of (network, sets, scores)."""
+        spark, root, held = self.spark, self.root, self.held
+        shape = (self.n, max(1, len(self.layers)), self.width, self.blocks)
+        parts = math.ceil(n_sets / (group * each))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in (g for batch in batches for g in batch.column("id").to_pylist()):
+                every = [k for k in range(part * group * each, min((part + 1) * group * each, n_sets)) if k in of.value]
+                if not every:
                     continue
-                slots = np.array([slot for k in mine for slot, _ in given.value[k]], np.int64)
-                whole = Whole(root, tag, shape, held, slots, rounds, scale, change, len(mine))
-                p0 = np.zeros((len(whole.slots), len(mine)))
-                for s, k in enumerate(mine):
-                    for slot, value in given.value[k]:
-                        p0[whole.place[slot], s] = value
-                scores = whole.walk(p0, restart, tolerance, rounds, failure)
-                for s, k in enumerate(mine):
-                    some = np.flatnonzero(scores[:, s])
-                    at = whole.slots[some]
-                    yield pd.DataFrame({"k": np.int32(k), "l": (at % n_layers).astype(np.int32), "h": every[at // n_layers], "score": scores[some, s]})
-
-        parts = math.ceil(len(names) / group)
-        return self._named(spark.range(0, parts, 1, parts).mapInPandas(work, "k int, l int, h bigint, score double"), names)
-
-    def _named(self, found: DataFrame, names: list) -> DataFrame:
-        known = self.spark.createDataFrame(list(enumerate(names)), ["k", "set_id"])
-        layers = F.array(*[F.lit(x) for x in self.layers])
-        return found.join(F.broadcast(known), "k").join(self.nodes, "h").select("set_id", F.element_at(layers, F.col("l") + 1).alias("layer"), "node", "score")
-
-    def _converge(self, starts: list, names: list, at: str, tag: str, restart: float, scale: float, change: float, tolerance: float, rounds: int, failure: type) -> DataFrame:
+                slots = np.array([slot for k in every for slot, _ in of.value[k]], np.int64)
+                whole = Whole(root, tag, shape, held, slots, rounds, scale, change, min(group, len(every)))
+                for low in range(0, len(every), group):
+                    mine = every[low : low + group]
+                    p0 = np.zeros((len(whole.slots), len(mine)))
+                    for s, k in enumerate(mine):
+                        for slot, value in of.value[k]:
+                            p0[whole.place[slot], s] = value
+                    yield from told(whole, mine, whole.walk(p0, restart, tolerance, rounds, failure))
+
+        return lambda schema: spark.range(0, parts, 1, parts).mapInArrow(work, schema)
+
+    def _walk_whole(
+        self, starts: list, names: list, tag: str, kind: DataType, restart: float, scale: float, change: float, tolerance: float, rounds: int, failure: type,
+        reduce: tuple | None = None,
+    ) -> DataFrame:
+        named = self._named(names, kind, not reduce)
+
+        def told(whole: Whole, mine: list[int], scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for s, k in enumerate(mine):
+                column = np.ascontiguousarray(scores[:, s])
+                if reduce:
+                    yield from named(k, *whole.reduced(column, *reduce))
+                else:
+                    some = np.flatnonzero(column)
+                    yield from named(k, whole.slots[some], column[some])
+
+        group = self._groups(len(names))
+        work = self._whole_work(self._grouped(starts), len(names), group, 1, tag, restart, scale, change, tolerance, rounds, failure, told)
+        return work(self._schema(kind, not reduce))
+
+    def _named(self, names: list, kind: DataType, layered: bool) -> Callable:
+        """Makes rows with names of (set, slots or nodes, scores)."""
+        root, n_layers, known, arrow = self.root, max(1, len(self.layers)), self.layers, to_arrow_type(kind)
+
+        def rows(k: int, at: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+            every, layers = names_of(root), pa.array(known, pa.string())
+            for low in range(0, len(at), ROWS_PER_BATCH):
+                here, score = at[low : low + ROWS_PER_BATCH], scores[low : low + ROWS_PER_BATCH]
+                columns = {"set_id": pa.array([names[k]], arrow).take(pa.array(np.zeros(len(here), np.int32)))}
+                if layered:
+                    columns["layer"] = layers.take(pa.array(here % n_layers))
+                    here = here // n_layers
+                columns |= {"node": every.take(pa.array(here)), "score": pa.array(score)}
+                yield pa.RecordBatch.from_pydict(columns)
+
+        return rows
+
+    def _converge(self, starts: list, names: list, kind: DataType, at: str, tag: str, restart: float, scale: float, change: float, tolerance: float, rounds: int, failure: type) -> DataFrame:
         spark, root, n_layers, width, n, n_blocks, held = self.spark, self.root, max(1, len(self.layers)), self.width, self.n, self.blocks, self.held
         n_slots, n_sets = self.slots, len(names)
         given = spark.sparkContext.broadcast(tuple(np.array([s[c] for s in starts], kind) for c, kind in ((0, np.int64), (1, np.int64), (2, float))))
@@ -502,12 +766,12 @@ class Network:
             raise failure(f"a walk still changed by {off:g} after {rounds} rounds")
         parity = r % 2
 
-        def result(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            every = np.array(get(root, "nodes"))
-            for pdf in batches:
-                for k in pdf["id"].tolist():
-                    slots, now = get(root, f"{at}-slots{parity}-{k}").astype(np.int64) + k * width * n_layers, get(root, f"{at}-now{parity}-{k}")
-                    for s in range(n_sets):
-                        yield pd.DataFrame({"k": np.int32(s), "l": (slots % n_layers).astype(np.int32), "h": every[slots // n_layers], "score": np.array(now[s])})
+        named = self._named(names, kind, True)
+
+        def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k in (k for batch in batches for k in batch.column("id").to_pylist()):
+                slots, now = get(root, f"{at}-slots{parity}-{k}").astype(np.int64) + k * width * n_layers, get(root, f"{at}-now{parity}-{k}")
+                for s in range(n_sets):
+                    yield from named(s, slots, np.array(now[s]))
 
-        return self._named(spark.range(0, n_blocks, 1, n_blocks).mapInPandas(result, "k int, l int, h bigint, score double"), names)
+        return spark.range(0, n_blocks, 1, n_blocks).mapInArrow(result, self._schema(kind, True))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.blocks import Network
+from strandloom.operators.blocks import MAX_LOCAL_MOVES, Network
 from strandloom.operators.edges import symmetric
 from strandloom.runtime import materialize, release, shuffle_width
 
@@ -38,8 +38,6 @@ REDUCTIONS = ("arithmetic", "geometric", "sum")
 
 #: Changes (L1) at which a walk has converged.
 LAYER_TOLERANCE, MULTIPLEX_TOLERANCE = 1e-8, 1e-10
-#: Moves of a network that one task may hold (about 0.3 GB of Python memory).
-MAX_LOCAL_MOVES = 3_000_000
 
 
 class NotConverged(RuntimeError):
@@ -159,8 +157,7 @@ def _rank_target(restart: float, tolerance: float, rounds: int, layers: int) ->
 
 def stored_blocks(edges: DataFrame, max_local_moves: int) -> Network | None:
     """The network in blocks if it is too large for one task."""
-    n = edges.count()
-    return Network(edges, n) if 2 * n > max_local_moves else None
+    return Network(edges) if 2 * edges.count() > max_local_moves else None
 
 
 def transitions(edges: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -232,6 +229,23 @@ def mean_over_layers(scores: DataFrame, edges: DataFrame) -> DataFrame:
     return slots.join(total, ["set_id", "node"]).select("set_id", "node", (F.col("s") / F.col("n")).alias("score"))
 
 
+def layer_means(
+    edges: DataFrame, seeds: DataFrame, restart: float = 0.35, tolerance: float = LAYER_TOLERANCE, max_local_moves: int = MAX_LOCAL_MOVES
+) -> DataFrame:
+    """:func:`mean_over_layers` of converged :func:`layer_walks`; of a network in blocks each task
+    takes the means of its own walks."""
+    net = stored_blocks(edges, max_local_moves)
+    if net is None:
+        return mean_over_layers(layer_walks(edges, seeds, restart, tolerance=tolerance, max_local_moves=max_local_moves), edges)
+    rounds = most_rounds(restart, tolerance)
+    if net.whole:
+        found = net.walk(seeds, restart, tolerance, rounds, reduce="mean")
+    else:
+        found = mean_over_layers(net.walk(seeds, restart, tolerance, rounds), edges)
+    net.release()
+    return found
+
+
 def multiplex_walks(
     edges: DataFrame,
     seeds: DataFrame,
@@ -300,6 +314,31 @@ def reduced(scores: DataFrame, edges: DataFrame, how: str = "geometric") -> Data
     return grouped.agg(F.round(value, 12).alias("score"))
 
 
+def _reduced_in_blocks(net: Network, edges: DataFrame, how: str, *walk: object, **options: object) -> DataFrame:
+    """:func:`reduced` of a network's walk, in the tasks that walk where they can."""
+    if net.whole:
+        return net.walk(*walk, **options, reduce=how).select("set_id", "node", F.round("score", 12).alias("score"))
+    return reduced(net.walk(*walk, **options), edges, how)
+
+
+def reduced_walks(
+    edges: DataFrame,
+    seeds: DataFrame,
+    restart: float = 0.7,
+    delta: float = 0.5,
+    how: str = "geometric",
+    tolerance: float = MULTIPLEX_TOLERANCE,
+    max_local_moves: int = MAX_LOCAL_MOVES,
+) -> DataFrame:
+    """:func:`reduced` of converged :func:`multiplex_walks`."""
+    net = stored_blocks(edges, max_local_moves)
+    if net is None:
+        return reduced(multiplex_walks(edges, seeds, restart, delta, tolerance=tolerance, max_local_moves=max_local_moves), edges, how)
+    found = _reduced_in_blocks(net, edges, how, seeds, restart, tolerance, most_rounds(restart, tolerance), delta)
+    net.release()
+    return found
+
+
 def ranked(scores: DataFrame, seeds: DataFrame | None = None, drop_seeds: bool = False, ties: str = "average") -> DataFrame:
     """(set_id, node, score, rank, is_seed): rank 1 is the highest score of a set.
 
@@ -364,7 +403,13 @@ def left_out_ranks(edges: DataFrame, sets: DataFrame, restart: float, delta: flo
             .select("set_id", F.coalesce("rank", last).alias("rank"))
         )
 
-    found = materialize(multiplex_walks(edges, sets.select("set_id", "node"), restart, delta, max_local_moves=max_local_moves, then=ranks), "ranks")
+    net = stored_blocks(edges, max_local_moves)
+    if net is not None and net.whole:
+        found = net.ranks(sets, restart, MULTIPLEX_TOLERANCE, most_rounds(restart, MULTIPLEX_TOLERANCE), delta)
+    else:
+        found = materialize(multiplex_walks(edges, sets.select("set_id", "node"), restart, delta, max_local_moves=max_local_moves, then=ranks), "ranks")
+    if net is not None:
+        net.release()
     # sets of which no node has an edge: all nodes tie at 0
     return (
         targets.join(found, "set_id", "left")
@@ -416,17 +461,17 @@ def ablation(
 
     def scores(rest: DataFrame, without: str | None = None) -> DataFrame:
         if net is None:
-            return multiplex_walks(rest, seeds, restart, delta, iterations, tolerance=tolerance, max_local_moves=max_local_moves)
-        return net.walk(seeds, restart, tolerance, rounds, delta, without_layer=without)
+            return reduced(multiplex_walks(rest, seeds, restart, delta, iterations, tolerance=tolerance, max_local_moves=max_local_moves), rest, "arithmetic")
+        return _reduced_in_blocks(net, rest, "arithmetic", seeds, restart, tolerance, rounds, delta, without_layer=without)
 
-    full = materialize(reduced(scores(edges), edges, "arithmetic").withColumnRenamed("score", "base"), "base")
+    full = scores(edges).withColumnRenamed("score", "base")
+    full = materialize(full, "base") if net is None else full
     out = None
     for layer in [r[0] for r in edges.select("layer").distinct().orderBy("layer").collect()]:  # one round per layer
         rest = edges.where(F.col("layer") != layer)
-        part = reduced(scores(rest, layer), rest, "arithmetic").select(F.lit(layer).alias("layer"), "set_id", "node", "score")
+        part = scores(rest, layer).select(F.lit(layer).alias("layer"), "set_id", "node", "score")
         out = part if out is None else out.unionByName(part)
     if net is not None:
-        out = materialize(out, "ablated")
         net.release()
     names = out.select("layer").distinct()
     return F.broadcast(names).crossJoin(full).join(out, ["layer", "set_id", "node"], "left").select(
@@ -449,7 +494,7 @@ def perturbation(
     net = stored_blocks(edges, max_local_moves) if iterations is None else None
     if net is not None:
         rounds = most_rounds(restart, tolerance)
-        whole, less = (net.walk(seeds, restart, tolerance, rounds, delta, without_node=x) for x in (None, node))
+        full, changed = (_reduced_in_blocks(net, edges, "arithmetic", seeds, restart, tolerance, rounds, delta, without_node=x) for x in (None, node))
         net.release()
     else:
         at = symmetric(edges).select("layer", F.col("src").alias("node")).distinct()
@@ -458,7 +503,7 @@ def perturbation(
         cut = edges.where((F.col("src") != node) & (F.col("dst") != node))
         whole = multiplex_walks(edges, seeds, restart, delta, iterations, tolerance=tolerance, max_local_moves=max_local_moves)
         less = multiplex_walks(cut, seeds, restart, delta, iterations, inter=inter, tolerance=tolerance, max_local_moves=max_local_moves)
-    full, changed = reduced(whole, edges, "arithmetic").withColumnRenamed("score", "base"), reduced(less, edges, "arithmetic")
-    return full.join(changed, ["set_id", "node"], "full").select(
+        full, changed = reduced(whole, edges, "arithmetic"), reduced(less, edges, "arithmetic")
+    return full.withColumnRenamed("score", "base").join(changed, ["set_id", "node"], "full").select(
         "set_id", "node", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("base", F.lit(0.0)).alias("base")
     )
