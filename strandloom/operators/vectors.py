@@ -93,6 +93,36 @@ def column_distances(df: DataFrame, groups: list[str], x: str, y: str) -> DataFr
     )
 
 
+def set_distances(df: DataFrame) -> DataFrame:
+    """(a, b, pearson, cosine, spearman): distances as of :func:`column_distances` between the
+    vectors (set_id, node, score) of every two sets, over all nodes; an absent node counts as 0.
+
+    Ranks are those of the distinct scores of a set, and are taken from the rank of 0, so that
+    an absent node adds nothing to any sum."""
+    n = F.lit(df.select("node").distinct().count())
+    held = df.groupBy("set_id", "score").agg(F.count("*").alias("n"))
+    absent = df.groupBy("set_id").agg((n - F.count("*")).alias("n")).select("set_id", F.lit(0.0).alias("score"), "n")
+    held = held.unionByName(absent).groupBy("set_id", "score").agg(F.sum("n").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("set_id").orderBy("score"))
+    held = held.withColumn("rank", ahead - (F.col("n") - 1) / 2)
+    zero = held.where("score = 0").select("set_id", F.col("rank").alias("zero"))
+    ranks = held.join(zero, "set_id").select("set_id", "score", (F.col("rank") - F.col("zero")).alias("r"))
+    rows = materialize(df.join(ranks, ["set_id", "score"]).select("set_id", "node", F.col("score").alias("x"), "r"), "ranks")
+    own = rows.groupBy("set_id").agg(*[F.sum(F.col(a) * F.col(b)).alias(c) for c, a, b in (("xx", "x", "x"), ("rr", "r", "r"))], F.sum("x").alias("x"), F.sum("r").alias("r"))
+    side = lambda t, s: t.select(*[F.col(c).alias({"set_id": s}.get(c, c if c == "node" else f"{c}_{s}")) for c in t.columns])
+    met = side(rows, "a").join(side(rows, "b"), "node").where(F.col("a") < F.col("b"))
+    met = met.groupBy("a", "b").agg(F.sum(F.col("x_a") * F.col("x_b")).alias("xy"), F.sum(F.col("r_a") * F.col("r_b")).alias("rs"))
+    pairs = side(own, "a").join(side(own, "b"), F.col("a") < F.col("b")).join(met, ["a", "b"], "left").fillna(0.0, ["xy", "rs"])
+    r = lambda x, xy: correlation(n, *[F.col(f"{c}_{s}") for c in (x, x + x) for s in "ab"], F.col(xy))
+    return pairs.select(
+        "a",
+        "b",
+        (1 - r("x", "xy")).alias("pearson"),
+        (1 - F.coalesce(F.try_divide(F.col("xy"), F.sqrt(F.col("xx_a") * F.col("xx_b"))), F.lit(0.0))).alias("cosine"),
+        (1 - r("r", "rs")).alias("spearman"),
+    )
+
+
 def effect_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, mean, max, min, n): of the finite values of each group."""
     ok = F.when(~F.isnan(value) & F.col(value).isNotNull() & (F.abs(value) != float("inf")), F.col(value))
