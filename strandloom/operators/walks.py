@@ -349,9 +349,13 @@ def ranked(scores: DataFrame, seeds: DataFrame | None = None, drop_seeds: bool =
         scores = scores.withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
         if drop_seeds:
             scores = scores.where("not is_seed")
-    first = F.rank().over(Window.partitionBy("set_id").orderBy(F.desc("score")))
-    tied = F.count("*").over(Window.partitionBy("set_id", "score"))
-    return scores.withColumn("rank", first + (tied - 1) / 2 if ties == "average" else first.cast("double"))
+    tied = scores.groupBy("set_id", "score").agg(F.count("*").alias("_n"))  # the distinct scores are ranked, not the rows
+    until = F.sum("_n").over(Window.partitionBy("set_id").orderBy(F.desc("score")))
+    first = until - F.col("_n") + 1
+    rank = first + (F.col("_n") - 1) / 2 if ties == "average" else first.cast("double")
+    places = tied.select(F.col("set_id").alias("_set"), F.col("score").alias("_score"), rank.alias("rank"))
+    found = scores.join(places, F.col("set_id").eqNullSafe(F.col("_set")) & F.col("score").eqNullSafe(F.col("_score")))
+    return found.drop("_set", "_score")
 
 
 def top(ranks: DataFrame, k: int) -> DataFrame:
