@@ -157,7 +157,7 @@ def _rank_target(restart: float, tolerance: float, rounds: int, layers: int) ->
 
 def stored_blocks(edges: DataFrame, max_local_moves: int) -> Network | None:
     """The network in blocks if it is too large for one task."""
-    return Network(edges) if 2 * edges.count() > max_local_moves else None
+    return Network(edges, merge=True) if 2 * edges.count() > max_local_moves else None
 
 
 def transitions(edges: DataFrame, scale: float = 1.0) -> DataFrame:
