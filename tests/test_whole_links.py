@@ -1,3 +1,5 @@
+import pytest
+
 from strandloom.operators import blocks, walks
 from strandloom.plans import network_queries
 from test_whole_blocks import EDGE, MORE, frames, same, values
@@ -18,10 +20,21 @@ def test_repeated_links_are_added_up(spark):
     assert same(few, many) and few.keys() == many.keys()
 
 
+@pytest.mark.parametrize("at_once", [1, 3])
+def test_links_are_moved_in_pieces(spark, monkeypatch, at_once):
+    monkeypatch.setattr(blocks, "LINKS_AT_ONCE", at_once)
+    monkeypatch.setattr(blocks, "NAMES_AT_ONCE", at_once)
+    monkeypatch.setattr(blocks, "WHOLE_LINKS", 0)
+    edges, seeds = frames(spark, [(layer, src, dst, 1.0) for layer, src, dst, _ in [*MORE, *MORE[:3], (None, "n1", "n2", 1.0)]])
+    key = ("set_id", "node")
+    few, many = (values(walks.reduced_walks(edges.where("layer is not null") if m else edges, seeds, how="sum", max_local_moves=m), key, "score") for m in (0, 10**6))
+    assert same(few, many) and few.keys() == many.keys()
+
+
 def test_walks_do_not_store_the_edges_first(spark, monkeypatch):
     def stored(df, tag):
         raise AssertionError(tag)
 
     monkeypatch.setattr(network_queries, "materialize", stored)
-    for query in ("walk_reduced_arithmetic",):
+    for query in ("walk_reduced_arithmetic", "walk_reduced_geometric"):
         assert network_queries.QUERIES[query](spark, "/root/testdata/sf0.001").columns
