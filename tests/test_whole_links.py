@@ -36,5 +36,5 @@ def test_walks_do_not_store_the_edges_first(spark, monkeypatch):
         raise AssertionError(tag)
 
     monkeypatch.setattr(network_queries, "materialize", stored)
-    for query in ("walk_reduced_arithmetic", "walk_reduced_geometric"):
+    for query in ("walk_reduced_arithmetic", "walk_reduced_geometric", "lines_of_evidence"):
         assert network_queries.QUERIES[query](spark, "/root/testdata/sf0.001").columns
