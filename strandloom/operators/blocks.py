@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
@@ -509,8 +509,8 @@ class Network:
         """(starts, names, tag, scale, change, numbers): start scores (set, slot, value) of the
         named sets, and the totals and slots of the network as it is walked, stored under ``tag``."""
         spark, root, n_layers, width, n, n_blocks, held = self.spark, self.root, max(1, len(self.layers)), self.width, self.n, self.blocks, self.held
-        seeds = seeds.where("set_id is not null and node is not null")
-        numbers = self._numbers(seeds.select("node").distinct())
+        rows = seeds.where("set_id is not null and node is not null").select("set_id", "node", self._hash()).distinct().collect()  # the start vectors: one row per seed
+        numbers = self._known(rows)
         cut_layer = self.layers.index(without_layer) if without_layer is not None else -1
         cut_node = -1
         if without_node is not None:
@@ -549,7 +549,7 @@ class Network:
             if who >= 0:
                 at.setdefault(who, []).append(layer)
         sets: dict = {}
-        for r in seeds.select("set_id", "node").distinct().collect():  # the start vectors: one row per seed
+        for r in rows:
             sets.setdefault(r[0], []).append(r[1])
         names = sorted(sets)
         if delta is None:
@@ -660,7 +660,14 @@ class Network:
 
     def _numbers(self, asked: DataFrame) -> dict:
         """The numbers of some nodes (node) that the network has."""
-        asked = asked.select("node", F.xxhash64(F.col("node").cast(self.node_type), F.lit(self.salt)).alias("h")).collect()
+        return self._known(asked.select("node", self._hash()).collect())
+
+    def _hash(self) -> Column:
+        return F.xxhash64(F.col("node").cast(self.node_type), F.lit(self.salt)).alias("h")
+
+    def _known(self, asked: list) -> dict:
+        """The numbers of rows with (node, h) that the network has."""
+        asked = list({r["node"]: r for r in asked}.values())
         every, names = np.array(get(self.root, "nodes")), names_of(self.root)
         at = np.searchsorted(every, np.array([r["h"] for r in asked], np.int64)).tolist()
         found = zip(asked, at, names.take(pa.array(np.minimum(at, len(every) - 1).astype(np.int64))).to_pylist() if len(every) else [None] * len(at))

@@ -155,6 +155,12 @@ def _rank_target(restart: float, tolerance: float, rounds: int, layers: int) ->
     return run
 
 
+def collected(seeds: DataFrame) -> DataFrame:
+    """The seeds (set_id, node) as rows of the driver, for several walks."""
+    seeds = seeds.select("set_id", "node").distinct()
+    return seeds.sparkSession.createDataFrame(seeds.collect(), seeds.schema)  # one row per seed
+
+
 def stored_blocks(edges: DataFrame, max_local_moves: int) -> Network | None:
     """The network in blocks if it is too large for one task."""
     return Network(edges, merge=True) if 2 * edges.count() > max_local_moves else None
@@ -461,6 +467,8 @@ def ablation(
 ) -> DataFrame:
     """(layer, set_id, node, score, base): vectors after dropping each layer, beside the full ones."""
     net = stored_blocks(edges, max_local_moves) if iterations is None else None
+    if net is not None:
+        seeds = collected(seeds)
     rounds = most_rounds(restart, tolerance)
 
     def scores(rest: DataFrame, without: str | None = None) -> DataFrame:
@@ -471,7 +479,8 @@ def ablation(
     full = scores(edges).withColumnRenamed("score", "base")
     full = materialize(full, "base") if net is None else full
     out = None
-    for layer in [r[0] for r in edges.select("layer").distinct().orderBy("layer").collect()]:  # one round per layer
+    layers = [r[0] for r in edges.select("layer").distinct().orderBy("layer").collect()] if net is None or net.n_layers > len(net.layers) else net.layers
+    for layer in layers:  # one round per layer
         rest = edges.where(F.col("layer") != layer)
         part = scores(rest, layer).select(F.lit(layer).alias("layer"), "set_id", "node", "score")
         out = part if out is None else out.unionByName(part)
@@ -497,7 +506,7 @@ def perturbation(
     between layers stay those of the full network."""
     net = stored_blocks(edges, max_local_moves) if iterations is None else None
     if net is not None:
-        rounds = most_rounds(restart, tolerance)
+        seeds, rounds = collected(seeds), most_rounds(restart, tolerance)
         full, changed = (_reduced_in_blocks(net, edges, "arithmetic", seeds, restart, tolerance, rounds, delta, without_node=x) for x in (None, node))
         net.release()
     else:
