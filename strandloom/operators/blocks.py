@@ -50,6 +50,8 @@ ROWS_PER_BATCH = 100_000
 NAMES_AT_ONCE, LINKS_AT_ONCE = 4_000_000, 32_768
 #: Links of a table of those that lead to slots of one number of links.
 LINKS_PER_SQUARE = 20_000
+#: Slots of a tile, from which a table's links come (their scores stay in a cache), and what times the mean links a hub has.
+TILE, HUB = 2**16, 4
 #: Bytes of the stored scores of the sets that advance together.
 SCORE_BYTES = 1_000_000_000
 
@@ -155,6 +157,24 @@ def _read(root: str) -> Callable:
     return run
 
 
+def _named_once(root: str, parts: list[str], kind: pa.DataType) -> Callable:
+    """The distinct names of the nodes of all parts, of which few are held beside the names found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = _opened(root)
+        every, held, size = pa.array([], kind), [], 0
+        for c, part in enumerate(parts):
+            held.append(pq.read_table(f"{path}/read-{part}.parquet", filesystem=fs)["node"].combine_chunks().cast(kind))
+            size += len(held[-1])
+            if size >= NAMES_AT_ONCE or c + 1 == len(parts):
+                every, held, size = pc.unique(pa.chunked_array([every, *held])), [], 0
+        for _ in batches:
+            for low in range(0, len(every), ROWS_PER_BATCH):
+                yield pa.RecordBatch.from_arrays([every[low : low + ROWS_PER_BATCH]], names=["node"])
+
+    return run
+
+
 def _placed(root: str, known: list, width: int, n_blocks: int, kind: str, read: Broadcast) -> Callable:
     """Both directions of the links of a part, by block, in a part of its own."""
     layers = max(1, len(known))
@@ -205,41 +225,121 @@ def _sorted(root: str, layers: int, width: int, slots: int, kind: str, parts: li
         put(root, f"w{k}", w)
         put(root, f"first{k}", first)
         put(root, f"to{k}", to[first].astype(np.int32))
-        return [(k,)]
+        put(root, f"degree{k}", np.bincount(to // layers, minlength=width))
+        return [(k, len(a))]
 
     return run
 
 
+def ordered(root: str, n: int, width: int, held: set) -> tuple[np.ndarray, int]:
+    """(nodes, hubs): the order of nodes in tables, first the hubs, at most as many as a tile has slots."""
+    degree = np.zeros(n, np.int64)
+    for k in held:
+        low = k * width
+        degree[low : low + width] = get(root, f"degree{k}")[: n - low]
+    hubs = np.flatnonzero(degree > HUB * degree.mean()) if n else np.zeros(0, np.int64)
+    if len(hubs) > TILE:
+        hubs = np.sort(hubs[np.argpartition(-degree[hubs], TILE)[:TILE]])
+    rest = np.ones(n, bool)
+    rest[hubs] = False
+    return np.concatenate([hubs, np.flatnonzero(rest)]), len(hubs)
+
+
+def tabled(root: str, k: int, n_layers: int, width: int, order: np.ndarray, hubs: int) -> list[np.ndarray]:
+    """[tables, places, weights, slots]: links of a block, of which each table has those from a tile of slots to the slots
+    that as many lead to.
+
+    Slots have the numbers ``layer * nodes + place`` with the nodes in ``order``. Every link is stored in both directions, so
+    a block gives the links from hubs into its nodes, and those from its other nodes, which lie side by side, to any. A
+    table is (first slot of its tile, links to a slot, slots); weights that are all 1 are left out."""
+    n = len(order)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    a, w, first, to = (get(root, f"{x}{k}") for x in ("a", "w", "first", "to"))
+    from_, layer = np.divmod(np.asarray(a, np.int64), n_layers)
+    into = np.repeat(to // n_layers, np.diff(np.r_[first, len(a)])) + k * width
+    from_, into, even = place[from_], place[into], bool((w == 1).all())
+    found: list[list] = [[], [], [], []]
+    for x, y, mine in ((from_, into, from_ < hubs), (into, from_, into >= hubs)):
+        x, y, at = x[mine], y[mine], layer[mine]
+        if not len(x):
+            continue
+        low = 0 if x[0] < hubs else int(x.min())
+        tile, here = np.divmod(x - low, TILE)
+        tile = tile * n_layers + at
+        key = (tile * n + y) * TILE + here
+        if even:
+            key.sort()
+        else:
+            by = np.argsort(key)
+            key, weight = key[by], np.asarray(w)[mine][by]
+        slot, here = np.divmod(key, TILE)
+        begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        many = np.diff(np.r_[begin, len(slot)])
+        tile, y = np.divmod(slot[begin], n)
+        rows = np.lexsort((y, many, tile))
+        cuts = np.flatnonzero(np.r_[True, (np.diff(tile[rows]) != 0) | (np.diff(many[rows]) != 0), True]).tolist()
+        for lo, hi in zip(cuts, cuts[1:]):
+            d, (sub, at) = int(many[rows[lo]]), divmod(int(tile[rows[lo]]), n_layers)
+            step = max(1, LINKS_AT_ONCE // d)
+            for own in (rows[c : min(c + step, hi)] for c in range(lo, hi, step)):
+                links = (begin[own] + np.arange(d)[:, None]).ravel()
+                found[0].append((at * n + low + sub * TILE, d, len(own)))
+                found[1].append(here[links].astype(np.uint16))
+                if not even:
+                    found[2].append(weight[links])
+                found[3].append((at * n + y[own]).astype(np.int32))
+    empty = np.zeros((0, 3), np.int64), np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, np.int32)
+    return [(np.array(x, np.int64) if c == 0 else np.concatenate(x)) if x else empty[c] for c, x in enumerate(found)]
+
+
+def reached(root: str, held: list, size: int, n_layers: int, there: np.ndarray, many: np.ndarray, starts: np.ndarray, rounds: int, change: float, most: int) -> np.ndarray | None:
+    """The slots that walks from ``starts`` reach, or None if more than ``most`` links lead to them.
+
+    Links are stored in both directions, so those into a slot also lead on from it."""
+    active, near, links = np.zeros(len(there), bool), np.zeros(len(there), bool), 0
+    near[starts] = True
+    for _ in range(rounds + 1):
+        near &= there
+        near &= ~active
+        now = np.flatnonzero(near)
+        if not len(now):
+            break
+        active[now] = True
+        near[:] = False
+        for k in held:
+            mine = now[slice(*np.searchsorted(now, (k * size, (k + 1) * size)))] - k * size
+            if not len(mine):
+                continue
+            a, first, to = (get(root, f"{x}{k}") for x in ("a", "first", "to"))
+            at = np.searchsorted(to, mine)
+            at = at[to[np.minimum(at, len(to) - 1)] == mine]
+            begins, ends = first[at], np.append(first[1:], len(a))[at]
+            own = ends - begins
+            links += int(own.sum())
+            if links > most:
+                return None
+            near[a[np.repeat(begins - np.cumsum(own) + own, own) + np.arange(own.sum())]] = True
+        if change:
+            grid = near.reshape(-1, n_layers)
+            who = now // n_layers
+            grid[who[many[who] > 1]] = True
+    return active
+
+
 class Whole:
     """All that one task needs to walk from the given start slots on a prepared network."""
 
-    def __init__(self, root: str, tag: str, shape: tuple, held: set, starts: np.ndarray, rounds: int, scale: float, change: float, sets: int) -> None:
+    def __init__(self, root: str, tag: str, shape: tuple, held: set, starts: np.ndarray, rounds: int, scale: float, change: float, sets: int, most: int | None = None) -> None:
         self.root, self.scale = root, scale
         n, n_layers, self.width, n_blocks = shape
         self.size = self.width * n_layers
         self.held = sorted(held)
         load = lambda name: np.concatenate([get(root, f"{tag}-{name}{k}") for k in range(n_blocks)])
         there, many = load("there"), load("many")
-        active = np.zeros(len(there), bool)
-        active[starts] = True
-        for _ in range(rounds):
-            before = active.copy()
-            for k in self.held:
-                a, first, to = (get(root, f"{x}{k}") for x in ("a", "first", "to"))
-                into = np.logical_or.reduceat(before[a], first)
-                active[k * self.size + to[into].astype(np.int64)] = True
-            if change:
-                grid = before.reshape(n, n_layers)
-                active |= ((grid.sum(axis=1, keepdims=True) > grid) & (many > 1)[:, None]).ravel()
-            active &= there
-            if (active == before).all():
-                break
-            if 2 * active.sum() > there.sum():
-                active = there.copy()
-                break
-        lengths = [(get(root, f"first{k}"), get(root, f"to{k}"), len(get(root, f"w{k}")), k * self.size) for k in self.held]
-        size = sum(int(np.diff(np.r_[f, m])[active[lo + t.astype(np.int64)]].sum()) for f, t, m, lo in lengths)
-        if size > WHOLE_LINKS:  # the links stay where they are, and all slots are numbered as stored
+        active = reached(root, self.held, self.size, n_layers, there, many, starts, rounds, change, WHOLE_LINKS if most is None else most)
+        far = active is None
+        if far:  # all slots are numbered as stored
             active = np.ones(len(there), bool)
         #: The slots that can be reached, by which all else is numbered.
         self.slots = np.flatnonzero(active)
@@ -253,18 +353,31 @@ class Whole:
         self.node_of = np.cumsum(np.r_[False, who[1:] != who[:-1]]) if len(who) else who
         n_of = many[who]
         self.chance = np.where(n_of > 1, change / np.maximum(n_of - 1, 1), 0.0)[:, None] if change else None
-        self.links, self.squares, self.even = None, None, set()
-        if size > WHOLE_LINKS:  # read again in each step, but for weights that are all 1
-            self.even = {k for k in self.held if (get(root, f"w{k}") == 1).all()}
+        self.links, self.squares, self.tables, self.even = None, None, None, False
+        if far:
+            self._tables(n)
             return
         few = [self._few(k) for k in self.held]
         a, w, to = (np.concatenate([f[c] for f in few]) if few else np.zeros(0, np.int64) for c in (0, 1, 3))
         first = np.cumsum(np.r_[0, [len(f[0]) for f in few]])
         self.links = a, w, np.concatenate([f[2] + o for f, o in zip(few, first)]) if few else first[:0], to
-        self.even = {-1} if (w == 1).all() else set()
+        self.even = bool((w == 1).all())
         if sets >= 4:
             self._square()
 
+    def _tables(self, n: int) -> None:
+        """The links in tables, as stored or else made here; walks then have the tables' numbers of slots."""
+        fs, path = _opened(self.root)
+        if fs.get_file_info(f"{path}/order.npy").type != pafs.FileType.NotFound:
+            order = np.array(get(self.root, "order"))
+            self.tables = [[np.asarray(get(self.root, f"table{x}{k}")) for x in range(4)] for k in self.held]
+        else:
+            order, hubs = ordered(self.root, n, self.width, set(self.held))
+            self.tables = [tabled(self.root, k, self.n_layers, self.width, order, hubs) for k in self.held]
+        self.stored = (order * self.n_layers + np.arange(self.n_layers)[:, None]).ravel()
+        self.total, self.there = self.total[self.stored], self.there[self.stored]
+        self.chance = self.chance[self.stored] if self.chance is not None else None
+
     def _few(self, k: int) -> tuple:
         """(from, weight, first, to) of a block's links between slots that can be reached."""
         a, w, first, to = (get(self.root, f"{x}{k}") for x in ("a", "w", "first", "to"))
@@ -304,12 +417,26 @@ class Whole:
                 out[to] = np.matmul(w, np.take(sent, a, axis=0, mode="clip"))[:, 0]  # places are in range; "clip" is the quickest
         else:
             columns, sums, held = np.ascontiguousarray(sent.T), np.zeros(out.shape[::-1]), np.zeros(LINKS_AT_ONCE)
-            for k, (a, w, first, to) in [(-1, self.links)] if self.links is not None else ((k, self._few(k)) for k in self.held):
+            for tables, places, weights, slots in self.tables or ():
+                link = slot = 0
+                for tile, d, rows in tables.tolist():
+                    from_, weight = places[link : link + d * rows].astype(np.intp), weights[link : link + d * rows]
+                    into = slots[slot : slot + rows]
+                    link, slot = link + d * rows, slot + rows
+                    held = held if d * rows <= len(held) else np.zeros(d * rows)
+                    here = held[: d * rows]
+                    for s in range(len(columns)):
+                        np.take(columns[s, tile : tile + TILE], from_, out=here, mode="clip")  # places are in range; "clip" is the quickest
+                        if len(weight):
+                            here *= weight
+                        sums[s, into] += here.reshape(d, rows).sum(axis=0)
+            if self.links is not None:
+                a, w, first, to = self.links
                 cuts = np.unique(np.searchsorted(first, np.arange(0, len(a), LINKS_AT_ONCE))).tolist()
                 for low, high in zip(cuts, [*cuts[1:], len(first)]):
                     begin, end = first[low], first[high] if high < len(first) else len(a)
                     held = held if end - begin <= len(held) else np.zeros(end - begin)
-                    here, from_, weight, into, at = held[: end - begin], a[begin:end].astype(np.intp), None if k in self.even else w[begin:end], to[low:high], first[low:high] - begin
+                    here, from_, weight, into, at = held[: end - begin], a[begin:end].astype(np.intp), None if self.even else w[begin:end], to[low:high], first[low:high] - begin
                     for s in range(len(columns)):
                         np.take(columns[s], from_, out=here, mode="clip")
                         if weight is not None:
@@ -319,7 +446,11 @@ class Whole:
         out *= self.scale
         if self.chance is not None and len(now):
             across = now * self.chance
-            out += np.add.reduceat(across, self.first_of_node, axis=0)[self.node_of] - across
+            if self.tables is not None:
+                grid = across.reshape(self.n_layers, -1, now.shape[1])
+                out += (grid.sum(axis=0) - grid).reshape(out.shape)
+            else:
+                out += np.add.reduceat(across, self.first_of_node, axis=0)[self.node_of] - across
         out *= self.there
         return out
 
@@ -330,6 +461,8 @@ class Whole:
         step is the last. Where it falls behind the 1 - restart of plain steps, these go on.
         A walk goes on while it reaches more slots, as far as plain steps might."""
         c = 1 - restart
+        if self.tables is not None:
+            p0 = p0[self.stored]
         far = 2 + math.ceil(math.log(tolerance / 2) / math.log(c)) if c > 0 else 1
         now, before, omega, plain, most, reached = p0, None, 2.0, False, None, -1
         for r in range(2 * rounds):
@@ -339,7 +472,9 @@ class Whole:
             off = np.abs(after - now).sum(axis=0).max(initial=0.0)
             held, reached = reached, np.count_nonzero(after)
             if off < tolerance and (reached == held or r + 1 >= far):
-                return after
+                if self.tables is not None:
+                    now[self.stored] = after
+                return after if self.tables is None else now
             most = off if most is None else most
             if not plain and off > 10 * most * c**r + tolerance:
                 plain = True
@@ -448,14 +583,13 @@ class Network:
         ends = [F.col(c).cast(self.node_type).alias(c) for c in ("src", "dst")]
         links = edges.select("layer", *ends, F.col("weight").cast("double").alias("weight"))
         parts = links.mapInArrow(_read(self.root), "part string, layers array<string>, counts array<bigint>").collect()  # one row per part
-        files = [f"{self.root}/read-{r['part']}.parquet" for r in parts]
-        names = spark.read.schema(f"node {self.node_type}").parquet(*files) if files else names.limit(0)
-        names = names.distinct()
+        kind = to_arrow_type(names.schema["node"].dataType)
+        names = spark.range(0, 1, 1, 1).mapInArrow(_named_once(self.root, [r["part"] for r in parts], kind), f"node {self.node_type}")
         self.salt, differ = -1, False
         while not differ:  # until all hashes differ: once, but for one network in millions
             self.salt += 1
             hashed = names.select("node", F.xxhash64("node", F.lit(self.salt)).alias("h"))
-            self.n, differ = hashed.repartition(1).mapInArrow(_number(self.root), "n bigint, differ boolean").first()
+            self.n, differ = hashed.mapInArrow(_number(self.root), "n bigint, differ boolean").first()
         counts: dict = {}
         for r in parts:
             for x, n in zip(r["layers"], r["counts"]):
@@ -474,8 +608,9 @@ class Network:
         placed = self._jobs(_placed(self.root, self.layers, self.width, self.blocks, kind, given), "part string, ends array<bigint>", len(parts)) if parts else []
         self._drop("read-*")
         given = spark.sparkContext.broadcast([tuple(r) for r in placed])
-        done = self._jobs(_sorted(self.root, n_layers, self.width, self.slots, kind, given, merge), "block int")
-        self.held = {r[0] for r in done}  # one row per block
+        done = self._jobs(_sorted(self.root, n_layers, self.width, self.slots, kind, given, merge), "block int, links bigint")
+        self.held, self.links = {r[0] for r in done}, sum(r[1] for r in done)  # one row per block
+        self._tabled = False
         self._drop("part-*")
 
     def release(self) -> None:
@@ -692,7 +827,8 @@ class Network:
         """Runs whole walks of ``group`` sets at a time, ``each`` times in a task on one copy of the
         links, and gives what ``told`` makes of (network, sets, scores)."""
         spark, root, held = self.spark, self.root, self.held
-        shape = (self.n, max(1, len(self.layers)), self.width, self.blocks)
+        shape, most = (self.n, max(1, len(self.layers)), self.width, self.blocks), WHOLE_LINKS
+        self._store_tables(of, tag, rounds, change)
         parts = math.ceil(n_sets / (group * each))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -701,7 +837,7 @@ class Network:
                 if not every:
                     continue
                 slots = np.array([slot for k in every for slot, _ in of.value[k]], np.int64)
-                whole = Whole(root, tag, shape, held, slots, rounds, scale, change, min(group, len(every)))
+                whole = Whole(root, tag, shape, held, slots, rounds, scale, change, min(group, len(every)), most)
                 for low in range(0, len(every), group):
                     mine = every[low : low + group]
                     p0 = np.zeros((len(whole.slots), len(mine)))
@@ -712,6 +848,33 @@ class Network:
 
         return lambda schema: spark.range(0, parts, 1, parts).mapInArrow(work, schema)
 
+    def _store_tables(self, of: Broadcast, tag: str, rounds: int, change: float) -> None:
+        """Stores the links in tables, once, if walks reach too many of them for one task."""
+        root, held, n, n_layers, width, blocks, most = self.root, self.held, self.n, max(1, len(self.layers)), self.width, self.blocks, WHOLE_LINKS
+        if self._tabled or self.links <= most:
+            return
+
+        def reach(_: int) -> list[tuple]:
+            there, many = (np.concatenate([get(root, f"{tag}-{x}{k}") for k in range(blocks)]) for x in ("there", "many"))
+            starts = np.array([slot for mine in of.value.values() for slot, _ in mine], np.int64)
+            if reached(root, sorted(held), width * n_layers, n_layers, there, many, starts, rounds, change, most) is not None:
+                return []
+            order, hubs = ordered(root, n, width, held)
+            put(root, "order", order)
+            return [(hubs,)]
+
+        far = self._jobs(reach, "hubs bigint", 1)
+        if not far:
+            return
+        hubs, self._tabled = far[0][0], True
+
+        def store(k: int) -> list[tuple]:
+            for x, values in enumerate(tabled(root, k, n_layers, width, get(root, "order"), hubs) if k in held else ()):
+                put(root, f"table{x}{k}", values)
+            return []
+
+        self._jobs(store, "block int")
+
     def _walk_whole(
         self, starts: list, names: list, tag: str, kind: DataType, restart: float, scale: float, change: float, tolerance: float, rounds: int, failure: type,
         reduce: tuple | None = None,
