@@ -370,6 +370,15 @@ def top(ranks: DataFrame, k: int) -> DataFrame:
     return ranks.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
 
 
+def best(scores: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """(set_id, node, score, rank): :func:`top` of :func:`ranked` with ties "min" and without the seeds. All rows that
+    come before one of the ``k`` are among them, so no other row is ranked."""
+    rest = scores.join(F.broadcast(seeds.select("set_id", "node").distinct()), ["set_id", "node"], "left_anti")
+    sets = Window.partitionBy("set_id")
+    kept = rest.withColumn("_p", F.row_number().over(sets.orderBy(F.desc("score"), "node"))).where(F.col("_p") <= k).drop("_p")
+    return kept.withColumn("rank", F.rank().over(sets.orderBy(F.desc("score"))).cast("double"))
+
+
 def leave_one_out(seeds: DataFrame) -> DataFrame:
     """(set_id, left_out, node): for each set and each of its seeds the set without it.
 

@@ -8,3 +8,11 @@ def test_ranks_come_from_distinct_scores(spark):
     got = walks.ranked(rows, seeds, drop_seeds=True)
     assert values(got, ("node",), "rank") == {("n4",): 1.0, ("n3",): 2.5, ("n2",): 2.5, ("n1",): 4.5, ("n0",): 4.5}
     assert "Window" not in got.select("node", "score")._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+
+
+def test_best_are_the_top_of_all_ranks(spark):
+    rows = spark.createDataFrame([(s, f"n{k}", float(k % 4)) for s in "st" for k in range(12)], "set_id string, node string, score double")
+    seeds = spark.createDataFrame([("s", "n3"), ("t", "n1"), ("t", "absent")], "set_id string, node string")
+    for k in (1, 4, 5, 20):
+        want = walks.top(walks.ranked(rows, seeds, drop_seeds=True, ties="min"), k).select("set_id", "node", "score", "rank")
+        assert sorted(walks.best(rows, seeds, k).select("set_id", "node", "score", "rank").collect()) == sorted(want.collect())
