@@ -52,6 +52,8 @@ NAMES_AT_ONCE, LINKS_AT_ONCE = 4_000_000, 32_768
 LINKS_PER_SQUARE = 20_000
 #: Slots of a tile, from which a table's links come (their scores stay in a cache), and what times the mean links a hub has.
 TILE, HUB = 2**16, 4
+#: How far below the last of the best scores others are told too, so that any rounding to seven digits finds its ties.
+BEST_MARGIN = 1e-7
 #: Bytes of the stored scores of the sets that advance together.
 SCORE_BYTES = 1_000_000_000
 
@@ -705,14 +707,15 @@ class Network:
 
     def walk(
         self, seeds: DataFrame, restart: float, tolerance: float, rounds: int, delta: float | None = None, taus: dict[str, float] | None = None,
-        without_layer: str | None = None, without_node: str | None = None, reduce: str | None = None,
+        without_layer: str | None = None, without_node: str | None = None, reduce: str | None = None, best: int | None = None,
     ) -> DataFrame:
         """(set_id, layer, node, score) of converged walks from ``seeds`` (set_id, node): coupled
         layers if there is a ``delta``, else one walk in each layer.
 
         ``without_layer`` and ``without_node`` walk on the network without them; without a
         node the weights between layers stay those of the full network. ``reduce`` gives
-        (set_id, node, score) over the layers, where one task runs :attr:`whole` walks."""
+        (set_id, node, score) over the layers, where one task runs :attr:`whole` walks; with ``best``
+        only of the nodes that can be among so many best ones beside a set's own, all ties with them."""
         from strandloom.operators.walks import NotConverged
 
         spark = self.spark
@@ -721,7 +724,7 @@ class Network:
         out = None
         if self.whole:
             over = reduce and (reduce, self.n_layers - (without_layer is not None))
-            out = materialize(self._walk_whole(starts, names, tag, kind, restart, scale, change, tolerance, rounds, NotConverged, over), "walk") if names else None
+            out = materialize(self._walk_whole(starts, names, tag, kind, restart, scale, change, tolerance, rounds, NotConverged, over, best), "walk") if names else None
             names = []
         group = max(1, SCORE_BYTES // max(1, 32 * self.slots))
         for low in range(0, len(names), group):
@@ -877,21 +880,26 @@ class Network:
 
     def _walk_whole(
         self, starts: list, names: list, tag: str, kind: DataType, restart: float, scale: float, change: float, tolerance: float, rounds: int, failure: type,
-        reduce: tuple | None = None,
+        reduce: tuple | None = None, best: int | None = None,
     ) -> DataFrame:
-        named = self._named(names, kind, not reduce)
+        named, of = self._named(names, kind, not reduce), self._grouped(starts)
 
         def told(whole: Whole, mine: list[int], scores: np.ndarray) -> Iterator[pa.RecordBatch]:
             for s, k in enumerate(mine):
                 column = np.ascontiguousarray(scores[:, s])
                 if reduce:
-                    yield from named(k, *whole.reduced(column, *reduce))
+                    who, value = whole.reduced(column, *reduce)
+                    last = len(value) - (best or len(value)) - len({slot // whole.n_layers for slot, _ in of.value[k]})
+                    if last > 0:
+                        some = value >= np.partition(value, last)[last] - BEST_MARGIN
+                        who, value = who[some], value[some]
+                    yield from named(k, who, value)
                 else:
                     some = np.flatnonzero(column)
                     yield from named(k, whole.slots[some], column[some])
 
         group = self._groups(len(names))
-        work = self._whole_work(self._grouped(starts), len(names), group, 1, tag, restart, scale, change, tolerance, rounds, failure, told)
+        work = self._whole_work(of, len(names), group, 1, tag, restart, scale, change, tolerance, rounds, failure, told)
         return work(self._schema(kind, not reduce))
 
     def _named(self, names: list, kind: DataType, layered: bool) -> Callable:

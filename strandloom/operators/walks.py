@@ -335,12 +335,14 @@ def reduced_walks(
     how: str = "geometric",
     tolerance: float = MULTIPLEX_TOLERANCE,
     max_local_moves: int = MAX_LOCAL_MOVES,
+    best: int | None = None,
 ) -> DataFrame:
-    """:func:`reduced` of converged :func:`multiplex_walks`."""
+    """:func:`reduced` of converged :func:`multiplex_walks`. For :func:`best` of so many rows, those of a network in
+    blocks are the ones it can take."""
     net = stored_blocks(edges, max_local_moves)
     if net is None:
         return reduced(multiplex_walks(edges, seeds, restart, delta, tolerance=tolerance, max_local_moves=max_local_moves), edges, how)
-    found = _reduced_in_blocks(net, edges, how, seeds, restart, tolerance, most_rounds(restart, tolerance), delta)
+    found = _reduced_in_blocks(net, edges, how, seeds, restart, tolerance, most_rounds(restart, tolerance), delta, best=best)
     net.release()
     return found
 

@@ -50,7 +50,7 @@ def test_walks_over_stored_tables(spark, monkeypatch, weight):
 def test_vectors_are_walked_on_numbers(spark, monkeypatch):
     seen = []
     keep = walks.reduced_walks
-    monkeypatch.setattr(walks, "reduced_walks", lambda edges, seeds, *a: seen.append((edges.schema, seeds.schema)) or keep(edges, seeds, *a))
+    monkeypatch.setattr(walks, "reduced_walks", lambda edges, seeds, *a, **o: seen.append((edges.schema, seeds.schema)) or keep(edges, seeds, *a, **o))
     got = network_queries.QUERIES["walk_reduced_geometric"](spark, "/root/testdata/sf0.001")
     assert {s[x].dataType.simpleString() for e, n in seen for s, x in ((e, "src"), (e, "dst"), (n, "node"))} == {"bigint"}
     assert {r.node[0] for r in got.select("node").collect()} == {"P", "S"}
